@@ -18,10 +18,17 @@ from crossmotif.runtime import pick, stored
 MIN_CHUNK, MAX_CHUNK = 128, 2048
 
 
+# First and last code points of scripts beyond Latin-1 that are dealt to the classes in equal stretches.
+SCRIPTS = ((0x400, 0x4FF), (0x600, 0x6FF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3))
+
+
 def _letters(k: int, share: int = 4) -> str:
-    """Character class of the visible Latin code points that a multiplicative hash puts in class k of ``share``."""
-    chosen = [c for c in range(0x30, 0x250) if (c * 2654435761 >> 11) % share == k]
-    return "[" + "".join(f"\\u{c:04x}" for c in chosen) + "]"
+    """Character class k of ``share``: Latin-1 code points by a multiplicative hash, other scripts by stretches."""
+    chosen = [f"\\u{c:04x}" for c in range(0x30, 0x100) if (c * 2654435761 >> 11) % share == k]
+    for low, high in SCRIPTS:
+        size = (high - low + 1) // share
+        chosen.append(f"\\u{low + k * size:04x}-\\u{low + (k + 1) * size - 1:04x}")
+    return "[" + "".join(chosen) + "]"
 
 
 def chunk_pattern() -> str:
