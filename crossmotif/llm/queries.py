@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crossmotif.llm import bpe, embedding_dedup, exact_dedup, sharding, simhash, toxicity, warc
+from crossmotif.llm import bpe, embedding_dedup, exact_dedup, mixing, pii, sharding, simhash, toxicity, warc
 from crossmotif.runtime import table
 
 
@@ -19,6 +19,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find_pii(table(spark, sf_dir, "documents")))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(table(spark, sf_dir, "documents")))
 
@@ -27,6 +31,10 @@ def op6_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), law="bytes")
 
@@ -44,8 +52,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
         "op2_warc": op2_warc,
+        "op3_pii": op3_pii,
         "op5_bpe": op5_bpe,
         "op6_exact": op6_exact,
+        "op7_mixing": op7_mixing,
         "op8_sharding": op8_sharding,
         "op9_embedding": op9_embedding,
         "op10_toxicity": op10_toxicity,
