@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crossmotif.llm import bpe, embedding_dedup, exact_dedup, mixing, pii, sharding, simhash, toxicity, warc
+from crossmotif.llm import bpe, embedding_dedup, exact_dedup, mixing, pii, sharding, simhash, substring_dedup, toxicity, warc
 from crossmotif.runtime import table
 
 
@@ -23,6 +23,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find_pii(table(spark, sf_dir, "documents")))
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(substring_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(table(spark, sf_dir, "documents")))
 
@@ -53,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash": op1_simhash,
         "op2_warc": op2_warc,
         "op3_pii": op3_pii,
+        "op4_substrings": op4_substrings,
         "op5_bpe": op5_bpe,
         "op6_exact": op6_exact,
         "op7_mixing": op7_mixing,
