@@ -88,25 +88,25 @@ class GraphTables:
             parties = F.array_union(parties, F.coalesce("pe", F.array().cast("array<string>")))
         clean = F.filter(parties, lambda p: (p != "") & (p != UNKNOWN))
         return both.select(
-            "edge_id", "src", "dst", "ord", F.array_sort(clean).alias("parties"), F.least(F.lit(1.0), F.size(clean) / 2.0).alias("cross")
+            "edge_id", "src", "dst", "ord", F.array_sort(clean).alias("parties"), F.least(F.lit(1.0), F.size(clean) / 2.0).alias("edge_cross")
         )
 
     def _ranked(self, rows: DataFrame) -> DataFrame:
-        order = Window.partitionBy("node").orderBy(F.col("cross").desc(), "nbr", "edge_id")
+        order = Window.partitionBy("node").orderBy(F.col("edge_cross").desc(), "nbr", "edge_id")
         return rows.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= self.neighbours)
 
     @cached_property
     def nbr_out(self) -> DataFrame:
-        return self._ranked(self.edge_set.select(F.col("src").alias("node"), F.col("dst").alias("nbr"), "edge_id", "cross"))
+        return self._ranked(self.edge_set.select(F.col("src").alias("node"), F.col("dst").alias("nbr"), "edge_id", "edge_cross"))
 
     @cached_property
     def nbr_in(self) -> DataFrame:
-        return self._ranked(self.edge_set.select(F.col("dst").alias("node"), F.col("src").alias("nbr"), "edge_id", "cross"))
+        return self._ranked(self.edge_set.select(F.col("dst").alias("node"), F.col("src").alias("nbr"), "edge_id", "edge_cross"))
 
     @cached_property
     def nbr_any(self) -> DataFrame:
-        out = self.edge_set.select(F.col("src").alias("node"), F.col("dst").alias("nbr"), "edge_id", "cross")
-        back = self.edge_set.select(F.col("dst").alias("node"), F.col("src").alias("nbr"), "edge_id", "cross")
+        out = self.edge_set.select(F.col("src").alias("node"), F.col("dst").alias("nbr"), "edge_id", "edge_cross")
+        back = self.edge_set.select(F.col("dst").alias("node"), F.col("src").alias("nbr"), "edge_id", "edge_cross")
         return self._ranked(out.unionByName(back))
 
     @cached_property
@@ -141,15 +141,15 @@ DUCK_RELATIONS = {
     "node_set": """SELECT n.node, coalesce(k.parties, ['UNKNOWN']) AS parties
         FROM (SELECT src AS node FROM flow UNION SELECT dst FROM flow) n
         LEFT JOIN (SELECT node, list_sort(list(DISTINCT party)) AS parties FROM node_party GROUP BY node) k ON n.node = k.node""",
-    "edge_set": """SELECT edge_id, src, dst, ord, parties, least(1.0, len(parties) / 2.0)::DOUBLE AS "cross" FROM (
+    "edge_set": """SELECT edge_id, src, dst, ord, parties, least(1.0, len(parties) / 2.0)::DOUBLE AS edge_cross FROM (
         SELECT f.edge_id, f.src, f.dst, f.ord, list_sort(list_filter(list_distinct(list_concat(s.parties, d.parties)), lambda p: p NOT IN ('', 'UNKNOWN'))) AS parties
         FROM flow f JOIN node_set s ON f.src = s.node JOIN node_set d ON f.dst = d.node)""",
-    "nbr_out": f"""SELECT * FROM (SELECT src AS node, dst AS nbr, edge_id, "cross", row_number() OVER (PARTITION BY src ORDER BY "cross" DESC, dst, edge_id) AS rn
+    "nbr_out": f"""SELECT * FROM (SELECT src AS node, dst AS nbr, edge_id, edge_cross, row_number() OVER (PARTITION BY src ORDER BY edge_cross DESC, dst, edge_id) AS rn
         FROM edge_set) WHERE rn <= {NEIGHBOURS}""",
-    "nbr_in": f"""SELECT * FROM (SELECT dst AS node, src AS nbr, edge_id, "cross", row_number() OVER (PARTITION BY dst ORDER BY "cross" DESC, src, edge_id) AS rn
+    "nbr_in": f"""SELECT * FROM (SELECT dst AS node, src AS nbr, edge_id, edge_cross, row_number() OVER (PARTITION BY dst ORDER BY edge_cross DESC, src, edge_id) AS rn
         FROM edge_set) WHERE rn <= {NEIGHBOURS}""",
-    "nbr_any": f"""SELECT * FROM (SELECT node, nbr, edge_id, "cross", row_number() OVER (PARTITION BY node ORDER BY "cross" DESC, nbr, edge_id) AS rn
-        FROM (SELECT src AS node, dst AS nbr, edge_id, "cross" FROM edge_set UNION ALL SELECT dst, src, edge_id, "cross" FROM edge_set)) WHERE rn <= {NEIGHBOURS}""",
+    "nbr_any": f"""SELECT * FROM (SELECT node, nbr, edge_id, edge_cross, row_number() OVER (PARTITION BY node ORDER BY edge_cross DESC, nbr, edge_id) AS rn
+        FROM (SELECT src AS node, dst AS nbr, edge_id, edge_cross FROM edge_set UNION ALL SELECT dst, src, edge_id, edge_cross FROM edge_set)) WHERE rn <= {NEIGHBOURS}""",
     "pair_dir": "SELECT src, dst, min_by(edge_id, ord) AS edge_id FROM flow GROUP BY src, dst",
     "pair_und": "SELECT least(src, dst) AS a, greatest(src, dst) AS b, min_by(edge_id, ord) AS edge_id FROM flow GROUP BY 1, 2",
     "links": "SELECT a AS node, b AS nbr FROM pair_und UNION ALL SELECT b, a FROM pair_und",
