@@ -12,8 +12,9 @@ next chunk, to the whole text if need be, so the ids always equal those of the w
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,8 @@ from crossmotif.runtime import pick
 
 MASK = np.uint32(0xFF800000)  # a cut every 512 bytes on average
 MIN_CHUNK, MAX_CHUNK = 64, 1 << 14
-REMEMBERED_BYTES = 12 << 20  # of chunk text, for each worker
-REMEMBERED_WORDS, SPARE_WORDS = 700_000, 100_000
+REMEMBERED_BYTES = 8 << 20  # of chunk text, for each worker
+REMEMBERED_WORDS, SPARE_WORDS = 500_000, 60_000
 
 
 def default_tokenizer() -> str:
@@ -79,33 +80,31 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.word_ids: dict[bytes, tuple[int, ...]] = {}
-        self.word_text: dict[bytes, str] = {}
+        # The tokenizer has no decoder of its own: a text decodes to its tokens joined by spaces.
+        self.tokens = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size())]
+        self.words: dict[bytes, bytes] = {}
         self.chunks: dict[bytes, tuple] = {}
         self.held = 0
         self.encoded = self.reused = 0
 
     def _learn(self, pieces: list[bytes]) -> None:
-        """Encode and decode unseen pieces. Early, so mostly frequent, ones are kept; later ones come and go."""
-        if len(self.word_ids) > REMEMBERED_WORDS + SPARE_WORDS:
-            for p in list(self.word_ids)[REMEMBERED_WORDS:]:
-                del self.word_ids[p], self.word_text[p]
-        known = self.word_ids
+        """Encode unseen pieces. Early, so mostly frequent, ones are kept; later ones come and go."""
+        known = self.words
+        if len(known) > REMEMBERED_WORDS + SPARE_WORDS:
+            for p in list(islice(known, REMEMBERED_WORDS, None)):
+                del known[p]
         new = list(dict.fromkeys(p for p in pieces if p not in known))
-        coded = self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)
-        ids = [c.ids for c in coded]
-        for p, i, text in zip(new, ids, self.tokenizer.decode_batch(ids, skip_special_tokens=False)):
-            self.word_ids[p] = tuple(i)
-            self.word_text[p] = text
-
-    def _pieces(self, pieces: list[bytes]) -> tuple[list[int], str]:
-        """Ids and decoded text of pieces that white space separates."""
+        for p, c in zip(new, self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)):
+            known[p] = array("i", c.ids).tobytes()
+
+    def _pieces(self, pieces: list[bytes]) -> tuple[bytes, str]:
+        """Ids (native 32-bit integers) and decoded text of pieces that white space separates."""
         try:
-            ids = list(chain.from_iterable(map(self.word_ids.__getitem__, pieces)))
+            ids = b"".join(map(self.words.__getitem__, pieces))
         except KeyError:
             self._learn(pieces)
-            ids = list(chain.from_iterable(map(self.word_ids.__getitem__, pieces)))
-        return ids, " ".join(filter(None, map(self.word_text.__getitem__, pieces)))
+            ids = b"".join(map(self.words.__getitem__, pieces))
+        return ids, " ".join(map(self.tokens.__getitem__, array("i", ids)))
 
     def _chunk(self, chunk: bytes) -> tuple:
         """(text before the first white space, settled ids, their text, text after the last), or (chunk,) without any."""
@@ -121,7 +120,7 @@ class ChunkEncoder:
             head = b"" if chunk[:1] in WHITE_SET else parts.pop(0)
             tail = b"" if chunk[-1:] in WHITE_SET or not parts else parts.pop()
             ids, text = self._pieces(parts)
-            out = (head, np.array(ids, dtype=np.int32), text, tail)
+            out = (head, ids, text, tail)
         if self.held > REMEMBERED_BYTES:
             self.chunks.clear()
             self.held = 0
@@ -131,7 +130,7 @@ class ChunkEncoder:
 
     def encode(self, text: bytes) -> tuple[np.ndarray, str]:
         """Ids of the whole text and what they decode to."""
-        ids: list[np.ndarray] = []
+        ids: list[bytes] = []
         texts: list[str] = []
         open_stretch: list[bytes] = []
 
@@ -141,7 +140,7 @@ class ChunkEncoder:
             if stretch:
                 i, t = self._pieces([stretch])
                 if i:
-                    ids.append(np.array(i, dtype=np.int32))
+                    ids.append(i)
                     texts.append(t)
 
         at = 0
@@ -151,12 +150,12 @@ class ChunkEncoder:
             open_stretch.append(got[0])
             if len(got) > 1:
                 repair()
-                if len(got[1]):
+                if got[1]:
                     ids.append(got[1])
                     texts.append(got[2])
                 open_stretch.append(got[3])
         repair()
-        return np.concatenate(ids) if ids else np.empty(0, np.int32), " ".join(texts)
+        return np.frombuffer(b"".join(ids), dtype=np.int32), " ".join(texts)
 
 
 WHITE_SET = {bytes([c]) for c in WHITE}
