@@ -15,13 +15,14 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crossmotif.runtime import pick
+from crossmotif.runtime import pick, stored
 
 # Seed lexicon and window cues.
 SEED_TERMS = (
@@ -51,7 +52,7 @@ class Term:
 class FuzzyLexicon:
     """Trie of terms, intersected with the Levenshtein automaton of the word being read."""
 
-    STATES, WORDS = 60_000, 600_000
+    STATES, WORDS, SPARE = 60_000, 600_000, 100_000
 
     def __init__(self, terms: list[Term]):
         self.terms = terms
@@ -128,8 +129,11 @@ class FuzzyLexicon:
         """Matches of all words inside a white-space token; remembered."""
         got = self.words.get(token)
         if got is None:
-            if len(self.sets) > self.STATES or len(self.words) > self.WORDS:
+            if len(self.sets) > self.STATES:
                 self._reset()
+            if len(self.words) > self.WORDS + self.SPARE:  # early, so mostly frequent, tokens stay
+                for t in list(islice(self.words, self.WORDS, None)):
+                    del self.words[t]
             got = tuple(m for w in WORD.findall(token.lower()) for m in self.match(w))
             self.words[token] = got
         return got
@@ -146,7 +150,7 @@ def features(text: str, lexicon: FuzzyLexicon) -> dict[int, float]:
     known = lexicon.words.get
     got = list(map(known, tokens))
     if None in got:
-        got = [lexicon.mentions(t) for t in tokens]
+        got = [lexicon.mentions(t) if m is None else m for t, m in zip(tokens, got)]
     at = [i for i, m in enumerate(got) if m]
     out: dict[int, float] = {}
     if not at:
@@ -282,7 +286,7 @@ def choose_terms(counted: DataFrame, bad: int, good: int) -> list[Term]:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_ROWS) -> Model:
     """Lexicon and weights from at most ``sample`` labelled rows; seed weights alone where a class is missing."""
-    rows = training_rows(docs, labels, id_col, text_col, sample)
+    rows = stored(training_rows(docs, labels, id_col, text_col, sample), "toxicity-sample")
     schema = "term string, bad long, good long"
     sizes = dict(rows.groupBy("toxic").count().collect())
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
