@@ -218,7 +218,7 @@ GENERATORS = {
 
 def all_candidates(d):
     """Candidates of the undirected-motif pipeline, de-duplicated on (anchor, nodes, edges, type)."""
-    kinds = (triangle, cycle4, fan_out, fan_in, star, chain, feed_forward, dense_block, bridge, radius2, anchor_expansion)
+    kinds = (triangle, fan_out, fan_in, star, cycle, feed_forward, radius2, anchor_expansion)
     return "SELECT DISTINCT anchor, candidate_type, nodes, edges FROM (" + " UNION ALL ".join(f"SELECT anchor, candidate_type, nodes, edges FROM ({k(d)}) g" for k in kinds) + ") u WHERE nodes <> '' AND edges <> ''"
 
 

@@ -6,19 +6,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crossmotif.operators import motifs
-from crossmotif.plans.relational import Definition, graph, reference, run
+from crossmotif.functions.dialect import DUCK, SPARK
+from crossmotif.operators import evidence, graph, motifs
+from crossmotif.plans.relational import Definition, base_relations, names_in, reference, run
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Relations that are themselves definitions; in Spark they are kept for the session once computed.
+DERIVED: dict[str, Definition] = {"evidence": evidence.evidence_features}
+_kept: dict[tuple, DataFrame] = {}
+
+
+def relations(spark: SparkSession, sf_dir: str, names: list[str]) -> dict[str, DataFrame]:
+    found = base_relations(spark, sf_dir)
+    for name in names:
+        if name in DERIVED:
+            key = (spark.sparkContext.applicationId, sf_dir, name)
+            if key not in _kept:
+                needs = names_in(DERIVED[name](SPARK))
+                _kept[key] = run(spark, DERIVED[name], relations(spark, sf_dir, needs)).persist()
+            found = found | {name: _kept[key]}
+    return found
+
 
 def _query(definition: Definition) -> Query:
-    return lambda spark, sf_dir: run(spark, definition, graph(spark, sf_dir))
+    return lambda spark, sf_dir: run(spark, definition, relations(spark, sf_dir, names_in(definition(SPARK))))
 
 
 def definitions() -> dict[str, Definition]:
     found: dict[str, Definition] = {}
-    for module in (motifs,):
+    for module in (graph, motifs, evidence):
         found |= module.DEFINITIONS
     return found
 
@@ -28,4 +45,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: reference(d) for name, d in definitions().items()}
+    extra = {name: d(DUCK) for name, d in DERIVED.items()}
+    return {name: reference(d, extra) for name, d in definitions().items()}

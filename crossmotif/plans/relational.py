@@ -48,8 +48,17 @@ def reference(definition: Definition, extra: dict[str, str] | None = None) -> st
     return (f"WITH {head} " if order else "") + f"SELECT * FROM ({plain(text)})"
 
 
-def graph(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+_graphs: dict[tuple[str, str], dict[str, DataFrame]] = {}
+BASE_TABLES = ("orders", "customer", "lineitem", "events", "embeddings", "supplier", "part", "nation", "region")
+
+
+def base_relations(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The driver's tables and the graph relations over them. The latter are kept for the session, spilling to
+    disk, since most operators read several of them several times."""
     from crossmotif.runtime import table
 
-    base = {n: table(spark, sf_dir, n) for n in ("orders", "customer", "lineitem", "events", "embeddings", "supplier", "part")}
-    return base | GraphTables.from_flow(spark, sf_dir).relations()
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _graphs:
+        derived = GraphTables.from_flow(spark, sf_dir).relations()
+        _graphs[key] = {n: table(spark, sf_dir, n) for n in BASE_TABLES} | {n: r.persist() for n, r in derived.items()}
+    return _graphs[key]
