@@ -7,13 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from crossmotif.functions.dialect import DUCK, SPARK
-from crossmotif.operators import evidence, graph, motifs
+from crossmotif.operators import evaluate, evidence, graph, motifs, ranking
 from crossmotif.plans.relational import Definition, base_relations, names_in, reference, run
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Relations that are themselves definitions; in Spark they are kept for the session once computed.
-DERIVED: dict[str, Definition] = {"evidence": evidence.evidence_features}
+DERIVED: dict[str, Definition] = {
+    "evidence": evidence.evidence_features,
+    "candidates": motifs.all_candidates,
+    "scored": ranking.scored,
+    "ground_truth": evaluate.ground_truth,
+    "predictions": evaluate.predictions,
+    "matched": evaluate.matched,
+}
 _kept: dict[tuple, DataFrame] = {}
 
 
@@ -35,7 +42,7 @@ def _query(definition: Definition) -> Query:
 
 def definitions() -> dict[str, Definition]:
     found: dict[str, Definition] = {}
-    for module in (graph, motifs, evidence):
+    for module in (graph, motifs, evidence, ranking, evaluate):
         found |= module.DEFINITIONS
     return found
 
