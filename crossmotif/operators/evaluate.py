@@ -12,7 +12,7 @@ from crossmotif.functions.dialect import SparkDialect
 
 def ground_truth(d):
     """All undirected triangles of the graph, numbered by their sorted nodes."""
-    return f"""SELECT row_number() OVER (ORDER BY x.a, x.b, y.b) AS gt_pos, {d.set_of('x.a', 'x.b', 'y.b')} AS nodes, {d.set_of('x.edge_id', 'y.edge_id', 'z.edge_id')} AS edges,
+    return f"""SELECT CAST(row_number() OVER (ORDER BY x.a, x.b, y.b) AS BIGINT) AS gt_pos, {d.set_of('x.a', 'x.b', 'y.b')} AS nodes, {d.set_of('x.edge_id', 'y.edge_id', 'z.edge_id')} AS edges,
         CASE WHEN CAST(x.a AS INT) % 2 = 0 THEN 'even' ELSE 'odd' END AS motif_type, CAST(3 AS BIGINT) AS gn, CAST(3 AS BIGINT) AS ge
         FROM {{pair_und}} x JOIN {{pair_und}} y ON x.b = y.a JOIN {{pair_und}} z ON z.a = x.a AND z.b = y.b WHERE x.a <> x.b AND y.a <> y.b"""
 

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from crossmotif.functions.dialect import DUCK, SPARK
-from crossmotif.operators import evaluate, evidence, graph, motifs, ranking
-from crossmotif.plans.relational import Definition, base_relations, names_in, reference, run
+from crossmotif.operators import baselines, evaluate, evidence, experiments, graph, motifs, prepare, ranking
+from crossmotif.plans.relational import Definition, as_doubles, base_relations, names_in, reference, run
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,7 +42,7 @@ def _query(definition: Definition) -> Query:
 
 def definitions() -> dict[str, Definition]:
     found: dict[str, Definition] = {}
-    for module in (graph, motifs, evidence, ranking, evaluate):
+    for module in (graph, motifs, evidence, ranking, evaluate, baselines, prepare, experiments):
         found |= module.DEFINITIONS
     return found
 
@@ -52,5 +52,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    extra = {name: d(DUCK) for name, d in DERIVED.items()}
+    extra = {name: as_doubles(d(DUCK)) for name, d in DERIVED.items()}
     return {name: reference(d, extra) for name, d in definitions().items()}

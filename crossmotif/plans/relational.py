@@ -18,19 +18,24 @@ from crossmotif.sources.graph_tables import DUCK_NEEDS, DUCK_RELATIONS, GraphTab
 Definition = Callable[[SparkDialect], str]
 
 
+def as_doubles(text: str) -> str:
+    """Decimal literals with an exponent, which engines agree to read as doubles."""
+    return re.sub(r"(?<![\w.'])(\d+\.\d+)(?![\w.])", r"\1e0", text)
+
+
 def names_in(text: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\{(\w+)\}", text)))
 
 
 def run(spark: SparkSession, definition: Definition, relations: dict[str, DataFrame]) -> DataFrame:
-    text = definition(SPARK)
+    text = as_doubles(definition(SPARK))
     return spark.sql(text, **{n: relations[n] for n in names_in(text)})
 
 
 def reference(definition: Definition, extra: dict[str, str] | None = None) -> str:
     """Self-contained SQL of the definition over the driver's base tables."""
     known = DUCK_RELATIONS | (extra or {})
-    text = definition(DUCK)
+    text = as_doubles(definition(DUCK))
     order: list[str] = []
 
     def add(name: str) -> None:
