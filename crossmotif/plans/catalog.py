@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from crossmotif.functions.dialect import DUCK, SPARK
 from crossmotif.operators import baselines, evaluate, evidence, experiments, graph, motifs, prepare, ranking
 from crossmotif.plans.relational import Definition, as_doubles, base_relations, names_in, reference, run
+from crossmotif.runtime import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-#: Relations that are themselves definitions; in Spark they are kept for the session once computed.
+#: Relations that are themselves definitions: stored for the session once computed.
 DERIVED: dict[str, Definition] = {
     "evidence": evidence.evidence_features,
     "candidates": motifs.all_candidates,
@@ -25,14 +26,14 @@ _kept: dict[tuple, DataFrame] = {}
 
 
 def relations(spark: SparkSession, sf_dir: str, names: list[str]) -> dict[str, DataFrame]:
-    found = base_relations(spark, sf_dir)
+    found = base_relations(spark, sf_dir, names)
     for name in names:
         if name in DERIVED:
             key = (spark.sparkContext.applicationId, sf_dir, name)
             if key not in _kept:
                 needs = names_in(DERIVED[name](SPARK))
-                _kept[key] = run(spark, DERIVED[name], relations(spark, sf_dir, needs)).persist()
-            found = found | {name: _kept[key]}
+                _kept[key] = stored(run(spark, DERIVED[name], relations(spark, sf_dir, needs)), f"relation-{name}")
+            found[name] = _kept[key]
     return found
 
 

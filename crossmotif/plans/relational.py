@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from crossmotif.functions.dialect import DUCK, SPARK, SparkDialect
+from crossmotif.runtime import stored, table
 from crossmotif.sources.graph_tables import DUCK_NEEDS, DUCK_RELATIONS, GraphTables
 
 Definition = Callable[[SparkDialect], str]
@@ -53,17 +54,37 @@ def reference(definition: Definition, extra: dict[str, str] | None = None) -> st
     return (f"WITH {head} " if order else "") + f"SELECT * FROM ({plain(text)})"
 
 
-_graphs: dict[tuple[str, str], dict[str, DataFrame]] = {}
 BASE_TABLES = ("orders", "customer", "lineitem", "events", "embeddings", "supplier", "part", "nation", "region")
+#: Graph relations that several operators read several times: written once per session and input, in this order.
+STORED = ("flow", "edge_set", "nbr_out", "nbr_in", "nbr_any", "pair_dir", "pair_und")
+_graphs: dict[tuple[str, str], GraphTables] = {}
 
 
-def base_relations(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The driver's tables and the graph relations over them. The latter are kept for the session, spilling to
-    disk, since most operators read several of them several times."""
-    from crossmotif.runtime import table
+def base_relations(spark: SparkSession, sf_dir: str, names: list[str]) -> dict[str, DataFrame]:
+    """The driver's tables and graph relations among ``names``.
 
+    The relations in ``STORED`` become tables in the shared folder when they are first asked for, so later
+    plans start from a scan instead of carrying, and optimising, the whole derivation once per use.
+    """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _graphs:
-        derived = GraphTables.from_flow(spark, sf_dir).relations()
-        _graphs[key] = {n: table(spark, sf_dir, n) for n in BASE_TABLES} | {n: r.persist() for n, r in derived.items()}
-    return _graphs[key]
+        tables = GraphTables.from_flow(spark, sf_dir)
+        tables.edges = stored(tables.edges, "graph-flow")
+        _graphs[key] = tables
+    tables = _graphs[key]
+    found = {}
+    for name in names:
+        if name in BASE_TABLES:
+            found[name] = table(spark, sf_dir, name)
+        elif name in DUCK_RELATIONS:
+            for needed in [n for n in STORED[1:] if n in _closure(name)]:
+                if needed not in tables.stored_names:
+                    tables.__dict__[needed] = stored(getattr(tables, needed), f"graph-{needed}")
+                    tables.stored_names.add(needed)
+            found[name] = tables.relation(name)
+    return found
+
+
+def _closure(name: str) -> set[str]:
+    """A relation and all that it is derived from."""
+    return {name}.union(*[_closure(n) for n in DUCK_NEEDS.get(name, [])])

@@ -63,6 +63,7 @@ class GraphTables:
     node_party: DataFrame  # node, party
     neighbours: int = NEIGHBOURS
     seen_edges: DataFrame | None = field(default=None)  # edge_id, party where visibility is given
+    stored_names: set[str] = field(default_factory=set)  # relations replaced by stored tables
 
     @classmethod
     def from_flow(cls, spark: SparkSession, sf_dir: str, neighbours: int = NEIGHBOURS) -> GraphTables:
@@ -125,9 +126,12 @@ class GraphTables:
         p = self.pair_und.select("a", "b")
         return p.select(F.col("a").alias("node"), F.col("b").alias("nbr")).union(p.select("b", "a"))
 
+    def relation(self, name: str) -> DataFrame:
+        return {"flow": lambda: self.edges, "node_party": lambda: self.node_party}.get(name, lambda: getattr(self, name))()
+
     def relations(self) -> dict[str, DataFrame]:
-        names = ("edge_set", "node_set", "nbr_out", "nbr_in", "nbr_any", "pair_dir", "pair_und", "links")
-        return {"flow": self.edges, "node_party": self.node_party} | {n: getattr(self, n) for n in names}
+        names = ("flow", "node_party", "edge_set", "node_set", "nbr_out", "nbr_in", "nbr_any", "pair_dir", "pair_und", "links")
+        return {n: self.relation(n) for n in names}
 
 
 #: The same relations over the driver's tables as common table expressions.
