@@ -93,8 +93,8 @@ def _scored(d: SparkDialect) -> str:
 
 def pair_scores(d):
     """Senders and receivers of a tag in different parties, scored under three hypotheses."""
-    return f"""SELECT tag, bank_s, bank_r, tx_s, tx_r, round(chain_score, 6) AS chain_score, round(fan_score, 6) AS fan_score, round(cycle_score, 6) AS cycle_score,
-        round(compat, 6) AS compat, best FROM ({_scored(d)}) p"""
+    return f"""SELECT tag, bank_s, bank_r, tx_s, tx_r, round(chain_score, 12) AS chain_score, round(fan_score, 12) AS fan_score, round(cycle_score, 12) AS cycle_score,
+        round(compat, 12) AS compat, best FROM ({_scored(d)}) p"""
 
 
 def _mutual(d: SparkDialect) -> str:
@@ -105,7 +105,7 @@ def _mutual(d: SparkDialect) -> str:
 
 def mutual_topk(d):
     """Pairs among the best of both ends and above the threshold."""
-    return f"SELECT tag, bank_s || '::' || node_s AS src_node, bank_r || '::' || node_r AS dst_node, tx_s, tx_r, round(compat, 6) AS weight, best FROM ({_mutual(d)}) m"
+    return f"SELECT tag, bank_s || '::' || node_s AS src_node, bank_r || '::' || node_r AS dst_node, tx_s, tx_r, round(compat, 12) AS weight, best FROM ({_mutual(d)}) m"
 
 
 def compat_nodes(d):
@@ -133,7 +133,7 @@ def rerank_score(kind: str = "candidate_type", n: str = "num_nodes", m: str = "n
 
 def _fans(d: SparkDialect, kind: str, centre: str, leaf: str, edges: str) -> str:
     return f"""SELECT '{kind}' AS candidate_type, centre, {d.set_text(d.append(d.split_text('leaves'), 'centre'))} AS nodes, edges, m + 1 AS num_nodes, m AS num_edges, score_mean, score_min
-        FROM (SELECT {centre} AS centre, {d.agg_set(leaf)} AS leaves, {d.agg_set('edge_id')} AS edges, count(*) AS m, round(avg(w), 9) AS score_mean, min(w) AS score_min
+        FROM (SELECT {centre} AS centre, {d.agg_set(leaf)} AS leaves, {d.agg_set('edge_id')} AS edges, count(*) AS m, round(avg(w), 12) AS score_mean, min(w) AS score_min
               FROM ({edges}) e GROUP BY {centre} HAVING count(*) >= 3) g"""
 
 
@@ -145,12 +145,12 @@ def _last_edges(d: SparkDialect) -> str:
 def fan_candidates(d):
     e = _last_edges(d)
     both = _fans(d, "FAN_IN", "dst", "src", e) + " UNION ALL " + _fans(d, "FAN_OUT", "src", "dst", e)
-    return f"SELECT candidate_type, centre, nodes, edges, num_nodes, num_edges, round(score_mean, 6) AS score_mean, round(score_min, 6) AS score_min FROM ({both}) f"
+    return f"SELECT candidate_type, centre, nodes, edges, num_nodes, num_edges, round(score_mean, 12) AS score_mean, round(score_min, 12) AS score_min FROM ({both}) f"
 
 
 def ranked_fan_in(d):
     fans = _fans(d, "FAN_IN", "dst", "src", _last_edges(d))
-    return f"""SELECT centre, nodes, edges, num_nodes, num_edges, round(rerank_score, 6) AS rerank_score, CAST(row_number() OVER (ORDER BY round(rerank_score, 6) DESC, centre) AS BIGINT) AS place
+    return f"""SELECT centre, nodes, edges, num_nodes, num_edges, round(rerank_score, 12) AS rerank_score, CAST(row_number() OVER (ORDER BY round(rerank_score, 12) DESC, centre) AS BIGINT) AS place
         FROM (SELECT f.*, {rerank_score()} AS rerank_score FROM ({fans}) f) r"""
 
 
@@ -158,9 +158,9 @@ def cycle_candidates(d):
     """Directed cycles of two and three nodes among the last crossing edges, with their score aggregates."""
     e = f"({_last_edges(d)})"
     low = "least(x.w, y.w)"
-    return f"""SELECT 'CYCLE' AS candidate_type, {d.set_of('x.src', 'x.dst')} AS nodes, {d.set_of('x.edge_id', 'y.edge_id')} AS edges, CAST(2 AS BIGINT) AS num_nodes, round((x.w + y.w) / 2.0, 6) AS score_mean, round({low}, 6) AS score_min
+    return f"""SELECT 'CYCLE' AS candidate_type, {d.set_of('x.src', 'x.dst')} AS nodes, {d.set_of('x.edge_id', 'y.edge_id')} AS edges, CAST(2 AS BIGINT) AS num_nodes, round((x.w + y.w) / 2.0, 12) AS score_mean, round({low}, 12) AS score_min
         FROM {e} x JOIN {e} y ON x.dst = y.src AND y.dst = x.src WHERE x.src < x.dst
-        UNION ALL SELECT 'CYCLE', {d.set_of('x.src', 'x.dst', 'y.dst')}, {d.set_of('x.edge_id', 'y.edge_id', 'z.edge_id')}, CAST(3 AS BIGINT), round((x.w + y.w + z.w) / 3.0, 6), round(least(x.w, y.w, z.w), 6)
+        UNION ALL SELECT 'CYCLE', {d.set_of('x.src', 'x.dst', 'y.dst')}, {d.set_of('x.edge_id', 'y.edge_id', 'z.edge_id')}, CAST(3 AS BIGINT), round((x.w + y.w + z.w) / 3.0, 12), round(least(x.w, y.w, z.w), 12)
         FROM {e} x JOIN {e} y ON x.dst = y.src AND y.dst <> x.src JOIN {e} z ON z.src = y.dst AND z.dst = x.src WHERE x.src < x.dst AND x.src < y.dst"""
 
 
@@ -170,7 +170,7 @@ def rerank_evidence(d):
     fans = _fans(d, "FAN_IN", "dst", "src", e) + " UNION ALL " + _fans(d, "FAN_OUT", "src", "dst", e)
     rows = f"""SELECT candidate_type, nodes, edges, num_nodes, num_edges, score_mean, score_min FROM ({fans}) f
         UNION ALL SELECT candidate_type, nodes, edges, num_nodes, num_nodes, score_mean, score_min FROM ({cycle_candidates(d)}) c"""
-    return f"""SELECT candidate_type, nodes, edges, num_nodes, num_edges, round({rerank_score()}, 6) AS rerank_score
+    return f"""SELECT candidate_type, nodes, edges, num_nodes, num_edges, round({rerank_score()}, 12) AS rerank_score
         FROM (SELECT *, row_number() OVER (PARTITION BY candidate_type, nodes, edges ORDER BY score_mean DESC) AS again FROM ({rows}) u) v WHERE again = 1"""
 
 
