@@ -35,7 +35,7 @@ def nested_rates(d):
 
 def assembly_pairs(d):
     """Assembly without structure: each crossing edge alone."""
-    return f"SELECT {d.set_of('src', 'dst')} AS nodes, edge_id AS edges, round(weight / 500000.0, 6) AS score FROM ({tagged(d)}) t WHERE is_inter"
+    return f"SELECT {d.set_of('src', 'dst')} AS nodes, edge_id AS edges, round(weight / 500000.0, 12) AS score FROM ({tagged(d)}) t WHERE is_inter"
 
 
 def assembly_anchor_only(d):
