@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from crossmotif.functions.dialect import DUCK, SPARK
-from crossmotif.operators import baselines, evaluate, evidence, experiments, graph, motifs, prepare, ranking
+from crossmotif.operators import baselines, custom, evaluate, evidence, experiments, graph, motifs, prepare, ranking
 from crossmotif.plans import event_queries
 from crossmotif.plans.relational import Definition, as_doubles, base_relations, names_in, reference, run
 from crossmotif.runtime import stored
+from crossmotif.sources.graph_tables import DUCK_RELATIONS
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,9 +51,9 @@ def definitions() -> dict[str, Definition]:
 
 
 def queries() -> dict[str, Query]:
-    return {name: _query(d) for name, d in definitions().items()} | event_queries.QUERIES
+    return {name: _query(d) for name, d in definitions().items()} | event_queries.QUERIES | custom.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
     extra = {name: as_doubles(d(DUCK)) for name, d in DERIVED.items()}
-    return {name: reference(d, extra) for name, d in definitions().items()} | event_queries.ORACLES
+    return {name: reference(d, extra) for name, d in definitions().items()} | event_queries.ORACLES | {"components": custom.components_sql(DUCK_RELATIONS["flow"])}

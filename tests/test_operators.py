@@ -118,3 +118,37 @@ def test_every_definition_renders_for_both_engines():
     for module in (baselines, evaluate, evidence, experiments, graph, motifs, prepare, ranking):
         for definition in module.DEFINITIONS.values():
             assert definition(SPARK) and definition(DUCK)
+
+
+def test_chain_assembly():
+    import pandas as pd
+
+    from crossmotif.operators.custom import best_chain
+
+    edges = pd.DataFrame([("a", "b", "1", 0.90), ("b", "c", "2", 0.80), ("c", "a", "3", 0.95), ("c", "d", "4", 0.70)], columns=["src", "dst", "edge_id", "w"])
+    path, ids, weights = best_chain(edges)
+    assert path == ["c", "a", "b"] and sum(weights) / 2 == pytest.approx(0.925) and min(weights) == 0.90
+    assert best_chain(edges, longest=2) is None
+
+
+def test_directed_shape():
+    from crossmotif.operators.custom import directed_shape
+
+    assert directed_shape([("a", "b"), ("b", "c"), ("c", "a")]) == (2, True, False, 1, 0.0)
+    assert directed_shape([("a", "b"), ("b", "a")])[:3] == (1, False, True)
+    assert directed_shape([("a", "b"), ("a", "c"), ("b", "c")])[4] == 1.0
+
+
+def test_readers(spark, tmp_path):
+    from crossmotif.sources import readers
+
+    (tmp_path / "edges.txt").write_text("# head\n2 1\n1 2\n3 3\n1 3\n")
+    assert {(r.src, r.dst) for r in readers.read_edge_list(spark, str(tmp_path / "edges.txt"), directed=False).collect()} == {("1", "2"), ("1", "3")}
+    (tmp_path / "patterns.txt").write_text(
+        "BEGIN LAUNDERING ATTEMPT - FAN-OUT: Max 3\n2022/09/01 00:06,1,A,2,B,1,USD,1,USD,ACH,1\nEND LAUNDERING ATTEMPT - FAN-OUT\n\n"
+        "BEGIN LAUNDERING ATTEMPT - CYCLE\n2022/09/01 00:07,1,A,2,B,1,USD,1,USD,ACH,1\nEND LAUNDERING ATTEMPT - CYCLE\n"
+    )
+    rows = readers.read_patterns(spark, str(tmp_path / "patterns.txt")).orderBy("line").collect()
+    assert [(r.motif_instance_id, r.motif_type) for r in rows] == [("MOTIF_0000001", "FAN-OUT"), ("MOTIF_0000002", "CYCLE")]
+    (tmp_path / "tx.csv").write_text("Timestamp,From Bank,Account,To Bank,Account,Amount Received,Receiving Currency,Amount Paid,Payment Currency,Payment Format,Is Laundering\n2022/09/01 00:06,1,A,2,B,1,USD,1,USD,ACH,1\n")
+    assert [r.tx_hash for r in readers.read_transactions(spark, str(tmp_path / "tx.csv")).collect()] == [rows[0].tx_hash]
