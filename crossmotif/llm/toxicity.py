@@ -72,13 +72,14 @@ class FuzzyLexicon:
                 self.reach[node] = max(self.reach[node], t.budget)
             if self.final[node] < 0:
                 self.final[node] = i
+        self.words: dict[str, tuple] = {}
         self._reset()
 
     def _reset(self) -> None:
+        """Forget the states met so far; they are built again as words need them."""
         self.sets: list[tuple[tuple[int, int], ...]] = []
         self.number: dict[tuple, int] = {}
         self.step: list[dict[str, int]] = []
-        self.words: dict[str, tuple] = {}
         self.start = self._state({(0, 0)})
 
     def _state(self, pairs: set[tuple[int, int]]) -> int:
@@ -257,7 +258,8 @@ def held_out(id_):
 
 def choose_terms(counted: DataFrame, bad: int, good: int) -> list[Term]:
     """Seed terms and learned ones: enough toxic documents and strong odds. A stem must owe its
-    documents to several words, and a word covered by a chosen stem is left out."""
+    documents to several words, and a word covered by a chosen stem is left out. Only seeds and well-attested words
+    are matched with edits: a rare learned word is itself too close to others for that."""
     least = 2 if bad < 200 else 3
     odds = F.log((F.col("bad") + 0.2) / (bad + 1.0)) - F.log((F.col("good") + 0.4) / (good + 1.0))
     rows = counted.where(F.col("bad") >= least).withColumn("odds", odds).where("odds >= 2.5")
@@ -277,7 +279,7 @@ def choose_terms(counted: DataFrame, bad: int, good: int) -> list[Term]:
         if stem:
             stems[text] = r["odds"]
         if text not in chosen:
-            strong = not stem and r["odds"] >= 4 and r["good"] == 0
+            strong = not stem and r["odds"] >= 4 and r["good"] == 0 and r["bad"] >= max(10, 0.01 * bad)
             chosen[text] = Term(text, stem, float(r["odds"]), _budget(text, stem) if strong else 0)
         elif not stem:
             chosen[text].weight = float(r["odds"])
