@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -29,7 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
         folder = "file://" + tempfile.mkdtemp(prefix="crossmotif-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
+    return re.sub(r"^file:/+", "file:///", folder).rstrip("/")  # Spark itself writes file:/ with one slash
 
 
 def scratch(spark: SparkSession, name: str) -> str:
