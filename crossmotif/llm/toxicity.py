@@ -3,7 +3,7 @@
 The lexicon holds seed terms and terms or stems learned from labelled documents. Walking a
 word through the product of the trie with a Levenshtein automaton finds every term within
 its allowed distance; the product is determinised lazily, so a word costs one table look-up
-per character. Each mention is then read in its window: quotation marks and reporting words
+per character. Words that no term can be near, by their shortened forms, skip the walk. Each mention is then read in its window: quotation marks and reporting words
 near it speak for quotation, second-person words and further mentions for abuse. A logistic
 model, fitted on a bounded sample of labelled rows, weighs the mentions.
 """
@@ -72,9 +72,37 @@ class FuzzyLexicon:
                 self.reach[node] = max(self.reach[node], t.budget)
             if self.final[node] < 0:
                 self.final[node] = i
+        self.exact = {t.text: i for i, t in enumerate(terms) if not t.stem}
+        self.stems = {t.text: i for i, t in enumerate(terms) if t.stem}
+        self.stem_sizes = sorted({len(s) for s in self.stems})
+        self.edits: dict[int, int] = {}  # length of a word: largest budget among the terms it can be near
+        self.shortened: set[str] = set()  # terms with a budget, without up to so many of their letters
+        for t in terms:
+            if t.budget:
+                self.shortened |= _shortened(t.text, t.budget)
+                for n in range(len(t.text) - t.budget, len(t.text) + t.budget + 1):
+                    self.edits[n] = max(self.edits.get(n, 0), t.budget)
         self.words: dict[str, tuple] = {}
         self._reset()
 
+    def _near(self, word: str) -> bool:
+        """Whether a term may lie within its budget of ``word``. Never false where one does: words at k edits agree
+        once at most k letters are deleted from either."""
+        n, k, known = len(word), self.edits.get(len(word), 0), self.shortened
+        if not k:
+            return False
+        if word in known:
+            return True
+        for i in range(n):
+            one = word[:i] + word[i + 1 :]
+            if one in known:
+                return True
+            if k > 1:
+                for j in range(i, n - 1):
+                    if one[:j] + one[j + 1 :] in known:
+                        return True
+        return False
+
     def _reset(self) -> None:
         """Forget the states met so far; they are built again as words need them."""
         self.sets: list[tuple[tuple[int, int], ...]] = []
@@ -88,6 +116,9 @@ class FuzzyLexicon:
         todo = list(pairs)
         while todo:
             node, e = todo.pop()
+            if node < 0:  # the rest of a word after a stem
+                best[node] = 0
+                continue
             if e > self.reach[node] or best.get(node, 99) <= e:
                 continue
             best[node] = e
@@ -102,9 +133,12 @@ class FuzzyLexicon:
     def _next(self, state: int, c: str) -> int:
         out: set[tuple[int, int]] = set()
         for node, e in self.sets[state]:
+            if node < 0:
+                out.add((node, 0))
+                continue
             final = self.final[node]
             if e == 0 and final >= 0 and self.terms[final].stem:
-                out.add((node, 0))  # a stem absorbs the rest of the word
+                out.add((~node, 0))  # a stem absorbs the rest of the word
             for letter, n in self.child[node].items():
                 out.add((n, e if letter == c else e + 1))
             out.add((node, e + 1))
@@ -113,6 +147,9 @@ class FuzzyLexicon:
 
     def match(self, word: str) -> tuple:
         """((term, edits), ...) for the terms that accept ``word``, the nearest spelling of each."""
+        if not self._near(word):  # no term is matched with edits
+            found = [(self.stems[word[:k]], 0) for k in self.stem_sizes if k <= len(word) and word[:k] in self.stems]
+            return tuple(found + [(self.exact[word], 0)] if word in self.exact else found)
         state = self.start
         for c in word:
             got = self.step[state].get(c)
@@ -121,7 +158,7 @@ class FuzzyLexicon:
                 return ()
         found = []
         for node, e in self.sets[state]:
-            i = self.final[node]
+            i = self.final[node if node >= 0 else ~node]
             if i >= 0 and e <= self.terms[i].budget:
                 found.append((i, e))
         return tuple(found)
@@ -194,6 +231,15 @@ class Model:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
+def _shortened(text: str, most: int) -> set[str]:
+    """``text`` without up to ``most`` of its letters, in all ways."""
+    found = last = {text}
+    for _ in range(most):
+        last = {t[:i] + t[i + 1 :] for t in last for i in range(len(t))}
+        found = found | last
+    return found
+
+
 def _budget(text: str, stem: bool) -> int:
     if stem or not text.isascii():
         return 0
@@ -258,8 +304,7 @@ def held_out(id_):
 
 def choose_terms(counted: DataFrame, bad: int, good: int) -> list[Term]:
     """Seed terms and learned ones: enough toxic documents and strong odds. A stem must owe its
-    documents to several words, and a word covered by a chosen stem is left out. Only seeds and well-attested words
-    are matched with edits: a rare learned word is itself too close to others for that."""
+    documents to several words, and a word covered by a chosen stem is left out."""
     least = 2 if bad < 200 else 3
     odds = F.log((F.col("bad") + 0.2) / (bad + 1.0)) - F.log((F.col("good") + 0.4) / (good + 1.0))
     rows = counted.where(F.col("bad") >= least).withColumn("odds", odds).where("odds >= 2.5")
@@ -279,7 +324,7 @@ def choose_terms(counted: DataFrame, bad: int, good: int) -> list[Term]:
         if stem:
             stems[text] = r["odds"]
         if text not in chosen:
-            strong = not stem and r["odds"] >= 4 and r["good"] == 0 and r["bad"] >= max(10, 0.01 * bad)
+            strong = not stem and r["odds"] >= 4 and r["good"] == 0
             chosen[text] = Term(text, stem, float(r["odds"]), _budget(text, stem) if strong else 0)
         elif not stem:
             chosen[text].weight = float(r["odds"])

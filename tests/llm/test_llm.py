@@ -334,6 +334,27 @@ def test_levenshtein_automaton_equals_edit_distance():
         assert set(lexicon.match(word)) == want, word
 
 
+def test_learned_words_keep_their_edit_budget(spark):
+    rows = [("blorfing", 5, 0), ("grumblewort", 40, 0), ("sometimes", 300, 5)]  # rare, common, also in clean rows
+    counted = spark.createDataFrame(rows, "term string, bad long, good long")
+    terms = {t.text: t.budget for t in toxicity.choose_terms(counted, 1000, 10000)}
+    assert (terms["blorfing"], terms["grumblewort"], terms.get("sometimes", 0)) == (1, 2, 0)
+
+
+def test_words_skip_the_automaton_only_where_nothing_matches():
+    rng = random.Random(8)
+    letters = "abcd"
+    for _ in range(30):
+        texts = {"".join(rng.choice(letters) for _ in range(rng.randint(3, 10))) for _ in range(12)}
+        terms = [toxicity.Term(t, len(t) == 4, 1.0, 0 if len(t) < 5 else 1 if len(t) < 9 else 2) for t in sorted(texts)]
+        lexicon = toxicity.FuzzyLexicon(terms)
+        for _ in range(150):
+            word = "".join(rng.choice(letters) for _ in range(rng.randint(1, 12))) if rng.random() < 0.5 else rng.choice(terms).text + rng.choice(["", "a", "bcd"])
+            want = {(i, 0) for i, t in enumerate(terms) if t.stem and word.startswith(t.text)}
+            want |= {(i, edits(word, t.text)) for i, t in enumerate(terms) if not t.stem and edits(word, t.text) <= t.budget}
+            assert set(lexicon.match(word)) == want and len(lexicon.match(word)) == len(want), word
+
+
 def test_toxicity(spark, none):
     rng = random.Random(7)
     words = "the of and house river stone cloud garden letter morning".split()
