@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crossmotif.runtime import pick, stored
+from crossmotif.runtime import only_rows, pick, stored
 
 MIN_CHUNK, MAX_CHUNK = 128, 2048
 
@@ -90,6 +90,15 @@ def _with_variants(docs: DataFrame, variants: DataFrame, id_col: str, text_col:
     return plain.join(lists, "row", "left").withColumn("recipe", F.coalesce("recipe", empty)).drop("row")
 
 
+def _verified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Documents with recipes that are equal only for equal texts."""
+    listed, bodies = recipes(docs, id_col, text_col)
+    variants = stored(verified_variants(bodies), "exact-variants")
+    if not variants.isEmpty():
+        listed = _with_variants(docs, variants, id_col, text_col)
+    return stored(listed, "exact-recipes")
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -97,11 +106,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     all empty texts are one group. The row with the most code points stays, then the smallest doc_id (a
     null doc_id comes last). Rows repeated under one doc_id share its decision. An empty table gives none.
     """
-    listed, bodies = recipes(docs, id_col, text_col)
-    variants = stored(verified_variants(bodies), "exact-variants")
-    if not variants.isEmpty():
-        listed = _with_variants(docs, variants, id_col, text_col)
-    listed = stored(listed, "exact-recipes")
+    listed = _verified(docs, id_col, text_col)
     best = listed.groupBy("recipe").agg(
         F.max(F.struct(F.col("points"), (-F.col("id")).alias("low"))).alias("top"), F.count("*").alias("group_size")
     )
@@ -113,6 +118,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, once each, with all their columns."""
-    stays = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_stays")).distinct()
-    return docs.join(stays, docs[id_col].eqNullSafe(stays["_stays"])).drop("_stays").dropDuplicates([id_col])
+    """Of each group of equal texts one row, with all its columns: most code points, then smallest id, then least row.
+
+    A row is known by id, length and digest of its text, never by the id alone: null and repeated ids with other
+    texts are rows of their own.
+    """
+    best = _verified(docs, id_col, text_col).groupBy("recipe").agg(
+        F.max(F.struct(F.col("points"), (-F.col("id")).alias("low"))).alias("top"), F.min("sha").alias("sha")
+    )
+    stays = best.select((-F.col("top.low")).alias("_id"), F.col("top.points").alias("_points"), F.col("sha").alias("_sha"))
+    text = F.col(f"c{docs.columns.index(text_col)}")
+    return only_rows(docs, id_col, stays, {"_points": F.length(F.coalesce(text, F.lit(""))).cast("long"), "_sha": F.sha2(normalised(text), 256)})

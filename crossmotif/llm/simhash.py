@@ -15,11 +15,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crossmotif.operators.components import connected_components
-from crossmotif.runtime import pick, stored
+from crossmotif.runtime import only_rows, pick, stored
 
 WORDS, SEED, RADIUS = 4, 42, 4
 
@@ -46,7 +46,8 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.
     for batch in batches:
         texts = batch.column("text").cast(pa.binary())
         prints = np.fromiter((fingerprint(t.as_py() or b"", words) for t in texts), dtype=np.uint64, count=len(texts))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(prints.view(np.int64))], names=["id", "fp"])
+        rest = [c for c in batch.schema.names if c not in ("id", "text")]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(prints.view(np.int64)), *map(batch.column, rest)], names=["id", "fp", *rest])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
@@ -144,7 +145,19 @@ def simhash_groups(
     )
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose document names its group, with all their columns."""
-    stays = simhash_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_stays")).distinct()
-    return docs.join(stays, docs[id_col].eqNullSafe(stays["_stays"])).drop("_stays").dropDuplicates([id_col])
+def _mark(text: Column) -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+    """Of each component one row, with all its columns: smallest id (a null one last), then least digest of the text,
+    then least row. A row is known by its id and the digest, never by the id alone."""
+    rows = pick(docs, id=id_col, text=text_col).withColumn("mark", _mark(F.col("text")))
+    schema = f"id {dict(rows.dtypes)['id']}, fp long, mark string"
+    prints = stored(rows.mapInArrow(lambda b: _fingerprints(b, words), schema), "simhash-fp")
+    groups = stored(connected_components(near_links(prints, radius)), "simhash-components")
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "mark")
+    least = prints.groupBy("fp").agg(F.min(order).alias("low"))
+    least = least.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("group", F.coalesce("component", "fp"))
+    stays = least.groupBy("group").agg(F.min("low").alias("low")).select(F.col("low.id").alias("_id"), F.col("low.mark").alias("_mark"))
+    return only_rows(docs, id_col, stays, {"_mark": _mark(F.col(f"c{docs.columns.index(text_col)}"))})

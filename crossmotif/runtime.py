@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -21,6 +21,21 @@ def pick(df: DataFrame, **names: str) -> DataFrame:
     return flat.select(*[F.col(f"_{seen.index(name)}").alias(alias) for alias, name in names.items()])
 
 
+def only_rows(docs: DataFrame, id_col: str, stays: DataFrame, marks: dict[str, Column]) -> DataFrame:
+    """One row of ``docs`` for each row of ``stays`` (_id and the marks), the least of those that agree with it.
+
+    ``marks`` are expressions over the columns c0, c1, ... of ``docs`` by position.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*names).withColumns(marks)
+    theirs = stays.toDF(*[f"s{c}" for c in stays.columns])
+    same = F.col(f"c{docs.columns.index(id_col)}").eqNullSafe(F.col("s_id"))
+    for m in marks:
+        same = same & (F.col(m) == F.col(f"s{m}"))
+    kept = rows.join(theirs, same).groupBy("s_id", *marks).agg(F.min(F.struct(*names)).alias("row"))
+    return kept.select("row.*").toDF(*docs.columns)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A folder that driver and executors share; a local one only where none is configured."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

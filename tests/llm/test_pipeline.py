@@ -45,3 +45,16 @@ def test_stages(spark, folder):
     last = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
     assert sorted(r.doc_id for r in last.collect()) == sorted(r.doc_id for r in docs.collect())
     assert sorted(map(tuple, corpus_pipeline.run(spark, folder).collect())) == sorted(map(tuple, bpe.digests(bpe.encode_decode(docs)).collect()))
+
+
+def test_rows_without_or_with_shared_ids_stay_by_text(spark):
+    rng = random.Random(9)
+    words = [f"v{i}" for i in range(300)]
+    a, b, c, d = (" ".join(rng.choice(words) for _ in range(80)) for _ in range(4))
+    rows = [(None, a), (None, b), (5, c), (5, d), (None, a + " "), (6, c), (5, c)]
+    docs = spark.createDataFrame([(i, t, "en", f"s{n}", len(t)) for n, (i, t) in enumerate(rows)], DOCS)
+    want = {(None, a + " ", "s4"), (None, b, "s1"), (5, c, "s2"), (5, d, "s3")}
+    exact = exact_dedup.drop_exact_copies(docs)
+    assert sorted((r.doc_id or 0, r.text, r.source) for r in exact.collect()) == sorted((i or 0, t, s) for i, t, s in want)
+    near = simhash.drop_near_copies(docs)
+    assert sorted((r.doc_id or 0, r.text.strip()) for r in near.collect()) == sorted((i or 0, t.strip()) for i, t, _ in want)
