@@ -88,7 +88,7 @@ def luhn(number: Column) -> Column:
 def passes() -> Column:
     """The test that a match of a base pattern must pass."""
     span, n = F.col("span"), F.length(digits(F.col("span")))
-    small = lambda p: (F.length(F.ltrim(F.lit("0"), p)) <= 3) & (F.substring(F.concat(F.lit("000"), p), -3, 3).cast("int") <= 255)
+    small = lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (F.substring(F.concat(F.lit("000"), p), -3, 3).cast("int") <= 255)
     return (
         F.when(F.col("kind") == "email", True)
         .when(F.col("kind") == "ip", F.forall(F.split(span, "\\."), small))

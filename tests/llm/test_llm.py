@@ -255,6 +255,13 @@ def test_pii_base_spans(spark, none):
     assert pii.digests(pii.find_pii(none)).count() == 0
 
 
+def test_pii_address_parts_of_four_digits_and_more(spark):
+    texts = ["built 2024.1.15.3 ok", "1.1200.3.4", "10001.2.3.4", "0001.002.3.4", "00000255.1.1.0000", "1.2.3.0256", "1.2.3.4"]
+    got = by_id(pii.digests(pii.find_pii(documents(spark, texts))))
+    assert [got[i]["n_ip"] for i in range(7)] == [0, 0, 0, 1, 1, 0, 1]
+    assert all(got[i]["base_sha256"] == hashlib.sha256(plain_base_spans(t).encode()).hexdigest() for i, t in enumerate(texts))
+
+
 def test_pii_em_learns_reliabilities():
     rng = random.Random(4)
     patterns: dict = {}
