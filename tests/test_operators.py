@@ -131,6 +131,12 @@ def test_chain_assembly():
     assert best_chain(edges, longest=2) is None
 
 
+def test_the_pool_holds_all_standard_candidates(spark):
+    rel = tables(spark, [("a", "b", 1), ("b", "c", 1), ("c", "d", 1), ("d", "a", 1), ("a", "c", 1), ("c", "a", 1)], [(n, f"P{i}") for i, n in enumerate("abcd")])
+    kinds = {r["candidate_type"] for r in ask(spark, motifs.all_candidates, rel)}
+    assert {"chain", "multi_partition_bridge", "cycle4", "dense_subgraph", "directed_cycle"} <= kinds
+
+
 def test_directed_shape():
     from crossmotif.operators.custom import directed_shape
 
