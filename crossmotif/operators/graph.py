@@ -119,10 +119,10 @@ def minhash(d):
 
 
 def vector_pairs(d):
-    """Dot product and cosine of embeddings with the same label and neighbouring ids."""
+    """Dot product and cosine of all embeddings with the same label, each pair once."""
     dot = lambda a, b: d.dot(f"{a}.embedding", f"{b}.embedding")
     return f"""SELECT x.vec_id AS a, y.vec_id AS b, round({dot('x', 'y')}, 6) AS dot, round({dot('x', 'y')} / sqrt({dot('x', 'x')} * {dot('y', 'y')}), 6) AS cosine
-        FROM {{embeddings}} x JOIN {{embeddings}} y ON x.label = y.label AND y.vec_id BETWEEN x.vec_id + 1 AND x.vec_id + 20"""
+        FROM {{embeddings}} x JOIN {{embeddings}} y ON x.label = y.label AND y.vec_id > x.vec_id"""
 
 
 def log_buckets(d):
@@ -133,7 +133,7 @@ def log_buckets(d):
 def natural_order(d: SparkDialect):
     """Ids in natural order: e<number> and digit strings by number before other text."""
     number = "CAST(nullif(regexp_replace(edge_id, '^e', ''), '') AS BIGINT)"
-    return f"SELECT edge_id, CAST(row_number() OVER (ORDER BY {number}, edge_id) AS BIGINT) AS place FROM (SELECT * FROM {{flow}} WHERE src = '1') f"
+    return f"SELECT edge_id, CAST(row_number() OVER (ORDER BY {number}, edge_id) AS BIGINT) AS place FROM {{flow}} f"
 
 
 DEFINITIONS = {f.__name__: f for f in (

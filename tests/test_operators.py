@@ -137,6 +137,13 @@ def test_the_pool_holds_all_standard_candidates(spark):
     assert {"chain", "multi_partition_bridge", "cycle4", "dense_subgraph", "directed_cycle"} <= kinds
 
 
+def test_natural_order_and_vector_pairs_take_all_rows(spark):
+    rel = tables(spark, [("a", "b", 1), ("1", "c", 1), ("d", "a", 1)])
+    assert [(r["edge_id"], r["place"]) for r in sorted(ask(spark, graph.natural_order, rel), key=lambda r: r["place"])] == [("e0", 1), ("e1", 2), ("e2", 3)]
+    vectors = spark.createDataFrame([(i, i % 2, [1.0, float(i)]) for i in (1, 2, 101, 301)], "vec_id long, label int, embedding array<double>")
+    assert {(r["a"], r["b"]) for r in ask(spark, graph.vector_pairs, {"embeddings": vectors})} == {(1, 101), (1, 301), (101, 301)}
+
+
 def test_directed_shape():
     from crossmotif.operators.custom import directed_shape
 
