@@ -10,13 +10,12 @@ from pyspark.sql import functions as F
 
 from crossmotif.operators.components import connected_components
 
-HEAVY = 450_000.0  # edges above this weight form the graph whose components are sought
-CHAIN_LENGTH = 8
+CHAIN_LENGTH = 10
 
 
 def component_table(edges: DataFrame) -> DataFrame:
-    """(node, component): weakly connected components of the heavy edges, named by their smallest id."""
-    return connected_components(edges.where(F.col("weight") > HEAVY).select("src", "dst"))
+    """(node, component): weakly connected components of all edges, named by their smallest id."""
+    return connected_components(edges.select("src", "dst"))
 
 
 def component_party(components: DataFrame, parties: int = 5) -> DataFrame:
@@ -83,9 +82,8 @@ def best_chain(edges: pd.DataFrame, longest: int = CHAIN_LENGTH) -> tuple[list[s
 
 
 def chain_candidates(edges: DataFrame, longest: int = CHAIN_LENGTH) -> DataFrame:
-    """One CHAIN candidate per component of the heavy edges; the last of repeated edges counts."""
-    heavy = edges.where(F.col("weight") > HEAVY)
-    last = heavy.groupBy("src", "dst").agg(F.max_by("edge_id", "ord").alias("edge_id"), (F.max_by("weight", "ord") / 500000.0).alias("w"))
+    """One CHAIN candidate per component of the edges; the last of repeated edges counts."""
+    last = edges.groupBy("src", "dst").agg(F.max_by("edge_id", "ord").alias("edge_id"), F.max_by("weight", "ord").alias("w"))
     named = last.join(component_table(edges).withColumnRenamed("node", "src"), "src")
 
     def per_component(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -157,6 +155,20 @@ def _flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base_relations(spark, sf_dir, ["flow"])["flow"]
 
 
+def chain_edges(pairs: DataFrame) -> DataFrame:
+    """The mutual pairs whose best hypothesis is CHAIN as edges; an edge's id names both of its transactions."""
+    return pairs.where("best = 'CHAIN'").select(
+        F.col("src_node").alias("src"), F.col("dst_node").alias("dst"), F.concat_ws(",", "tx_s", "tx_r").alias("edge_id"), "weight",
+        F.struct("tag", "tx_s", "tx_r").alias("ord"),
+    )
+
+
+def _chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crossmotif.plans.catalog import queries
+
+    return chain_candidates(chain_edges(queries()["mutual_topk"](spark, sf_dir)))
+
+
 def _directed(spark: SparkSession, sf_dir: str) -> DataFrame:
     from crossmotif.plans.catalog import relations
 
@@ -166,13 +178,13 @@ def _directed(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "components": lambda spark, sf_dir: component_table(_flow(spark, sf_dir)),
     "component_party": lambda spark, sf_dir: component_party(component_table(_flow(spark, sf_dir))),
-    "chain_candidates": lambda spark, sf_dir: chain_candidates(_flow(spark, sf_dir)),
+    "chain_candidates": _chains,
     "directed_kernels": _directed,
 }
 
 
 def components_sql(flow: str) -> str:
-    """Reference: smallest reachable id by a recursive closure over the heavy edges."""
-    return f"""WITH RECURSIVE flow AS ({flow}), e AS (SELECT src AS a, dst AS b FROM flow WHERE weight > {HEAVY} UNION SELECT dst, src FROM flow WHERE weight > {HEAVY}),
+    """Reference: smallest reachable id by a recursive closure over all edges."""
+    return f"""WITH RECURSIVE flow AS ({flow}), e AS (SELECT src AS a, dst AS b FROM flow UNION SELECT dst, src FROM flow),
         r(node, other) AS (SELECT a, a FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.other = e.a)
         SELECT node, min(other) AS component FROM r GROUP BY node"""

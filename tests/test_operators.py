@@ -131,6 +131,18 @@ def test_chain_assembly():
     assert best_chain(edges, longest=2) is None
 
 
+def test_components_take_light_edges(spark):
+    from crossmotif.operators.custom import chain_candidates, chain_edges, component_table
+
+    rel = tables(spark, [("a", "b", 1), ("b", "c", 500000), ("x", "y", 2)])
+    got = {r.node: r.component for r in component_table(rel["flow"]).collect()}
+    assert got == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x"}
+    rows = [("t", f"n{i}", f"n{i + 1}", f"s{i}", f"r{i}", 0.9, "CHAIN") for i in range(9)] + [("t", "n3", "z", "s", "r", 1.0, "FAN")]
+    pairs = spark.createDataFrame(rows, "tag string, src_node string, dst_node string, tx_s string, tx_r string, weight double, best string")
+    found = chain_candidates(chain_edges(pairs)).collect()
+    assert [(r.num_nodes, r.num_edges, r.score_min) for r in found] == [(10, 9, 0.9)]
+
+
 def test_the_pool_holds_all_standard_candidates(spark):
     rel = tables(spark, [("a", "b", 1), ("b", "c", 1), ("c", "d", 1), ("d", "a", 1), ("a", "c", 1), ("c", "a", 1)], [(n, f"P{i}") for i, n in enumerate("abcd")])
     kinds = {r["candidate_type"] for r in ask(spark, motifs.all_candidates, rel)}
