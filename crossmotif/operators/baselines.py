@@ -45,10 +45,10 @@ def _signatures(d: SparkDialect, mode: str) -> str:
     return "SELECT node, party, " + ", ".join(f"{c} / sqrt({norm}) AS {c}" for c in MODES[mode]) + f" FROM ({base}) b"
 
 
-def _alignment(mode: str, per_party: int = 40):
+def _alignment(mode: str, per_party: int = 500):
     def definition(d):
         """Best partner of each node in every later party by signature dot product. At most ``per_party`` nodes, the
-        busiest first, stand for a party: the cap is the operator's own and bounds the pairs."""
+        busiest first, stand for a party: the cap is that of the configurations and bounds the pairs."""
         top = f"""SELECT * FROM (SELECT s.*, row_number() OVER (PARTITION BY party ORDER BY g.deg DESC, s.node) AS pick FROM ({_signatures(d, mode)}) s
             JOIN ({DEG}) g ON s.node = g.node) t WHERE pick <= {per_party}"""
         dot = " + ".join(f"x.{c} * y.{c}" for c in MODES[mode])

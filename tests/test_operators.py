@@ -156,6 +156,12 @@ def test_natural_order_and_vector_pairs_take_all_rows(spark):
     assert {(r["a"], r["b"]) for r in ask(spark, graph.vector_pairs, {"embeddings": vectors})} == {(1, 101), (1, 301), (101, 301)}
 
 
+def test_alignment_takes_more_than_forty_nodes_of_a_party(spark):
+    edges = [(f"a{i}", f"b{i}", 1) for i in range(45)]
+    rel = tables(spark, edges, [(f"{p}{i}", p.upper()) for p in "ab" for i in range(45)])
+    assert len({r["a"] for r in ask(spark, baselines.DEFINITIONS["align_hlot"], rel)}) == 45
+
+
 def test_directed_shape():
     from crossmotif.operators.custom import directed_shape
 
