@@ -3,9 +3,10 @@
 The lexicon holds seed terms and terms or stems learned from labelled documents. Walking a
 word through the product of the trie with a Levenshtein automaton finds every term within
 its allowed distance; the product is determinised lazily, so a word costs one table look-up
-per character. Words that no term can be near, by their shortened forms, skip the walk. Each mention is then read in its window: quotation marks and reporting words
-near it speak for quotation, second-person words and further mentions for abuse. A logistic
-model, fitted on a bounded sample of labelled rows, weighs the mentions.
+per character. Words that no term can be near, by hashes of their shortened forms, skip the
+walk. Each mention is then read in its window: quotation marks and reporting words near it
+speak for quotation, second-person words and further mentions for abuse. A logistic model,
+fitted on a bounded sample of labelled rows, weighs the mentions.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import islice
 
@@ -35,12 +36,29 @@ QUOTES = set("\"'“”„«»‘’`")
 
 WINDOW = 6
 SAMPLE_ROWS = 24_000  # labelled rows used for fitting, at most
-LEARNED_TERMS = 4_000  # learned terms and stems, at most
+LEAST_ROWS, LEAST_ODDS, LEAST_EVIDENCE = 2, 2.5, 6.0  # of a learned term: toxic rows, log odds, log odds x root of rows
 STEMS = (4, 5, 6, 7)
 WORD = re.compile(r"\w+")
+TOGETHER = 2 << 20  # characters whose unseen words are screened together
+PIECE = re.compile(r"\w+|\n")
 ACCEPT = 0.7
 
 
+# Running hashes: letter i of a word counts for its code times BASE ** i, modulo 2 ** 64.
+BASE = 0x9E3779B97F4A7C15
+INVERSE, INVERSE_2 = np.uint64(pow(BASE, -1, 1 << 64)), np.uint64(pow(BASE, -2, 1 << 64))
+STEM_SALT = 0x5851F42D4C957F2D
+
+
+def _running(codes: np.ndarray) -> np.ndarray:
+    """Hashes of the first 0, 1, ... letters of the words in the rows of ``codes``."""
+    n, width = codes.shape
+    out = np.zeros((n, width + 1), dtype=np.uint64)
+    for i in range(width):
+        out[:, i + 1] = out[:, i] + (codes[:, i] + np.uint64(1)) * np.uint64(pow(BASE, i, 1 << 64))
+    return out
+
+
 @dataclass
 class Term:
     text: str
@@ -50,9 +68,15 @@ class Term:
 
 
 class FuzzyLexicon:
-    """Trie of terms, intersected with the Levenshtein automaton of the word being read."""
+    """Trie of terms, intersected with the Levenshtein automaton of the word being read.
+
+    Unseen words are first screened together: two words within k edits agree once at most k letters are deleted from
+    either, so a word none of whose shortened forms (or beginnings, for stems) hashes like one of a term matches
+    nothing. Hashes are looked up in a bit table and cannot miss; words that pass walk the automaton.
+    """
 
-    STATES, WORDS, SPARE = 60_000, 600_000, 100_000
+    STATES, WORDS, SPARE = 60_000, 300_000, 100_000
+    BITS = 22  # of a slot in the screening table
 
     def __init__(self, terms: list[Term]):
         self.terms = terms
@@ -72,36 +96,54 @@ class FuzzyLexicon:
                 self.reach[node] = max(self.reach[node], t.budget)
             if self.final[node] < 0:
                 self.final[node] = i
-        self.exact = {t.text: i for i, t in enumerate(terms) if not t.stem}
-        self.stems = {t.text: i for i, t in enumerate(terms) if t.stem}
-        self.stem_sizes = sorted({len(s) for s in self.stems})
         self.edits: dict[int, int] = {}  # length of a word: largest budget among the terms it can be near
-        self.shortened: set[str] = set()  # terms with a budget, without up to so many of their letters
+        self.stem_sizes = sorted({len(t.text) for t in terms if t.stem})
+        self.table = np.zeros(1 << self.BITS, dtype=bool)
         for t in terms:
-            if t.budget:
-                self.shortened |= _shortened(t.text, t.budget)
-                for n in range(len(t.text) - t.budget, len(t.text) + t.budget + 1):
-                    self.edits[n] = max(self.edits.get(n, 0), t.budget)
+            if t.stem:
+                self._enter(STEM_SALT, [t.text])
+            self._enter(0, list(_shortened(t.text, t.budget)))
+            for n in range(len(t.text) - t.budget, len(t.text) + t.budget + 1):
+                self.edits[n] = max(self.edits.get(n, 0), t.budget)
         self.words: dict[str, tuple] = {}
         self._reset()
 
-    def _near(self, word: str) -> bool:
-        """Whether a term may lie within its budget of ``word``. Never false where one does: words at k edits agree
-        once at most k letters are deleted from either."""
-        n, k, known = len(word), self.edits.get(len(word), 0), self.shortened
-        if not k:
-            return False
-        if word in known:
-            return True
-        for i in range(n):
-            one = word[:i] + word[i + 1 :]
-            if one in known:
-                return True
-            if k > 1:
-                for j in range(i, n - 1):
-                    if one[:j] + one[j + 1 :] in known:
-                        return True
-        return False
+    def _slots(self, h: np.ndarray) -> np.ndarray:
+        return ((h ^ (h >> np.uint64(29))) * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(64 - self.BITS)
+
+    def _enter(self, salt: int, texts: list[str]) -> None:
+        for t in texts:
+            codes = np.array([[ord(c) for c in t]], dtype=np.uint64).reshape(1, len(t))
+            self.table[self._slots(_running(codes)[:, -1] + np.uint64(salt))] = True
+
+    def screened(self, words: list[str]) -> list[str]:
+        """The words that may match a term; all that do are among them."""
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        starts = np.cumsum(sizes) - sizes
+        out: list[str] = []
+        known = lambda h: self.table[self._slots(h)]
+        for n in np.unique(sizes).tolist():
+            k, stems = self.edits.get(n, -1), [z for z in self.stem_sizes if z <= n]
+            if k < 0 and not stems:
+                continue
+            for own in np.array_split(np.flatnonzero(sizes == n), (sizes == n).sum() // 20_000 + 1):
+                # Beyond the stems only the whole word counts, and only where its length is near a term's.
+                width = n if k >= 0 else max(stems)
+                run = _running(codes[starts[own][:, None] + np.arange(width)].astype(np.uint64))
+                hit = np.zeros(len(own), dtype=bool)
+                for z in stems:
+                    hit |= known(run[:, z] + np.uint64(STEM_SALT))
+                if k >= 0:
+                    whole = run[:, n]
+                    hit |= known(whole)
+                    for i in range(n if k > 0 else 0):
+                        # Letters after a deleted one move down by a place.
+                        hit |= known(run[:, i] + (whole - run[:, i + 1]) * INVERSE)
+                        for j in range(i + 1, n if k > 1 else 0):
+                            hit |= known(run[:, i] + (run[:, j] - run[:, i + 1]) * INVERSE + (whole - run[:, j + 1]) * INVERSE_2)
+                out += [words[x] for x in own[hit].tolist()]
+        return out
 
     def _reset(self) -> None:
         """Forget the states met so far; they are built again as words need them."""
@@ -147,9 +189,6 @@ class FuzzyLexicon:
 
     def match(self, word: str) -> tuple:
         """((term, edits), ...) for the terms that accept ``word``, the nearest spelling of each."""
-        if not self._near(word):  # no term is matched with edits
-            found = [(self.stems[word[:k]], 0) for k in self.stem_sizes if k <= len(word) and word[:k] in self.stems]
-            return tuple(found + [(self.exact[word], 0)] if word in self.exact else found)
         state = self.start
         for c in word:
             got = self.step[state].get(c)
@@ -163,18 +202,24 @@ class FuzzyLexicon:
                 found.append((i, e))
         return tuple(found)
 
-    def mentions(self, token: str) -> tuple:
-        """Matches of all words inside a white-space token; remembered."""
-        got = self.words.get(token)
-        if got is None:
-            if len(self.sets) > self.STATES:
-                self._reset()
-            if len(self.words) > self.WORDS + self.SPARE:  # early, so mostly frequent, tokens stay
-                for t in list(islice(self.words, self.WORDS, None)):
-                    del self.words[t]
-            got = tuple(m for w in WORD.findall(token.lower()) for m in self.match(w))
-            self.words[token] = got
-        return got
+    def make_room(self) -> None:
+        if len(self.sets) > self.STATES:
+            self._reset()
+        if len(self.words) > self.WORDS + self.SPARE:  # early, so mostly frequent, tokens stay
+            for t in list(islice(self.words, self.WORDS, None)):
+                del self.words[t]
+
+    def learn(self, new: list[str]) -> None:
+        """Remember the matches of all words inside white-space tokens not met before."""
+        self.words.update(dict.fromkeys(new, ()))
+        pieces = PIECE.findall("\n".join(new).lower())
+        known = {w: m for w in self.screened(list(set(pieces) - {"\n"})) if (m := self.match(w))}
+        at = 0
+        for p in pieces if known else ():
+            if p == "\n":
+                at += 1
+            elif p in known:
+                self.words[new[at]] += known[p]
 
 
 # Fixed feature slots before those of the terms.
@@ -182,13 +227,30 @@ N_FIXED = 6
 QUOTED, ADDRESSED, TOTAL, DENSITY, FUZZY, CROWD = range(N_FIXED)
 
 
-def features(text: str, lexicon: FuzzyLexicon) -> dict[int, float]:
-    """Sparse features of a whole text."""
-    tokens = text.split()
-    known = lexicon.words.get
-    got = list(map(known, tokens))
-    if None in got:
-        got = [lexicon.mentions(t) if m is None else m for t, m in zip(tokens, got)]
+def featured(texts: Iterable[str], lexicon: FuzzyLexicon) -> Iterator[dict[int, float]]:
+    """Sparse features of whole texts, in order; unseen tokens of about TOGETHER characters are learned at once."""
+    held: list[list[str]] = []
+    size = 0
+
+    def flush() -> Iterator[dict[int, float]]:
+        lexicon.make_room()
+        lexicon.learn(list({t for tokens in held for t in tokens}.difference(lexicon.words)))
+        for tokens in held:
+            yield features(tokens, lexicon)
+        held.clear()
+
+    for text in texts:
+        held.append(text.split())
+        size += len(text)
+        if size >= TOGETHER:
+            yield from flush()
+            size = 0
+    yield from flush()
+
+
+def features(tokens: list[str], lexicon: FuzzyLexicon) -> dict[int, float]:
+    """Sparse features of a whole text by its white-space tokens, all of which the lexicon has learned."""
+    got = list(map(lexicon.words.__getitem__, tokens))
     at = [i for i, m in enumerate(got) if m]
     out: dict[int, float] = {}
     if not at:
@@ -241,7 +303,7 @@ def _shortened(text: str, most: int) -> set[str]:
 
 
 def _budget(text: str, stem: bool) -> int:
-    if stem or not text.isascii():
+    if stem:
         return 0
     return 0 if len(text) < 5 else 1 if len(text) < 9 else 2
 
@@ -265,7 +327,7 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sparse(batches: Iterator[pa.RecordBatch], terms: list[Term]) -> Iterator[pa.RecordBatch]:
     lexicon = FuzzyLexicon(terms)
     for batch in batches:
-        rows = [features(t or "", lexicon) for t in batch.column("text").to_pylist()]
+        rows = list(featured((t.as_py() or "" for t in batch.column("text")), lexicon))
         yield pa.RecordBatch.from_arrays(
             [batch.column("toxic").cast(pa.int32()), pa.array([list(r) for r in rows], pa.list_(pa.int32())), pa.array([list(r.values()) for r in rows], pa.list_(pa.float64()))],
             names=["toxic", "slots", "vals"],
@@ -305,10 +367,9 @@ def held_out(id_):
 def choose_terms(counted: DataFrame, bad: int, good: int) -> list[Term]:
     """Seed terms and learned ones: enough toxic documents and strong odds. A stem must owe its
     documents to several words, and a word covered by a chosen stem is left out."""
-    least = 2 if bad < 200 else 3
     odds = F.log((F.col("bad") + 0.2) / (bad + 1.0)) - F.log((F.col("good") + 0.4) / (good + 1.0))
-    rows = counted.where(F.col("bad") >= least).withColumn("odds", odds).where("odds >= 2.5")
-    rows = rows.orderBy((F.col("odds") * F.sqrt("bad")).desc(), "term").limit(LEARNED_TERMS).collect()  # bounded
+    rows = counted.where(F.col("bad") >= LEAST_ROWS).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
+    rows = rows.where(F.col("odds") * F.sqrt("bad") >= LEAST_EVIDENCE).orderBy("term").collect()  # terms of the bounded sample
     chosen: dict[str, Term] = {t: Term(t, False, 3.0, _budget(t, False)) for t in SEED_TERMS}
     stems: dict[str, float] = {}
     leading: Counter = Counter()  # most documents that any single word gives a stem
@@ -355,7 +416,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     lexicon = FuzzyLexicon(model.terms)
     for batch in batches:
-        scores = [model.score(features(t.as_py() or "", lexicon)) for t in batch.column("text")]
+        scores = [model.score(f) for f in featured((t.as_py() or "" for t in batch.column("text")), lexicon)]
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(scores, pa.float64())], names=["id", "score"])
 
 
@@ -379,7 +440,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = FuzzyLexicon(model.terms)
         for batch in batches:
-            low = [model.score(features(t.as_py() or "", lexicon)) < ACCEPT for t in batch.column(at)]
+            low = [model.score(f) < ACCEPT for f in featured((t.as_py() or "" for t in batch.column(at)), lexicon)]
             yield batch.filter(pa.array(low, pa.bool_()))
 
     return flat.mapInArrow(keep, flat.schema).toDF(*docs.columns)

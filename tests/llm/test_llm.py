@@ -350,16 +350,27 @@ def test_learned_words_keep_their_edit_budget(spark):
 
 def test_words_skip_the_automaton_only_where_nothing_matches():
     rng = random.Random(8)
-    letters = "abcd"
+    letters = "abcé"
     for _ in range(30):
         texts = {"".join(rng.choice(letters) for _ in range(rng.randint(3, 10))) for _ in range(12)}
         terms = [toxicity.Term(t, len(t) == 4, 1.0, 0 if len(t) < 5 else 1 if len(t) < 9 else 2) for t in sorted(texts)]
         lexicon = toxicity.FuzzyLexicon(terms)
         for _ in range(150):
-            word = "".join(rng.choice(letters) for _ in range(rng.randint(1, 12))) if rng.random() < 0.5 else rng.choice(terms).text + rng.choice(["", "a", "bcd"])
+            word = "".join(rng.choice(letters) for _ in range(rng.randint(1, 12))) if rng.random() < 0.5 else rng.choice(terms).text + rng.choice(["", "a", "bcé"])
             want = {(i, 0) for i, t in enumerate(terms) if t.stem and word.startswith(t.text)}
             want |= {(i, edits(word, t.text)) for i, t in enumerate(terms) if not t.stem and edits(word, t.text) <= t.budget}
             assert set(lexicon.match(word)) == want and len(lexicon.match(word)) == len(want), word
+            assert not want or lexicon.screened(["zz", word, "zzzzz"]) == [word], word
+
+
+def test_misspelled_terms_are_found_in_long_texts_of_any_script():
+    terms = [toxicity.Term(t, False, 1.0, toxicity._budget(t, False)) for t in ("blorfing", "müllhaufen", "погань", "pig")]
+    lexicon = toxicity.FuzzyLexicon(terms)
+    far = "river stone " * 50_000
+    texts = [far + "blorfnig, " + far, "ein Müllhafen!", "эта погнь", "pi pigs", "", "Blorfing \"blorfing\""]
+    found = [{k - toxicity.N_FIXED for k in f if k >= toxicity.N_FIXED} for f in toxicity.featured(texts, lexicon)]
+    assert found == [set(), {1}, {2}, set(), set(), {0}]  # a swap of letters takes two edits, the budget of eight letters is one
+    assert [{k - toxicity.N_FIXED for k in f if k >= toxicity.N_FIXED} for f in toxicity.featured([far + "blorfinng " + far], lexicon)] == [{0}]
 
 
 def test_toxicity(spark, none):
