@@ -1,16 +1,18 @@
 """Personal data by weak supervision (built-in functions only on the main path).
 
-Candidate spans come from four validated base patterns and from wider ones. Labelers vote
-on each candidate: regular-expression labelers on its form, gazetteer labelers on its parts
-and context labelers on cue words beside it. Expectation-maximisation over the counts of
-vote patterns (a small fixed number of rows) estimates how reliable each labeler is; its
+Candidate spans are all matches of four base patterns, those that fail their test included,
+and of wider ones. Labelers vote on each candidate, for, against or not at all: regular
+expressions and checksums on its form, gazetteers on its parts, and context labelers on cue
+words beside it. Expectation-maximisation over the counts of vote patterns (a fixed number of
+rows) estimates how often each labeler votes which way on true and on false spans; its
 posteriors train a logistic span classifier over the votes and two shape features, which
-decides on the wider candidates. Base spans always stay.
+decides on the candidates that no base pattern settles. Base spans always stay.
 """
 
 from __future__ import annotations
 
 import math
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,43 +37,71 @@ WIDE = {
     "card": r"(?<![0-9])[0-9]{4}[./_][0-9]{4}[./_][0-9]{4}[./_][0-9]{4}(?![0-9])",
     "phone": r"(?<![0-9+)\x20-])\x20?(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9-])",
 }
-# Gazetteers.
-DOMAINS = "com org net edu gov info biz io co de fr es uk example".split()
+# A cheap test that a text must pass before the patterns of a kind are tried.
+RARE = {"email": "@|(?i)\\[at\\]|\\(at\\)|\\{at\\}", "ip": "[0-9]\\[?\\.", "card": "[0-9]", "phone": "\\+[0-9]|[0-9][.-][0-9]|[0-9]\\)"}
+
+# Gazetteers. Domain endings: the generic ones below and any two letters (countries).
+GENERIC = (
+    "com org net edu gov mil int info biz name pro museum aero coop jobs mobi travel tel cat asia post xxx app dev page blog shop store "
+    "online site tech cloud email live news media agency digital group team work world life space website example test invalid local"
+).split()
+# Card issuers as (first digits, numbers of digits).
+ISSUERS = (
+    ("4", "13|16|19"), ("5[1-5]", "16"), ("222[1-9]|22[3-9][0-9]|2[3-6][0-9]{2}|27[01][0-9]|2720", "16"), ("3[47]", "15"), ("6011|64[4-9]|65", "16|17|18|19"),
+    ("352[89]|35[3-8][0-9]", "16|17|18|19"), ("30[0-5]|36|3[89]", "14|15|16|17|18|19"), ("62", "16|17|18|19"), ("50|5[6-9]|6[037]", "13|14|15|16|17|18|19"),
+)
+# Country calling codes: of one and two digits, else any three that begin like a zone; a North American number has area
+# and exchange codes that begin with 2 to 9.
+CALLING = "1[2-9][0-9]{2}[2-9]|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|2[1-69][0-9]|3[578][0-9]|42[0-9]|5[09][0-9]|6[789][0-9]|8[05789][0-9]|9[679][0-9]"
+# Networks that name no host: this network, loopback, link-local, multicast and reserved.
+NOWHERE = "0|127|169\\.254|22[4-9]|23[0-9]|24[0-9]|25[0-5]"
 CUES = {
-    "email": "e-?mail|mailto|contact|write to|reach|correo|courriel|kontakt",
-    "ip": "ip|host|server|address|login|client|adresse",
-    "card": "card|visa|mastercard|amex|credit|payment|karte|carte|tarjeta",
-    "phone": "phone|tel|call|fax|mobile|telefon|telefono|appel",
+    "email": "e-?mails?|mailto|contact|write to|reach|inbox|correo|courriel|kontakt|schreiben",
+    "ip": "ips?|hosts?|server|address|login|client|router|ping|adresse|dirección",
+    "card": "cards?|visa|mastercard|amex|credit|payment|debit|iban|karte|carte|tarjeta",
+    "phone": "phone|tel|call|fax|mobile|cell|dial|whatsapp|telefon|teléfono|téléphone|appel|rufen",
 }
-AGAINST = "order|invoice|version|isbn|serial|ticket|sku|build|page|section|no\\."
+AGAINST = "orders?|invoice|version|isbn|issn|serial|ticket|sku|build|page|section|release|rev|part|model|lot|id|ref|no|nr|rechnung|factura|facture|bestellung|pedido"
 WINDOW = 40  # characters of context on either side
 LABELERS = ("form", "gazetteer", "cue", "against")
-FEATURES = (*LABELERS, "plain", "first")
+SHAPES = ("plain", "first")
+FEATURES = (*LABELERS, *SHAPES)
 ROUNDS, ACCEPT = 50, 0.9
+# Before any data: chances of a vote for, against and of none on a true and on a false span, worth STRENGTH votes each.
+BELIEFS = {
+    "form": ((0.70, 0.05, 0.25), (0.20, 0.60, 0.20)),
+    "gazetteer": ((0.60, 0.10, 0.30), (0.25, 0.45, 0.30)),
+    "cue": ((0.40, 0.01, 0.59), (0.04, 0.01, 0.95)),
+    "against": ((0.01, 0.03, 0.96), (0.01, 0.40, 0.59)),
+}
+STRENGTH = 20.0
+VOTES = (1, 0, -1)
+
+
+def _found(kind: str, pattern: str, wide: bool) -> Column:
+    """Leftmost non-overlapping matches in a text, in order: (kind, wide, pos, span, gap, left, right). The pieces between
+    the matches and the matches alternate, so running lengths give the offsets later on."""
+    hits, pieces = F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), F.split("text", pattern, -1)
+    both = F.arrays_zip(hits.alias("hit"), pieces.alias("gap"), F.slice(pieces, 2, F.size(pieces)).alias("next"))
+    listed = F.transform(
+        both,
+        lambda x, i: F.struct(
+            F.lit(kind).alias("kind"), F.lit(wide).alias("wide"), i.alias("pos"), x["hit"].alias("span"), F.length(x["gap"]).alias("gap"),
+            F.right(x["gap"], F.lit(WINDOW)).alias("left"), F.left(x["next"], F.lit(WINDOW)).alias("right"),
+        ),
+    )
+    return F.when(F.col("text").rlike(RARE[kind]), F.filter(listed, lambda x: x["span"].isNotNull()))
 
 
-def matches(rows: DataFrame, kind: str, pattern: str, base: bool) -> DataFrame:
-    """(row, kind, base, start, end, span, left, right) of the leftmost non-overlapping matches, in code points.
+def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, id, found): one stored row per row of ``docs`` with all its matches. Texts are read here and nowhere else, so
+    row numbers and spans belong together however ``docs`` was made and whatever is computed again."""
+    rows = pick(docs, id=id_col, text=text_col).select("id", F.coalesce("text", F.lit("")).alias("text"))
+    lists = [F.coalesce(_found(k, p[k], w), F.array().cast(MATCHES)) for p, w in ((BASE, False), (WIDE, True)) for k in KINDS]
+    return stored(rows.select(F.monotonically_increasing_id().alias("row"), "id", F.concat(*lists).alias("found")), "pii-matches")
 
-    The pieces between the matches and the matches alternate, so running lengths give the offsets; each
-    text is looked through once for either, and only where a cheap test finds the pattern's characters.
-    """
-    rare = {"email": "@|\\[at\\]|\\(at\\)|\\{at\\}", "phone": "\\+[0-9]|[0-9][.-][0-9]"}.get(kind, "[0-9]")
-    found = rows.where(F.col("text").rlike(rare)).select("row", "text")
-    found = found.select(
-        "row",
-        F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("hits"),
-        F.split("text", pattern, -1).alias("pieces"),
-    ).where(F.size("hits") > 0)
-    pairs = found.select("row", F.posexplode(F.arrays_zip("hits", "pieces", F.slice("pieces", 2, F.size("pieces")).alias("after"))))
-    pairs = pairs.select("row", "pos", F.col("col.hits").alias("span"), F.col("col.pieces").alias("gap"), F.col("col.after").alias("next"))
-    pairs = pairs.where("span is not null")
-    upto = Window.partitionBy("row").orderBy("pos")
-    end = F.sum(F.length("gap") + F.length("span")).over(upto)
-    return pairs.select(
-        "row", F.lit(kind).alias("kind"), F.lit(base).alias("base"), (end - F.length("span")).cast("long").alias("start"),
-        end.cast("long").alias("end"), "span", F.right("gap", F.lit(WINDOW)).alias("left"), F.left("next", F.lit(WINDOW)).alias("right"),
-    )
+
+MATCHES = "array<struct<kind:string,wide:boolean,pos:int,span:string,gap:int,left:string,right:string>>"
 
 
 def digits(span: Column) -> Column:
@@ -85,30 +115,33 @@ def luhn(number: Column) -> Column:
     return F.aggregate(F.transform(F.filter(back, lambda d: d != ""), value), F.lit(0), lambda a, b: a + b) % 10 == 0
 
 
+def _address(span: Column) -> Column:
+    """Whether all parts of an address are at most 255, however many zeros they begin with."""
+    small = lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (F.substring(F.concat(F.lit("000"), p), -3, 3).cast("int") <= 255)
+    return F.forall(F.split(span, "\\."), small)
+
+
 def passes() -> Column:
-    """The test that a match of a base pattern must pass."""
+    """The test that a match of a base pattern must pass to be a base span."""
     span, n = F.col("span"), F.length(digits(F.col("span")))
-    small = lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (F.substring(F.concat(F.lit("000"), p), -3, 3).cast("int") <= 255)
     return (
         F.when(F.col("kind") == "email", True)
-        .when(F.col("kind") == "ip", F.forall(F.split(span, "\\."), small))
+        .when(F.col("kind") == "ip", _address(span))
         .when(F.col("kind") == "card", F.when(n.between(13, 19), luhn(digits(span))).otherwise(False))
         .otherwise(n.between(9, 15))
     )
 
 
-def candidates(rows: DataFrame) -> DataFrame:
-    """Base spans and wider candidates, the latter where no base span of any kind overlaps them."""
-    base = None
-    for kind in KINDS:
-        part = matches(rows, kind, BASE[kind], True)
-        base = part if base is None else base.unionByName(part)
-    base = base.where(passes())
-    wide = None
-    for kind in KINDS:
-        part = matches(rows, kind, WIDE[kind], False)
-        wide = part if wide is None else wide.unionByName(part)
-    return base.unionByName(wide)
+def candidates(found: DataFrame) -> DataFrame:
+    """(row, kind, base, start, end, span, left, right) of all matches, in code points. Matches that could not be of their
+    kind at all (bare runs of fewer than 13 or more than 19 digits as cards) are no candidates."""
+    each = found.select("row", F.explode("found").alias("m")).select("row", "m.*")
+    upto = Window.partitionBy("row", "kind", "wide").orderBy("pos")
+    end = F.sum(F.col("gap") + F.length("span")).over(upto)
+    placed = each.withColumn("end", end.cast("long")).withColumn("base", ~F.col("wide") & passes())
+    number = F.length(digits(F.col("span")))
+    possible = F.col("wide") | F.col("base") | F.when(F.col("kind") == "card", number.between(13, 19)).when(F.col("kind") == "phone", number.between(7, 16)).otherwise(True)
+    return placed.where(possible).select("row", "kind", "base", (F.col("end") - F.length("span")).alias("start"), "end", "span", "left", "right")
 
 
 def votes(spans: DataFrame) -> DataFrame:
@@ -116,23 +149,28 @@ def votes(spans: DataFrame) -> DataFrame:
     kind, span = F.col("kind"), F.col("span")
     near = F.lower(F.concat_ws(" ", "left", F.lit("|"), "right"))
     number = digits(span)
+    yes = lambda c: F.when(c, 1).otherwise(0)
     form = (
-        F.when(kind == "email", F.when(span.rlike("^[A-Za-z0-9]"), 1).otherwise(0))
-        .when(kind == "ip", F.when(F.forall(F.split(F.regexp_replace(span, "[\\[\\]]", ""), "\\."), lambda p: p.cast("int") <= 255), 1).otherwise(0))
-        .when(kind == "card", F.when(luhn(number), 1).otherwise(0))
-        .otherwise(F.when(F.length(number).between(9, 15), 1).otherwise(F.when(F.length(number) == 10, 1).otherwise(-1)))
+        F.when(kind == "email", yes(span.rlike("^[A-Za-z0-9]") & ~span.rlike("\\.\\.|[.-]@|@-")))
+        .when(kind == "ip", yes(_address(F.regexp_replace(span, "[\\[\\]]", ""))))
+        .when(kind == "card", yes(luhn(number)))
+        .otherwise(F.when(F.length(number).between(9, 15) & span.rlike("^\\+"), 1).otherwise(F.when(F.length(number) == 10, -1).otherwise(0)))
     )
     domain = F.lower(F.regexp_extract(span, "([A-Za-z]+)\\W*$", 1))
+    issued = F.lit(False)
+    for first, sizes in ISSUERS:
+        issued = issued | (number.rlike(f"^(?:{first})") & F.length(number).isin([int(n) for n in sizes.split("|")]))
+    called = F.when(span.rlike("^\\+"), number.rlike(f"^(?:{CALLING})")).otherwise(number.rlike("^1?[2-9][0-9]{2}[2-9]"))
     gazetteer = (
-        F.when(kind == "email", F.when(domain.isin(DOMAINS), 1).otherwise(0))
-        .when(kind == "ip", F.when(span.rlike("^(0|127|255)\\D"), 0).otherwise(-1))
-        .when(kind == "card", F.when(number.rlike("^(4|5[1-5]|2[2-7]|3[47]|6)"), 1).otherwise(0))
-        .otherwise(F.when(number.rlike("^1?[2-9][0-9]{2}[2-9]"), 1).otherwise(-1))
+        F.when(kind == "email", yes((F.length(domain) == 2) | domain.isin(GENERIC)))
+        .when(kind == "ip", F.when(span.rlike(f"^(?:{NOWHERE})\\b"), 0).otherwise(-1))
+        .when(kind == "card", yes(issued))
+        .otherwise(yes(called))
     )
     cue = F.lit(-1)
     for k in KINDS:
-        cue = F.when((kind == k) & near.rlike(f"\\b(?:{CUES[k]})\\b"), 1).otherwise(cue)
-    against = F.when(F.lower(F.col("left")).rlike(f"(?:{AGAINST})\\W*$"), 0).otherwise(-1)
+        cue = F.when((kind == k) & near.rlike(f"(?<!\\p{{L}})(?:{CUES[k]})(?!\\p{{L}})"), 1).otherwise(cue)
+    against = F.when(F.lower(F.col("left")).rlike(f"(?<!\\p{{L}})(?:{AGAINST})\\W*$"), 0).otherwise(-1)
     return spans.select(
         "*", form.cast("int").alias("form"), gazetteer.cast("int").alias("gazetteer"), cue.cast("int").alias("cue"),
         against.cast("int").alias("against"), F.when(span.rlike("[\\[({]"), 0).otherwise(1).alias("plain"),
@@ -144,80 +182,124 @@ def _sigmoid(z: float) -> float:
     return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
-def reliabilities(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> tuple[float, list[tuple[float, float]], list[float]]:
-    """EM for the two-class vote model: prior, (P(1 | true), P(1 | false)) per labeler, posterior per pattern.
+Rates = list[tuple[dict[int, float], dict[int, float]]]
 
-    ``patterns`` are (votes, count); -1 abstains. Counts are smoothed, so a labeler that never votes stays neutral.
-    """
-    width = len(patterns[0][0]) if patterns else len(LABELERS)
-    prior, rates = 0.5, [(0.8, 0.3)] * width
-    post = [0.5] * len(patterns)
+
+def posterior(vote: tuple[int, ...], prior: float, rates: Rates) -> float:
+    """Chance that a span with these votes is true, votes being independent given that."""
+    return _sigmoid(math.log(prior / (1 - prior)) + sum(math.log(t[v] / f[v]) for v, (t, f) in zip(vote, rates)))
+
+
+def reliabilities(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> tuple[float, Rates, list[float]]:
+    """EM for the two-class vote model: prior, for each labeler the chances of its votes on true and on false spans, and the
+    posterior per pattern. ``patterns`` are (votes, count). A missing vote is an outcome like the others, so a labeler that
+    only ever votes against counts too; the beliefs enter as counts and steer few data."""
+    start = [tuple(dict(zip(VOTES, side)) for side in BELIEFS[name]) for name in LABELERS]
+    prior, rates = 0.5, list(start)
+    total = sum(n for _, n in patterns)
     for _ in range(rounds):
-        for i, (vote, _) in enumerate(patterns):
-            z = math.log(prior / (1 - prior))
-            for v, (a, b) in zip(vote, rates):
-                z += math.log(a / b) if v == 1 else math.log((1 - a) / (1 - b)) if v == 0 else 0.0
-            post[i] = _sigmoid(z)
-        total = sum(n for _, n in patterns)
+        post = [posterior(vote, prior, rates) for vote, _ in patterns]
         prior = (sum(p * n for p, (_, n) in zip(post, patterns)) + 1) / (total + 2)
-        for j in range(width):
-            t1 = sum(p * n for p, (v, n) in zip(post, patterns) if v[j] == 1)
-            t = sum(p * n for p, (v, n) in zip(post, patterns) if v[j] >= 0)
-            f1 = sum((1 - p) * n for p, (v, n) in zip(post, patterns) if v[j] == 1)
-            f = sum((1 - p) * n for p, (v, n) in zip(post, patterns) if v[j] >= 0)
-            rates[j] = ((t1 + 4) / (t + 5), (f1 + 1) / (f + 4))
-    return prior, rates, post
-
-
-def train_classifier(rows: list[tuple[tuple[int, ...], int, float]], steps: int = 300) -> list[float]:
-    """Weights and bias of a ridge logistic classifier of (features, count, posterior); a vote of -1 is a zero input."""
-    width = len(FEATURES)
-    w = [0.0] * (width + 1)
+        rates = []
+        for j, believed in enumerate(start):
+            sides = []
+            for side, chance in enumerate(believed):
+                mass = {v: STRENGTH * chance[v] for v in VOTES}
+                for p, (vote, n) in zip(post, patterns):
+                    mass[vote[j]] += n * (p if side == 0 else 1 - p)
+                whole = sum(mass.values())
+                sides.append({v: m / whole for v, m in mass.items()})
+            rates.append(tuple(sides))
+    return prior, rates, [posterior(vote, prior, rates) for vote, _ in patterns]
+
+
+def _inputs(f: tuple[int, ...]) -> list[float]:
+    """A vote for, a vote against, for each labeler; then the shapes."""
+    return [float(v == want) for v in f[: len(LABELERS)] for want in (1, 0)] + [float(v) for v in f[len(LABELERS) :]]
+
+
+def _solved(a: list[list[float]], b: list[float]) -> list[float]:
+    """x of a x = b for a small symmetric positive matrix."""
+    n = len(b)
+    rows = [list(r) + [y] for r, y in zip(a, b)]
+    for i in range(n):
+        for j in range(i + 1, n):
+            share = rows[j][i] / rows[i][i]
+            rows[j] = [y - share * x for x, y in zip(rows[i], rows[j])]
+    x = [0.0] * n
+    for i in reversed(range(n)):
+        x[i] = (rows[i][n] - sum(rows[i][j] * x[j] for j in range(i + 1, n))) / rows[i][i]
+    return x
+
+
+def train_classifier(rows: list[tuple[tuple[int, ...], float, float]], ridge: float = 1e-3, steps: int = 25) -> list[float]:
+    """Weights and bias of a ridge logistic classifier of (features, weight, posterior), by Newton steps of limited size."""
     total = sum(n for _, n, _ in rows) or 1
+    data = [(_inputs(f) + [1.0], n / total, p) for f, n, p in rows]
+    width = 2 * len(LABELERS) + len(SHAPES) + 1
+    w = [0.0] * width
     for _ in range(steps):
-        g = [0.001 * x for x in w[:-1]] + [0.0]
-        for f, n, p in rows:
-            x = _inputs(f)
-            d = (_sigmoid(sum(a * b for a, b in zip(w, x)) + w[-1]) - p) * n / total
-            for j, v in enumerate(x):
-                g[j] += d * v
-            g[-1] += d
-        w = [a - 2.0 * b for a, b in zip(w, g)]
+        g = [-ridge * x for x in w]
+        h = [[ridge if i == j else 0.0 for j in range(width)] for i in range(width)]
+        for x, n, p in data:
+            q = _sigmoid(sum(a * b for a, b in zip(w, x)))
+            at = [i for i, v in enumerate(x) if v]
+            for i in at:
+                g[i] += n * (p - q) * x[i]
+                for j in at:
+                    h[i][j] += n * q * (1 - q) * x[i] * x[j]
+        move = _solved(h, g)
+        short = min(1.0, 2.0 / max(map(abs, move)) if any(move) else 1.0)
+        w = [a + short * b for a, b in zip(w, move)]
     return w
 
 
-def _inputs(f: tuple[int, ...]) -> list[float]:
-    return [0.0 if v < 0 else 2.0 * v - 1 for v in f[: len(LABELERS)]] + [float(v) for v in f[len(LABELERS) :]]
+def span_classifier(patterns: list[tuple[tuple[int, ...], int]]) -> list[float]:
+    """Classifier of one kind from the counts of its feature patterns. All vote patterns that the model allows stand beside
+    those met, with a total weight of STRENGTH, so that what was never met is decided by the reliabilities."""
+    votes_of = [(f[: len(LABELERS)], n) for f, n in patterns]
+    prior, rates, post = reliabilities(votes_of)
+    rows = [(f, float(n), p) for (f, n), p in zip(patterns, post)]
+    grid = list(product(VOTES, repeat=len(LABELERS)))
+    shapes = list(product((0, 1), repeat=len(SHAPES)))
+    rows += [(v + s, STRENGTH / len(grid) / len(shapes), posterior(v, prior, rates)) for v in grid for s in shapes]
+    return train_classifier(rows)
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(documents: row, id), (spans: row, kind, base, start, end, span, probability).
 
-    Offsets are code points, end exclusive. Null and empty texts have no spans; rows repeated under an id are
-    searched each. Added spans never overlap a base span of the same document.
+    Offsets are code points, end exclusive. Null and empty texts have no spans; rows repeated under an id, and rows
+    without one, are searched each. Added spans overlap no base span, and of added spans that overlap the one that
+    starts first (then the likelier, then the longer) stays.
     """
-    rows = pick(docs, id=id_col, text=text_col).withColumn("row", F.monotonically_increasing_id())
-    voted = stored(votes(candidates(rows)), "pii-candidates")
+    found = matches(docs, id_col, text_col)
+    voted = stored(votes(candidates(found)), "pii-candidates")
     counted = voted.groupBy("kind", *FEATURES).agg(F.count("*").alias("n")).collect()  # a fixed number of patterns
     chance = F.lit(0.0)
     for kind in KINDS:
-        own = [(tuple(r[f] for f in FEATURES), r["n"]) for r in counted if r["kind"] == kind]
-        if not own:
-            continue
-        _, _, post = reliabilities([(f[: len(LABELERS)], n) for f, n in own])
-        w = train_classifier([(f, n, p) for (f, n), p in zip(own, post)])
+        own = sorted((tuple(r[f] for f in FEATURES), r["n"]) for r in counted if r["kind"] == kind)
+        w = span_classifier(own)
+        terms = [(F.col(name) == want).cast("double") for name in LABELERS for want in (1, 0)] + [F.col(name).cast("double") for name in SHAPES]
         z = F.lit(w[-1])
-        for name, x in zip(FEATURES, w):
-            value = F.when(F.col(name) < 0, 0.0).otherwise(2.0 * F.col(name) - 1) if name in LABELERS else F.col(name).cast("double")
-            z = z + F.lit(x) * value
+        for x, term in zip(w, terms):
+            z = z + F.lit(x) * term
         chance = F.when(F.col("kind") == kind, 1 / (1 + F.exp(-z))).otherwise(chance)
-    judged = voted.withColumn("probability", chance)
-    base = judged.where("base")
-    taken = base.select(F.col("row").alias("r"), F.col("start").alias("s"), F.col("end").alias("e"))
-    added = judged.where(f"not base and probability >= {ACCEPT}")
-    added = added.join(taken, F.expr("row = r and start < e and s < end"), "left_anti")
+    judged = voted.withColumn("probability", F.round(chance, 9)).where(F.col("base") | (F.col("probability") >= ACCEPT))
     columns = ["row", "kind", "base", "start", "end", "span", "probability"]
-    return rows.select("row", "id"), base.select(columns).unionByName(added.select(columns))
+    return found.select("row", "id"), _apart(judged).select(columns)
+
+
+def _apart(judged: DataFrame) -> DataFrame:
+    """Base spans and the added ones that overlap neither them nor an added one before them."""
+    order = Window.partitionBy("row").orderBy("start", F.col("base").desc(), F.col("probability").desc(), F.col("end").desc(), "kind")
+    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    base = F.col("base")
+    ends, starts = F.max(F.when(base, F.col("end"))).over(before), F.min(F.when(base, F.col("start"))).over(after)
+    free = base | ((F.coalesce(ends, F.lit(0)) <= F.col("start")) & (F.coalesce(starts, F.col("end")) >= F.col("end")))
+    kept = judged.withColumn("free", free).where("free")
+    reached = F.max(F.when(~base, F.col("end"))).over(before)
+    return kept.withColumn("reached", reached).where(base | (F.coalesce("reached", F.lit(0)) <= F.col("start")))
 
 
 def _listed(only_base: bool) -> Column:

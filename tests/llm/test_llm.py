@@ -11,6 +11,8 @@ import numpy as np
 import pytest
 import xxhash
 
+from pyspark.sql import functions as F
+
 from crossmotif.llm import bpe, embedding_dedup, exact_dedup, mixing, pii, sharding, simhash, substring_dedup, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -267,10 +269,53 @@ def test_pii_em_learns_reliabilities():
     patterns: dict = {}
     for _ in range(4000):
         truth = rng.random() < 0.6
-        vote = tuple(int(truth if rng.random() < q else not truth) for q in (0.95, 0.9, 0.6, 0.85))
+        # The third labeler knows little, the last one only ever votes against.
+        vote = tuple(int(truth if rng.random() < q else not truth) for q in (0.95, 0.9, 0.55)) + (-1 if truth or rng.random() < 0.3 else 0,)
         patterns[vote] = patterns.get(vote, 0) + 1
     prior, rates, _ = pii.reliabilities(list(patterns.items()))
-    assert abs(prior - 0.6) < 0.05 and rates[0][0] > 0.9 > 0.1 > rates[0][1] - 0.05 and rates[2][0] < 0.7
+    assert abs(prior - 0.6) < 0.05 and rates[0][0][1] > 0.9 and rates[0][1][1] < 0.15 and 0.4 < rates[2][0][1] < 0.65
+    assert rates[3][0][0] < 0.05 and rates[3][1][0] > 0.6
+
+
+def test_pii_classifier_weighs_the_votes():
+    cue, plain = (-1, 1, 1, -1, 0, 1), (-1, 1, -1, -1, 1, 1)
+    w = pii.span_classifier([])
+    chance = lambda f: pii._sigmoid(sum(a * b for a, b in zip(w, pii._inputs(f))) + w[-1])
+    assert chance(cue) >= pii.ACCEPT > chance(plain) > chance((-1, 1, -1, 0, 1, 1))
+    assert chance((1, 1, -1, 0, 1, 1)) < pii.ACCEPT <= chance((1, 1, 1, -1, 1, 1))
+
+
+def test_pii_added_spans(spark):
+    filler = "the river and the stone of a morning "
+    yes = [
+        ("call (415) 555-2671 phone", "phone", "(415) 555-2671"), ("my phone 415-555-2671 is", "phone", "415-555-2671"), ("card 4111.1111.1111.1111 visa", "card", "4111.1111.1111.1111"),
+        ("e-mail jane.doe [at] example [dot] com today", "email", "jane.doe [at] example [dot] com"), ("server ip 10[.]20[.]30[.]40 down", "ip", "10[.]20[.]30[.]40"),
+        ("contact bob(at)mail.org now", "email", "bob(at)mail.org"),
+    ]
+    no = [
+        "order 415-555-2671 left", "invoice no. 415-555-2671", "version 2024.1.15.3 of", "isbn 4111.1111.1111.1112 shelf", "serial 4111111111111112", "see page 300.400.500.600",
+        "ticket 1234567812345678 closed", "part 999[.]999[.]1[.]2",
+    ]
+    texts = [filler * 3 + t + " " + filler for t, _, _ in yes] + [filler + t + " " + filler for t in no] + [filler * 2000 + yes[0][0] + " " + filler * 2000, "mail a@b.com or +1 (212) 555-0100", None, ""]
+    docs, spans = pii.find_pii(documents(spark, texts))
+    ids = {r["row"]: r["id"] for r in docs.collect()}
+    added = {}
+    for r in spans.collect():
+        text = texts[ids[r["row"]]]
+        assert text[r["start"] : r["end"]] == r["span"]
+        if not r["base"]:
+            added.setdefault(ids[r["row"]], []).append((r["kind"], r["span"].strip()))
+    want = {i: [(k, s)] for i, (_, k, s) in enumerate(yes)} | {len(yes) + len(no): [yes[0][1:]]}
+    assert added == want
+
+
+def test_pii_spans_belong_to_their_rows_whatever_made_the_input(spark):
+    texts = [f"{'x ' * (i % 7)}a{i}@b{i % 3}.com and 10.0.{i % 256}.1 {'y ' * i}" for i in range(400)]
+    rows = [(i if i % 10 else None, t) for i, t in enumerate(texts)] + [(5, "again 5@five.org"), (5, "again 5@five.org")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for made, wanted in ((df, rows), (df.dropDuplicates(["doc_id", "text"]), set(rows)), (df.repartition(7).orderBy(F.rand(3)), rows)):
+        got = sorted((-1 if r.doc_id is None else r.doc_id, r.spans) for r in pii.digests(pii.find_pii(made)).collect())
+        assert got == sorted((-1 if i is None else i, plain_base_spans(t)) for i, t in wanted)
 
 
 def test_mixing_keeps_every_document_and_its_weights(spark, none):
