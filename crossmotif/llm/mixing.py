@@ -12,7 +12,6 @@ until every document has its place: none is dropped or repeated.
 from __future__ import annotations
 
 import heapq
-from fractions import Fraction
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -130,15 +129,16 @@ def mix(
     )
 
 
-def lag(prefix: int, had: int, q: int, total: int) -> Fraction:
-    """Share due after ``prefix`` slots less blocks had: always above -1 and below 1."""
-    return Fraction(prefix * q, total) - had
+def in_mixture_order(docs: DataFrame, weights: dict | None = None, source_col: str = "source") -> DataFrame:
+    """All rows of ``docs``, laid out in mixture order: written partitions follow one another in it.
 
-
-def in_mixture_order(docs: DataFrame, weights: dict | None = None, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """All rows of ``docs``, laid out in mixture order: written partitions follow one another in it."""
-    order = mix(docs, weights, BLOCK, id_col, source_col).select(F.col("doc_id").alias("_id"), "slot", "at")
-    order = order.groupBy("_id").agg(F.min(F.struct("slot", "at")).alias("_turn"))
-    placed = docs.join(order, docs[id_col].eqNullSafe(order["_id"]))
+    Rows are known by a hash of all their columns, so null and repeated ids do not matter; rows that agree in every
+    column share one turn and stay as many as they are. Columns are addressed by place and may clash in name.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*names).withColumn("_key", F.xxhash64(*names))
+    order = mix(rows, weights, BLOCK, "_key", names[docs.columns.index(source_col)]).select(F.col("doc_id").alias("_of"), "slot", "at")
+    order = order.groupBy("_of").agg(F.min(F.struct("slot", "at")).alias("_turn"))
+    placed = rows.join(order, F.col("_key") == F.col("_of"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return placed.repartitionByRange(n, "_turn").sortWithinPartitions("_turn").select(*[docs[c] for c in docs.columns])
+    return placed.repartitionByRange(n, "_turn").sortWithinPartitions("_turn").select(*names).toDF(*docs.columns)

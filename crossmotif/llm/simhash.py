@@ -121,7 +121,7 @@ def near_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     spark = prints.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sorted_rows = keyed.repartition(n, "key").sortWithinPartitions("key", "fp")
-    return sorted_rows.mapInArrow(lambda b: _verify(b, radius), "src long, dst long").distinct()
+    return stored(sorted_rows.mapInArrow(lambda b: _verify(b, radius), "src long, dst long").distinct(), "simhash-links")
 
 
 def simhash_groups(

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crossmotif.runtime import pick
+from crossmotif.runtime import pick, stored
 
 LENGTH = 100
 WORD = 20
@@ -263,6 +263,15 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with a number each that stays the same in every pass. Ids serve where they are unique; otherwise
+    the rows are numbered and stored, as a running number would differ when partitions are planned anew."""
+    shared = rows.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1 or doc is null")
+    if shared.isEmpty():
+        return rows.withColumn("row", F.col("doc").cast("long"))
+    return stored(rows.withColumn("row", F.monotonically_increasing_id()), "repeats-rows")
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_bytes, spans (removed byte runs), kept (the remaining bytes).
 
@@ -272,7 +281,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = pick(docs, doc=id_col, text=text_col).select("doc", F.col("text").cast("binary").alias("text")).withColumn("row", F.monotonically_increasing_id())
+    rows = _numbered(pick(docs, doc=id_col, text=text_col).select("doc", F.col("text").cast("binary").alias("text")))
     sampled = rows.select("row", "text").mapInArrow(_sample, "h long, row long, spot long")
     again = sampled.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_repeated, "h long, row long, spot long")
     found = again.groupBy("row").agg(F.collect_list(F.struct("spot", "h")).alias("found"))

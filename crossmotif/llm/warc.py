@@ -159,6 +159,12 @@ def _members(stream) -> Iterator[Iterator[bytes]]:
         yield pieces()
 
 
+def _differs(stated: str | None, found: str) -> bool:
+    """Whether a stated SHA-1 digest is another than the one found. Records may state none or use other algorithms."""
+    algorithm, _, value = (stated or "").partition(":")
+    return algorithm.lower() == "sha1" and value.upper() != found
+
+
 def read_records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers, payload) of each record in turn. Headers are lower-cased names; raises RecordError on bad data."""
     for pieces in _members(stream):
@@ -181,13 +187,16 @@ def read_records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
             block += piece
         if len(block) != length + 4 or bytes(block[length:]) != b"\r\n\r\n":
             raise RecordError("content length and member disagree")
-        if headers["warc-block-digest"] != "sha1:" + base64.b32encode(digest.digest()).decode():
+        if _differs(headers.get("warc-block-digest"), base64.b32encode(digest.digest()).decode()):
             raise RecordError("block digest differs")
+        if not headers.get("content-type", "").lower().startswith("application/http"):
+            yield headers, bytes(block[:length])  # warcinfo, metadata, resource and the like carry no HTTP head
+            continue
         http, _, payload = bytes(block[:length]).partition(b"\r\n\r\n")
         for line in http.decode().split("\r\n")[1:]:
             name, _, value = line.partition(":")
             headers["http-" + name.lower()] = value.strip()
-        if headers["warc-type"] == "response" and headers["warc-payload-digest"] != "sha1:" + base32_sha1(payload):
+        if headers.get("warc-type") == "response" and _differs(headers.get("warc-payload-digest"), base32_sha1(payload)):
             raise RecordError("payload digest differs")
         yield headers, payload
 
@@ -206,8 +215,13 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size = 0
             with store.open_input_stream(at, compression=None) as stream:
                 for h, payload in read_records(stream):
-                    number = lambda k: int(h[k]) if k in h else None
-                    rows.append((number("page-id"), h["warc-target-uri"], h["warc-type"], number("refers-to-page-id"), h["warc-payload-digest"].removeprefix("sha1:"), int(h["http-content-length"]), payload))
+                    number = lambda k: int(h[k]) if h.get(k, "").isdigit() else None
+                    # A revisit's digest and length are those of the full payload, which it does not hold.
+                    stated = h.get("warc-payload-digest", "").partition(":")[2]
+                    revisit = h.get("warc-type") == "revisit"
+                    digest = stated or None if revisit else base32_sha1(payload)
+                    size_of = number("http-content-length") if revisit else len(payload)
+                    rows.append((number("page-id"), h.get("warc-target-uri"), h.get("warc-type"), number("refers-to-page-id"), digest, size_of, payload))
                     size += len(payload)
                     if size > 4 << 20 or len(rows) >= 2000:
                         yield batch_of(rows)
@@ -218,7 +232,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_warc(manifest: DataFrame) -> DataFrame:
     """One row per record of the archives in ``manifest``: page_id, url, record_type, refers_to, payload_digest,
-    payload_bytes and payload (empty for revisits, whose digest and length are those of the full payload)."""
+    payload_bytes and payload (empty for revisits, whose digest and length are those of the full payload). Archives
+    of other writers may leave out digests, page ids and the HTTP length; what a record does not state is null."""
     paths = manifest.select("path")
     files = max(1, len(paths.inputFiles()))
     return paths.repartition(files).mapInArrow(

@@ -440,3 +440,28 @@ def test_extra_columns_may_clash(spark):
     assert exact_dedup.exact_dedup(df).where("kept").count() == 1
     assert simhash.simhash_groups(df).where("kept").count() == 1
     assert bpe.encode_decode(df).count() == 2
+
+
+def test_warc_reader_takes_records_of_other_writers(spark, tmp_path):
+    pack = lambda x: (c := zlib.compressobj(6, zlib.DEFLATED, 31)).compress(x) + c.flush()
+    info = b"software: x\r\n"
+    http = b"HTTP/1.1 200 OK\r\nServer: y\r\n\r\nbody"
+    head = lambda kind, more, block: f"WARC/1.0\r\nWARC-Type: {kind}\r\n{more}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+    raw = [
+        head("warcinfo", "Content-Type: application/warc-fields\r\n", info), head("response", "Content-Type: application/http; msgtype=response\r\nWARC-Target-URI: http://u/\r\n", http),
+        head("response", "Content-Type: application/http\r\nWARC-Block-Digest: sha256:00\r\nWARC-Payload-Digest: sha1:" + base64.b32encode(hashlib.sha1(b"body").digest()).decode().lower() + "\r\n", http),
+        head("revisit", "Content-Type: application/http\r\n", b"HTTP/1.1 304 Not Modified\r\n\r\n"),
+    ]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(pack, raw)))
+    manifest = spark.createDataFrame([(f"file://{tmp_path}/a.warc.gz", 4, 1)], "path string, records long, bytes long")
+    got = [(r.record_type, r.url, r.page_id, r.payload_bytes, bytes(r.payload)) for r in warc.read_warc(manifest).collect()]
+    assert got == [("warcinfo", None, None, 13, info), ("response", "http://u/", None, 4, b"body"), ("response", None, None, 4, b"body"), ("revisit", None, None, None, b"")]
+
+
+def test_repeats_with_null_and_shared_ids(spark):
+    rng = random.Random(12)
+    part = "".join(rng.choice("abcdefgh") for _ in range(150))
+    other = "".join(rng.choice("abcdefgh") for _ in range(400))
+    rows = [(3, part), (3, other), (None, part), (1, "x" + part), (3, part)]
+    got = substring_dedup.digests(substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))).collect()
+    assert sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in got) == [(0, 150, 150), (1, 151, 0), (3, 150, 150), (3, 150, 150), (3, 400, 0)]
