@@ -5,7 +5,8 @@ of random signs and a fast Hadamard transform, and the value names the largest c
 with its sign. Each vector is entered under its own hash and under those with the second
 largest coordinate in one part (multiprobe), on both sides alike. Vectors that meet in a
 bucket are compared by the exact cosine in double precision; a pair counts in the first
-bucket the two share, so degrees add up without listing pairs.
+bucket the two share, so degrees add up without listing pairs. Large buckets are dealt into
+blocks, and each two blocks are compared by a part of their own.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from crossmotif.runtime import pick, stored
 
 COSINE = 0.95
 TABLES, PARTS = 4, 2
+BLOCK = 4096  # entries of a bucket that are compared in one part
 
 
 def _hadamard(x: np.ndarray) -> np.ndarray:
@@ -68,7 +70,8 @@ def _unit(raw: list[bytes]) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
-def _entries(batches: Iterator[pa.RecordBatch], tables: int, parts: int) -> Iterator[pa.RecordBatch]:
+def _entries(batches: Iterator[pa.RecordBatch], tables: int, parts: int, only_keys: bool = False) -> Iterator[pa.RecordBatch]:
+    number = np.repeat(np.arange(tables, dtype=np.int32), parts + 1)
     for batch in batches:
         vectors = batch.column("v").to_pylist()
         cls = batch.column("cls").to_numpy(zero_copy_only=False)
@@ -79,77 +82,133 @@ def _entries(batches: Iterator[pa.RecordBatch], tables: int, parts: int) -> Iter
                 raw = [np.asarray(vectors[i], dtype=np.float64).tobytes() for i in own]
                 keys = bucket_keys(_unit(raw), tables, parts)
                 m = keys.shape[1]
+                if only_keys:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel())], names=["key"])
+                    continue
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.ravel()), pa.array(np.repeat(cls[own], m)), pa.array(np.repeat(copies[own], m)), pa.array([r for r in raw for _ in range(m)], pa.binary())],
-                    names=["key", "cls", "copies", "raw"],
+                    [pa.array(np.tile(number, len(own))), pa.array(keys.ravel()), pa.array(np.repeat(cls[own], m)), pa.array(np.repeat(copies[own], m)), pa.array([r for r in raw for _ in range(m)], pa.binary())],
+                    names=["table", "key", "cls", "copies", "raw"],
                 )
 
 
-def _bucket(key: int, cls: np.ndarray, copies: np.ndarray, raw: list[bytes], cosine: float, tables: int, parts: int):
-    """(degrees added here, spanning links) of one bucket's distinct vectors; blocks bound the memory."""
-    v = _unit(raw)
+def _bucket(table: int, key: int, cls: np.ndarray, copies: np.ndarray, v: np.ndarray, left: int, cosine: float, tables: int, parts: int):
+    """(degrees added here, spanning links) of one bucket's distinct unit vectors; blocks bound the memory. The first
+    ``left`` rows, if any, are one block of a split bucket and meet only the others; otherwise all meet all."""
     n, step = len(v), parts + 1
-    keys = bucket_keys(v, tables, parts)
-    home = next(t for t in range(tables) if (keys[:1, t * step : (t + 1) * step] == key).any())
     degree = np.zeros(n, dtype=np.int64)
-    for at in range(0, n, 256):
-        close = v[at : at + 256] @ v[at:].T >= cosine
-        i, j = np.nonzero(close)
-        i, j = i + at, j + at
-        i, j = i[i < j], j[i < j]
-        first = np.ones(len(i), dtype=bool)
-        for t in range(home + 1):
-            a, b = keys[i, t * step : (t + 1) * step], keys[j, t * step : (t + 1) * step]
-            for x in range(step):
-                for y in range(step):
-                    meets = a[:, x] == b[:, y]
-                    first &= ~(meets if t < home else meets & (a[:, x] < key))
-        i, j = i[first], j[first]
-        degree += np.bincount(i, weights=copies[j], minlength=n).astype(np.int64) + np.bincount(j, weights=copies[i], minlength=n).astype(np.int64)
-    left, links = np.arange(n), []
-    while len(left) > 1:
-        queue, left = [left[0]], left[1:]
-        while queue and len(left):
-            c = queue.pop()
-            near = v[left] @ v[c] >= cosine
-            found, left = left[near], left[~near]
-            links += [(cls[c], cls[x]) for x in found]
-            queue += found.tolist()
+    pairs = []
+    ends = left or n
+    for at in range(0, ends, 256):
+        upto = min(at + 256, ends)
+        begin = left or at
+        i, j = np.nonzero(v[at:upto] @ v[begin:].T >= cosine)
+        i, j = i + at, j + begin
+        pairs.append(np.stack([i[i < j], j[i < j]]))
+    i, j = np.concatenate(pairs, axis=1)
+    if not len(i):
+        return degree, []
+    # A pair counts in the first bucket that both are entered under.
+    met = np.unique(np.concatenate([i, j]))
+    keys = np.zeros((n, tables * step), dtype=np.int64)
+    keys[met] = bucket_keys(v[met], tables, parts)
+    links = _forest(i, j, cls)
+    first = np.ones(len(i), dtype=bool)
+    for t in range(table + 1):
+        a, b = keys[i, t * step : (t + 1) * step], keys[j, t * step : (t + 1) * step]
+        for x in range(step):
+            for y in range(step):
+                meets = a[:, x] == b[:, y]
+                first &= ~(meets if t < table else meets & (a[:, x] < key))
+    i, j = i[first], j[first]
+    degree += np.bincount(i, weights=copies[j], minlength=n).astype(np.int64) + np.bincount(j, weights=copies[i], minlength=n).astype(np.int64)
     return degree, links
 
 
-def _compare(batches: Iterator[pa.RecordBatch], cosine: float, tables: int, parts: int) -> Iterator[pa.RecordBatch]:
-    """Rows (a, b, n): a degree n of class a where b is null, else a link. Rows arrive sorted by key."""
+def _forest(i: np.ndarray, j: np.ndarray, cls: np.ndarray) -> list[tuple[int, int]]:
+    """Of the links i-j as many as keep every component connected."""
+    root = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    out = []
+    for a, b in zip(i.tolist(), j.tolist()):
+        x, y = find(a), find(b)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append((cls[a], cls[b]))
+    return out
+
 
-    def run(key: int, cls: list[int], copies: list[int], raw: list[bytes]) -> list[tuple]:
-        seen = dict(zip(cls, zip(copies, raw)))
-        if len(seen) < 2:
+def _compare(batches: Iterator[pa.RecordBatch], cosine: float, tables: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b, n): a degree n of class a where b is null, else a link. Rows arrive sorted by (part, key, mine, theirs,
+    side); memory: a batch and one part of a bucket, twice BLOCK vectors of a split one."""
+
+    def run(group: list[pa.Table | pa.RecordBatch]) -> list[tuple]:
+        rows = pa.Table.from_batches(group)
+        get = lambda c: rows.column(c).to_numpy()
+        cls, at = np.unique(get("cls"), return_index=True)
+        if len(cls) < 2:
             return []
-        ids = np.array(list(seen))
-        degree, links = _bucket(key, ids, np.array([c for c, _ in seen.values()]), [r for _, r in seen.values()], cosine, tables, parts)
-        return [(int(a), None, int(d)) for a, d in zip(ids, degree) if d] + [(int(a), int(b), 0) for a, b in links]
+        side = get("side")[at]
+        order = np.lexsort([cls, side])
+        cls, at, side = cls[order], at[order], side[order]
+        raw = rows.column("raw").combine_chunks().take(pa.array(at))
+        v = _unit([x.as_py() for x in raw])
+        left = int((side == 0).sum()) if (side == 1).any() else 0
+        if not left and get("theirs")[0] != get("mine")[0]:
+            return []  # a pair of blocks of which one is empty
+        degree, links = _bucket(int(get("table")[0]), int(get("key")[0]), cls, get("copies")[at], v, left, cosine, tables, parts)
+        return [(int(a), None, int(d)) for a, d in zip(cls, degree) if d] + [(int(a), int(b), 0) for a, b in links]
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["a", "b", "n"])
 
-    key, group, out = None, ([], [], []), []
+    held: list[pa.RecordBatch] = []
+    last, out = None, []
     for batch in batches:
-        for k, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "cls", "copies", "raw"))):
-            if k != key:
-                out += run(key, *group)
-                key, group = k, ([], [], [])
-                if len(out) > 20_000:
-                    yield batch_of(out)
-                    out = []
-            for held, x in zip(group, row):
-                held.append(x)
-    out += run(key, *group)
+        marks = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("table", "key", "mine", "theirs")], axis=1)
+        if not len(marks):
+            continue
+        cuts = np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1
+        if held and (marks[0] != last).any():
+            out += run(held)
+            held = []
+        last = marks[-1]
+        begin = 0
+        for cut in cuts.tolist():
+            if held or cut - begin > 1:
+                out += run(held + [batch.slice(begin, cut - begin)])
+                held = []
+            begin = cut
+        held.append(batch.slice(begin))
+        if len(out) > 20_000:
+            yield batch_of(out)
+            out = []
+    if held:
+        out += run(held)
     if out:
         yield batch_of(out)
 
 
+def _split(entries: DataFrame, keys: DataFrame, block: int) -> DataFrame:
+    """Entries with the parts of their buckets: a bucket of more than ``block`` entries is dealt into blocks by class, and
+    every two blocks meet in a part of their own, so that no task holds such a bucket whole."""
+    hot = keys.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > block)
+    hot = stored(hot.select(F.col("key").alias("k"), F.ceil(F.col("m") / block).cast("int").alias("blocks")), "vector-hot-buckets")
+    dealt = entries.join(hot, F.col("key") == F.col("k"), "left").drop("k").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select(
+        "table", "key", F.least("own", "other").alias("mine"), F.greatest("own", "other").alias("theirs"), (F.col("own") > F.col("other")).cast("int").alias("side"),
+        "cls", "copies", "raw",
+    )
+
+
 def embedding_groups(
-    vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES, parts: int = PARTS, id_col: str = "vec_id", vec_col: str = "embedding"
+    vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES, parts: int = PARTS, id_col: str = "vec_id", vec_col: str = "embedding", block: int = BLOCK
 ) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
@@ -165,9 +224,12 @@ def embedding_groups(
     valid = rows.where(good)
     classes = valid.groupBy("v").agg(F.min("id").alias("low"), F.count("*").alias("copies"))
     classes = stored(classes.withColumn("cls", F.monotonically_increasing_id()), "vector-classes")
-    entries = classes.select("cls", "copies", "v").mapInArrow(lambda b: _entries(b, tables, parts), "key long, cls long, copies long, raw binary")
+    inputs = classes.select("cls", "copies", "v")
+    entries = inputs.mapInArrow(lambda b: _entries(b, tables, parts), "table int, key long, cls long, copies long, raw binary")
+    parted = _split(entries, inputs.mapInArrow(lambda b: _entries(b, tables, parts, True), "key long"), block)
     n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = entries.repartition(n, "key").sortWithinPartitions("key", "cls").mapInArrow(lambda b: _compare(b, cosine, tables, parts), "a long, b long, n long")
+    order = ["table", "key", "mine", "theirs", "side"]
+    met = parted.repartition(n, "key", "mine", "theirs").sortWithinPartitions(*order).mapInArrow(lambda b: _compare(b, cosine, tables, parts), "a long, b long, n long")
     met = stored(met, "vector-links")
     degrees = met.where("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("far"))
     groups = connected_components(met.where("b is not null").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct())

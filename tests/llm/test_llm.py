@@ -336,14 +336,15 @@ def test_mixing_keeps_every_document_and_its_weights(spark, none):
     assert mixing.mix(none).count() == 0
 
 
-def test_embeddings_equal_brute_force(spark):
+@pytest.mark.parametrize("block", [embedding_dedup.BLOCK, 7])  # a cluster of 30 is one bucket, or dealt into blocks
+def test_embeddings_equal_brute_force(spark, block):
     rng = np.random.default_rng(8)
     v = rng.standard_normal((150, 24))
     v[40:70] = v[0] + 0.08 * rng.standard_normal((30, 24))
     v[70:75] = v[3] * 2.5
     vectors = [list(map(float, x)) for x in v] + [vectors_ for vectors_ in ([0.0] * 24, None, [float("nan")] * 24, [], list(map(float, v[5])), [1.0, None] + [0.0] * 22, list(map(float, v[7]))[:12])]
     df = spark.createDataFrame([(i, x, 0) for i, x in enumerate(vectors)], "vec_id long, embedding array<float>, label int")
-    got = by_id(embedding_dedup.embedding_groups(df), "vec_id")
+    got = by_id(embedding_dedup.embedding_groups(df, block=block), "vec_id")
     single = [None if x is None or not x or None in x or not np.isfinite(x).all() or not np.any(x) else np.array(x, np.float32).astype(float) for x in vectors]
     linked = lambda i, j: single[i] is not None and single[j] is not None and len(single[i]) == len(single[j]) and single[i] @ single[j] >= 0.95 * np.linalg.norm(single[i]) * np.linalg.norm(single[j])
     roots = plain_components(single, linked)
@@ -352,11 +353,12 @@ def test_embeddings_equal_brute_force(spark):
         assert got[i]["component_id"] == roots[i] and got[i]["kept"] == (roots[i] == i)
 
 
-def test_cross_polytope_recall():
+@pytest.mark.parametrize("width", [64, 100, 384])
+def test_cross_polytope_recall(width):
     rng = np.random.default_rng(0)
-    a = rng.standard_normal((3000, 64))
+    a = rng.standard_normal((3000, width))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
-    o = rng.standard_normal((3000, 64))
+    o = rng.standard_normal((3000, width))
     o -= (o * a).sum(1, keepdims=True) * a
     b = 0.95 * a + (1 - 0.95**2) ** 0.5 * o / np.linalg.norm(o, axis=1, keepdims=True)
     ka, kb = embedding_dedup.bucket_keys(a), embedding_dedup.bucket_keys(b)
