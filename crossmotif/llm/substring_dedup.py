@@ -14,13 +14,17 @@ cover takes 12 % or more.
    combined at once, so a passage common to many documents travels a few times only.
 4. Buckets of equal words are sorted one block at a time: suffixes to the right of the
    samples, prefixes to the left, each with its common-prefix lengths. For every shift the two
-   rank classes name the string, and all but its first occurrence are marked.
+   rank classes name the string, and all but its first occurrence are marked. A bucket too large
+   for a block is dealt into parts by stretches of shifts and the bytes that all strings of a
+   stretch share, in the last resort by whole strings; equal ones met in a batch being combined,
+   no part then outgrows the number of batches.
 5. Marks become byte spans, united per document.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +39,7 @@ WORD = 20
 SHIFTS = LENGTH - WORD + 1
 PIECE = 2 << 20  # bytes looked at together
 BLOCK = 40_000  # samples sorted together, unless one bucket has more
+HOT, HOTTEST = 100_000, 1_600_000  # samples of a bucket beyond which it is split by the bytes about them, once and again
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -104,24 +109,59 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield collected(held)
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose h occurs more than once; input is sorted by h."""
-    last, waiting, open_run = None, None, False
+def _repeated(batches: Iterator[pa.RecordBatch], hot: int, hottest: int) -> Iterator[pa.RecordBatch]:
+    """Rows whose h occurs more than once, with the level of its bucket: 0, 1 beyond ``hot`` rows, 2 beyond ``hottest``.
+    Input is sorted by h; at most ``hottest`` rows are held until the size of their bucket is known."""
+    held: list[pa.RecordBatch] = []
+    size, last = 0, None
+
+    def marked(rows: pa.RecordBatch | pa.Table, levels: np.ndarray) -> Iterator[pa.RecordBatch]:
+        table = pa.table(rows) if isinstance(rows, pa.RecordBatch) else rows
+        yield from table.append_column("level", pa.array(levels, pa.int32())).combine_chunks().to_batches()
+
+    def closed() -> Iterator[pa.RecordBatch]:
+        if size > 1 and held:
+            level = 2 if size > hottest else 1 if size > hot else 0
+            yield from marked(pa.Table.from_batches(held), np.full(sum(b.num_rows for b in held), level))
+
     for batch in batches:
         h = batch.column("h").to_numpy(zero_copy_only=False)
         if not len(h):
             continue
-        same = np.empty(len(h), dtype=bool)
-        same[1:] = h[1:] == h[:-1]
-        same[0] = last is not None and h[0] == last
-        if waiting is not None and same[0] and not open_run:
-            yield waiting
-        keep = same.copy()
-        keep[:-1] |= same[1:]
-        keep[-1] = same[-1]
-        last, open_run = h[-1], bool(same[-1])
-        waiting = batch.slice(len(h) - 1, 1)
-        yield batch.filter(pa.array(keep))
+        starts = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1])
+        sizes = np.diff(np.concatenate([starts, [len(h)]]))
+        if last is None or h[0] != last:
+            yield from closed()
+            held, size = [], 0
+        lead = int(sizes[0])
+        held.append(batch.slice(0, lead))
+        size += lead
+        if size > hottest:
+            yield from closed()
+            held = []
+        if len(starts) > 1:
+            yield from closed()
+            inner = np.repeat(sizes[1:-1], sizes[1:-1])
+            keep = np.zeros(len(h), dtype=bool)
+            keep[starts[1] : starts[-1]] = inner > 1
+            if keep.any():
+                n = inner[inner > 1]
+                yield from marked(batch.filter(pa.array(keep)), np.where(n > hottest, 2, np.where(n > hot, 1, 0)))
+            held, size = [batch.slice(int(starts[-1]))], int(sizes[-1])
+        last = h[-1]
+    yield from closed()
+
+
+def _ranges(level: int) -> list[tuple[int, int]]:
+    """Stretches of shifts that a sample of a hot bucket is dealt under: strings that are equal at one of them agree in
+    all bytes that the strings of the stretch have in common, which become part of the bucket's name."""
+    width = {0: SHIFTS, 1: 20, 2: 1}[level]
+    return [(s, min(s + width, SHIFTS) - 1) for s in range(0, SHIFTS, width)]
+
+
+def _named(h: int, low: int, shared: bytes) -> int:
+    """Name of the part of bucket ``h`` in which ``shared`` lies about the sample."""
+    return int.from_bytes(hashlib.blake2b(shared, digest_size=8, key=struct.pack("<qi", h, low)).digest(), "little", signed=True)
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,16 +177,21 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = 0
         for i in order:
             doc, row, text, found = (c[i] for c in cols)
-            for spot, h in sorted((f["spot"], f["h"]) for f in found):
-                place, least, most = spot >> 16, spot >> 8 & 255, spot & 255
-                around = text[place - most : place - least + LENGTH]
-                key = (h, most, around)
-                again = key in seen
-                if not again:
-                    seen.add(key)
-                    size += len(around)
-                for column, value in zip(out, (h if not again else row, doc, row, place, least, most, None if again else around)):
-                    column.append(value)
+            for spot, h, level in sorted((f["spot"], f["h"], f["level"]) for f in found):
+                place, lowest, highest = spot >> 16, spot >> 8 & 255, spot & 255
+                for low, high in _ranges(level):
+                    least, most = max(low, lowest), min(high, highest)
+                    if least > most:
+                        continue
+                    around = text[place - most : place - least + LENGTH]
+                    name = h if not level else _named(h, low, text[place - low : place - high + LENGTH])
+                    key = (name, most, around)
+                    again = key in seen
+                    if not again:
+                        seen.add(key)
+                        size += len(around)
+                    for column, value in zip(out, (name if not again else row, doc, row, place, least, most, None if again else around)):
+                        column.append(value)
             if size > 4 << 20:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
                 out, size = [[] for _ in names], 0
@@ -272,7 +317,7 @@ def _numbered(rows: DataFrame) -> DataFrame:
     return stored(rows.withColumn("row", F.monotonically_increasing_id()), "repeats-rows")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, hottest: int = HOTTEST) -> DataFrame:
     """One row per document: id, n_bytes, spans (removed byte runs), kept (the remaining bytes).
 
     A byte goes if a string of LENGTH bytes that covers it starts earlier too: in a document with a smaller id
@@ -283,8 +328,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = _numbered(pick(docs, doc=id_col, text=text_col).select("doc", F.col("text").cast("binary").alias("text")))
     sampled = rows.select("row", "text").mapInArrow(_sample, "h long, row long, spot long")
-    again = sampled.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_repeated, "h long, row long, spot long")
-    found = again.groupBy("row").agg(F.collect_list(F.struct("spot", "h")).alias("found"))
+    again = sampled.repartition(n, "h").sortWithinPartitions("h").mapInArrow(lambda b: _repeated(b, hot, hottest), "h long, row long, spot long, level int")
+    found = again.groupBy("row").agg(F.collect_list(F.struct("spot", "h", "level")).alias("found"))
     cut = rows.join(found, "row").select("doc", "row", "text", "found").mapInArrow(
         _cut_out, "h long, doc long, row long, place long, least int, most int, around binary"
     )

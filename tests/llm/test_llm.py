@@ -166,12 +166,13 @@ def plain_repeats(texts):
     return out
 
 
-def test_substring_dedup(spark, none):
+@pytest.mark.parametrize(("hot", "hottest"), [(substring_dedup.HOT, substring_dedup.HOTTEST), (3, 6), (2, 2), (4, 10**6)])
+def test_substring_dedup(spark, none, hot, hottest):
     rng = random.Random(2)
     letters = "abcdefgh é"
     passage = "".join(rng.choice(letters) for _ in range(260))
     texts = odd_texts() + [passage, "x" + passage[30:190] + "y", passage[:99], passage[100:200] * 3, "ab" * 300, "q" * 450, "ba" * 200]
-    got = by_id(substring_dedup.digests(substring_dedup.remove_repeats(documents(spark, texts))))
+    got = by_id(substring_dedup.digests(substring_dedup.remove_repeats(documents(spark, texts), hot=hot, hottest=hottest)))
     want = plain_repeats(texts)
     assert [tuple(got[i].values())[1:] for i in range(len(texts))] == want
     assert substring_dedup.remove_repeats(none).count() == 0
