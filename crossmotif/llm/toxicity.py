@@ -75,7 +75,7 @@ class FuzzyLexicon:
     nothing. Hashes are looked up in a bit table and cannot miss; words that pass walk the automaton.
     """
 
-    STATES, WORDS, SPARE = 60_000, 300_000, 100_000
+    STATES, WORDS, SPARE = 8_000, 150_000, 50_000
     BITS = 22  # of a slot in the screening table
 
     def __init__(self, terms: list[Term]):
