@@ -313,7 +313,8 @@ def _numbered(rows: DataFrame) -> DataFrame:
     the rows are numbered and stored, as a running number would differ when partitions are planned anew."""
     shared = rows.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1 or doc is null")
     if shared.isEmpty():
-        return rows.withColumn("row", F.col("doc").cast("long"))
+        # Never null, so that no join filters the texts in a way of its own and both joins share one shuffle of them.
+        return rows.withColumn("row", F.coalesce(F.col("doc").cast("long"), F.lit(0)))
     return stored(rows.withColumn("row", F.monotonically_increasing_id()), "repeats-rows")
 
 
