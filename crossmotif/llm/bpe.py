@@ -2,16 +2,19 @@
 
 A rolling hash cuts the UTF-8 text into chunks whose bounds depend on the last 16 bytes
 only, so passages that documents share yield the same chunks. A chunk is encoded once and
-remembered. The tokens beside a cut may differ from those of the whole text; they are
-repaired by re-encoding the stretch between the nearest white space on either side. There
-the encodings provably agree: no word of the tokenizer, no added token and no canonical
-composition crosses ASCII white space. Where a side has none the stretch grows into the
-next chunk, to the whole text if need be, so the ids always equal those of the whole text.
+remembered: the ids of its inner words, settled whatever stands around the chunk, and its
+two ends, which begin and end with a settled word each. A join is repaired by encoding the
+stretch from the last settled word on its left to the first on its right as one text. Where
+the stretch's ids begin and end with the ids of those words the encodings agree and what
+lies between is the repair; where they do not, or a chunk has no settled word, the stretch
+grows over the next chunks, to the whole text in the end. So the ids equal those of the
+whole text. Ids are decoded by the tokenizer as a whole.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from collections.abc import Iterator
 from itertools import islice
@@ -26,7 +29,7 @@ from crossmotif.runtime import pick
 MASK = np.uint32(0xFF800000)  # a cut every 512 bytes on average
 MIN_CHUNK, MAX_CHUNK = 64, 1 << 14
 REMEMBERED_BYTES = 8 << 20  # of chunk text, for each worker
-REMEMBERED_WORDS, SPARE_WORDS = 500_000, 60_000
+REMEMBERED_WORDS, SPARE_WORDS = 400_000, 60_000
 
 
 def default_tokenizer() -> str:
@@ -67,11 +70,11 @@ def chunk_ends(data: bytes) -> list[int]:
     return ends
 
 
-WHITE = b" \t\n\r\x0b\f"
+WORD = re.compile(rb"[^ \t\n\r\x0b\x0c]+")
 
 
 class ChunkEncoder:
-    """Encodes whole texts through remembered chunks; memory is bounded by the two limits above."""
+    """Encodes whole texts through remembered chunks; memory is bounded by the limits above."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -80,85 +83,83 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        # The tokenizer has no decoder of its own: a text decodes to its tokens joined by spaces.
-        self.tokens = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size())]
         self.words: dict[bytes, bytes] = {}
-        self.chunks: dict[bytes, tuple] = {}
+        self.chunks: dict[bytes, tuple | None] = {}
         self.held = 0
-        self.encoded = self.reused = 0
+        self.encoded = self.reused = self.joins = self.grown = 0
 
-    def _learn(self, pieces: list[bytes]) -> None:
-        """Encode unseen pieces. Early, so mostly frequent, ones are kept; later ones come and go."""
+    def whole(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of texts as native 32-bit integers, straight from the tokenizer."""
+        return [array("i", c.ids).tobytes() for c in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+
+    def _ids(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of words, remembered. Early, so mostly frequent, ones are kept; later ones come and go."""
         known = self.words
-        if len(known) > REMEMBERED_WORDS + SPARE_WORDS:
-            for p in list(islice(known, REMEMBERED_WORDS, None)):
-                del known[p]
-        new = list(dict.fromkeys(p for p in pieces if p not in known))
-        for p, c in zip(new, self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)):
-            known[p] = array("i", c.ids).tobytes()
-
-    def _pieces(self, pieces: list[bytes]) -> tuple[bytes, str]:
-        """Ids (native 32-bit integers) and decoded text of pieces that white space separates."""
         try:
-            ids = b"".join(map(self.words.__getitem__, pieces))
+            return list(map(known.__getitem__, pieces))
         except KeyError:
-            self._learn(pieces)
-            ids = b"".join(map(self.words.__getitem__, pieces))
-        return ids, " ".join(map(self.tokens.__getitem__, array("i", ids)))
-
-    def _chunk(self, chunk: bytes) -> tuple:
-        """(text before the first white space, settled ids, their text, text after the last), or (chunk,) without any."""
-        known = self.chunks.get(chunk)
-        if known is not None:
+            if len(known) > REMEMBERED_WORDS + SPARE_WORDS:
+                for p in list(islice(known, REMEMBERED_WORDS, None)):
+                    del known[p]
+            new = list(dict.fromkeys(p for p in pieces if p not in known))
+            known.update(zip(new, self.whole(new)))
+            return list(map(known.__getitem__, pieces))
+
+    def _chunk(self, chunk: bytes) -> tuple | None:
+        """(end of the first settled word, its ids, ids of all between, ids of the last settled word, its start); None for a
+        chunk without two settled words. Words that touch an end of the chunk may go on beyond it."""
+        known = self.chunks.get(chunk, self)
+        if known is not self:
             self.reused += 1
             return known
         self.encoded += 1
-        parts = chunk.split()
-        if len(parts) == 1 and len(parts[0]) == len(chunk):
-            out: tuple = (chunk,)
-        else:
-            head = b"" if chunk[:1] in WHITE_SET else parts.pop(0)
-            tail = b"" if chunk[-1:] in WHITE_SET or not parts else parts.pop()
-            ids, text = self._pieces(parts)
-            out = (head, ids, text, tail)
+        words = [m.span() for m in WORD.finditer(chunk)]
+        if words and words[0][0] == 0:
+            words = words[1:]
+        if words and words[-1][1] == len(chunk):
+            words.pop()
+        out = None
+        if len(words) >= 2:
+            ids = self._ids([chunk[x:y] for x, y in words])
+            out = (words[0][1], ids[0], b"".join(ids[1:-1]), ids[-1], words[-1][0])
         if self.held > REMEMBERED_BYTES:
             self.chunks.clear()
             self.held = 0
         self.chunks[chunk] = out
-        self.held += len(chunk) + 64
+        self.held += 2 * len(chunk) + 200
         return out
 
-    def encode(self, text: bytes) -> tuple[np.ndarray, str]:
-        """Ids of the whole text and what they decode to."""
-        ids: list[bytes] = []
-        texts: list[str] = []
-        open_stretch: list[bytes] = []
-
-        def repair() -> None:
-            stretch = b"".join(open_stretch)
-            open_stretch.clear()
-            if stretch:
-                i, t = self._pieces([stretch])
-                if i:
-                    ids.append(i)
-                    texts.append(t)
-
-        at = 0
+    def encode(self, text: bytes) -> np.ndarray:
+        """Ids of the whole text."""
+        parts: list[bytes] = []  # settled ids, and a gap before each part but the first
+        stretches: list[tuple[bytes, bytes, bytes]] = []  # text over a join, ids that it must begin and end with
+        tail, lead, at = b"", b"", 0
         for end in chunk_ends(text) if text else []:
-            got = self._chunk(text[at:end])
-            at = end
-            open_stretch.append(got[0])
-            if len(got) > 1:
-                repair()
-                if got[1]:
-                    ids.append(got[1])
-                    texts.append(got[2])
-                open_stretch.append(got[3])
-        repair()
-        return np.frombuffer(b"".join(ids), dtype=np.int32), " ".join(texts)
-
-
-WHITE_SET = {bytes([c]) for c in WHITE}
+            chunk, at = text[at:end], end
+            got = self._chunk(chunk)
+            if got is None:
+                tail += chunk
+                self.grown += 1
+                continue
+            stretches.append((tail + chunk[: got[0]], lead, got[1]))
+            parts.append(got[2])
+            tail, lead = chunk[got[4] :], got[3]
+        if not parts:
+            return np.frombuffer(self.whole([text])[0], dtype=np.int32)
+        stretches.append((tail, lead, b""))
+        out = []
+        for (_, left, right), ids, part in zip(stretches, self.whole([s for s, _, _ in stretches]), parts + [b""]):
+            self.joins += 1
+            if len(ids) < len(left) + len(right) or not ids.startswith(left) or not ids.endswith(right):
+                self.grown += 1
+                return np.frombuffer(self.whole([text])[0], dtype=np.int32)
+            out += (ids, part)
+        return np.frombuffer(b"".join(out), dtype=np.int32)
+
+    def decode(self, many: list[np.ndarray]) -> list[str]:
+        return self.tokenizer.decode_batch([ids.tolist() for ids in many], skip_special_tokens=False)
+
+
 _encoders: dict[str, ChunkEncoder] = {}
 
 
@@ -174,10 +175,9 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
         texts = batch.column("text").cast(pa.binary())
         for at in range(0, len(texts), 64):  # so that long texts do not pile up in one batch
             coded = [coder.encode(t.as_py() or b"") for t in texts[at : at + 64]]
-            offsets = np.concatenate([[0], np.cumsum([len(c[0]) for c in coded])]).astype(np.int32)
-            values = np.concatenate([c[0] for c in coded])
+            offsets = np.concatenate([[0], np.cumsum([len(c) for c in coded])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id")[at : at + 64], pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.array([c[1] for c in coded], pa.string())],
+                [batch.column("id")[at : at + 64], pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(coded))), pa.array(coder.decode(coded), pa.string())],
                 names=["id", "ids", "decoded"],
             )
 

@@ -195,9 +195,27 @@ def test_bpe_joins(text):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(bpe.default_tokenizer())
-    ids, decoded = bpe.encoder(bpe.default_tokenizer()).encode(text.encode())
+    coder = bpe.encoder(bpe.default_tokenizer())
+    ids = coder.encode(text.encode())
     want = tokenizer.encode(text, add_special_tokens=False).ids
-    assert ids.tolist() == want and decoded == tokenizer.decode(want, skip_special_tokens=False)
+    assert ids.tolist() == want and coder.decode([ids]) == [tokenizer.decode(want, skip_special_tokens=False)]
+
+
+def test_bpe_reuses_shared_chunks_and_checks_joins():
+    from tokenizers import Tokenizer
+
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(3000)]
+    passage = " ".join(rng.choice(words) for _ in range(3000))
+    coder = bpe.ChunkEncoder(bpe.default_tokenizer())
+    tokenizer = Tokenizer.from_file(bpe.default_tokenizer())
+    for i in range(6):
+        text = " ".join(rng.choice(words) for _ in range(200 + i)) + " " + passage + " é" * i
+        assert coder.encode(text.encode()).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert coder.reused > 2 * coder.encoded and coder.joins > coder.reused
+    # Ids that do not agree at a join are not trusted: the whole text is encoded then.
+    coder.chunks = {k: v and (v[0], b"\1\0\0\0", *v[2:]) for k, v in coder.chunks.items()}
+    assert coder.encode(passage.encode()).tolist() == tokenizer.encode(passage, add_special_tokens=False).ids and coder.grown
 
 
 def test_warc_round_trip(spark):
