@@ -59,6 +59,10 @@ class SparkDialect:
     def day_text(self, ts: str) -> str:
         return f"date_format({ts}, 'yyyy-MM-dd')"
 
+    def ranked(self, rows: str, order: str, alias: str) -> str:
+        """Query of ``rows`` with their place 1, 2, ... in a total order. The runner places them by ranges."""
+        return f"\u27e6{alias}\u00a6{order}\u00a6{rows}\u27e7"
+
 
 class DuckDialect(SparkDialect):
     name = "duckdb"
@@ -108,5 +112,8 @@ class DuckDialect(SparkDialect):
     def day_text(self, ts: str) -> str:
         return f"strftime({ts}, '%Y-%m-%d')"
 
+    def ranked(self, rows: str, order: str, alias: str) -> str:
+        return f"SELECT placed_.*, row_number() OVER (ORDER BY {order}) AS {alias} FROM ({rows}) placed_"
+
 
 SPARK, DUCK = SparkDialect(), DuckDialect()

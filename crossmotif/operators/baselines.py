@@ -68,7 +68,7 @@ def fanmod(d):
 
 def gspan(d):
     """Edges scored by their place in the input: the last ranks first."""
-    return "SELECT edge_id, CAST(row_number() OVER (ORDER BY ord, edge_id) AS BIGINT) AS score FROM {flow}"
+    return f"SELECT edge_id, CAST(place AS BIGINT) AS score FROM ({d.ranked('SELECT edge_id, ord FROM {flow}', 'ord, edge_id', 'place')}) p"
 
 
 def _retrieval(mode: str):

@@ -1,14 +1,16 @@
-"""Operators that need iteration or grouped Python: components, chains, directed shape kernels."""
+"""Operators that need iteration or grouped Python: components, chains; queries over relations that are not one definition."""
 
 from __future__ import annotations
 
 from collections import defaultdict
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crossmotif.operators import directed
 from crossmotif.operators.components import connected_components
+from crossmotif.runtime import with_place
 
 CHAIN_LENGTH = 10
 
@@ -24,8 +26,7 @@ def component_party(components: DataFrame, parties: int = 5) -> DataFrame:
     A greedy least-loaded assignment is sequential; dealing by rank is within one component's size of it per round.
     """
     sizes = components.groupBy("component").agg(F.count("*").alias("size"))
-    rank = F.row_number().over(Window.orderBy(F.col("size").desc(), "component")) - 1
-    turn = sizes.withColumn("r", rank)
+    turn = with_place(sizes, "size DESC, component", "at").withColumn("r", F.col("at") - 1)
     place = F.when(F.floor(F.col("r") / parties) % 2 == 0, F.col("r") % parties).otherwise(parties - 1 - F.col("r") % parties)
     return components.join(turn, "component").select("node", "component", F.concat(F.lit("P"), place.cast("string")).alias("party"))
 
@@ -98,57 +99,6 @@ def chain_candidates(edges: DataFrame, longest: int = CHAIN_LENGTH) -> DataFrame
     return named.groupBy("component").applyInPandas(per_component, schema)
 
 
-def directed_shape(pairs: list[tuple[str, str]]) -> tuple[int, bool, bool, int, float]:
-    """(longest simple path, whether a cycle of three or more closes, whether an edge is reciprocated, largest degree,
-    feed-forward score) of a small edge set."""
-    after: dict[str, list[str]] = defaultdict(list)
-    for a, b in pairs:
-        after[a].append(b)
-
-    def longest(node: str, seen: frozenset) -> int:
-        return max((1 + longest(n, seen | {n}) for n in after.get(node, []) if n not in seen), default=0)
-
-    def closes(start: str, node: str, depth: int, seen: frozenset) -> bool:
-        if depth > 6:
-            return False
-        return any((n == start and depth >= 2) or (n not in seen and closes(start, n, depth + 1, seen | {n})) for n in after.get(node, []))
-
-    known = set(pairs)
-    degree: dict[tuple[int, str], int] = defaultdict(int)
-    for a, b in pairs:
-        degree[0, a] += 1
-        degree[1, b] += 1
-    forward = 0.0
-    for targets in after.values():
-        own = sorted(set(targets))
-        for i, x in enumerate(own):
-            for y in own[i + 1 :]:
-                forward = max(forward, 1.0 if (x, y) in known else 0.85 if (y, x) in known else 0.55)
-    starts = sorted(after)
-    return (
-        max((longest(s, frozenset([s])) for s in starts), default=0), any(closes(s, s, 0, frozenset([s])) for s in starts),
-        any((b, a) in known for a, b in pairs), max(degree.values(), default=0), forward,
-    )
-
-
-def directed_kernels(candidates: DataFrame, edges: DataFrame) -> DataFrame:
-    """Directed kernels of candidates: path length, cycle, near cycle, star and feed-forward direction."""
-    parts = candidates.select("anchor", "candidate_type", "nodes", "edges", F.explode(F.split("edges", ",")).alias("edge_id"))
-    pairs = parts.join(edges.select("edge_id", "src", "dst"), "edge_id")
-    grouped = pairs.groupBy("anchor", "candidate_type", "nodes", "edges").agg(F.sort_array(F.collect_list(F.struct("src", "dst"))).alias("pairs"))
-
-    def shapes(batches):
-        for pdf in batches:
-            rows = [directed_shape([(p["src"], p["dst"]) for p in ps]) for ps in pdf["pairs"]]
-            out = pdf[["anchor", "candidate_type", "nodes", "edges"]].copy()
-            out[["path_length", "has_cycle", "near_cycle", "max_degree", "feed_forward"]] = rows
-            out["star_score"] = (out["max_degree"].astype(float) / 4.0).clip(upper=1.0)
-            yield out.drop(columns="max_degree")
-
-    schema = "anchor string, candidate_type string, nodes string, edges string, path_length long, has_cycle boolean, near_cycle boolean, feed_forward double, star_score double"
-    return grouped.mapInPandas(shapes, schema)
-
-
 def _flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     from crossmotif.plans.relational import base_relations
 
@@ -169,10 +119,39 @@ def _chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chain_candidates(chain_edges(queries()["mutual_topk"](spark, sf_dir)))
 
 
+def chain_rows(chains: DataFrame) -> DataFrame:
+    """Chains in the form of the other evidence candidates."""
+    listed = lambda c, by: F.array_join(F.array_sort(F.array_distinct(F.split(c, by))), ",")
+    return chains.select(
+        F.lit("CHAIN").alias("candidate_type"), listed("nodes", ">").alias("nodes"), listed("edges", ",").alias("tx_ids"), "num_nodes", "num_edges", "score_mean", "score_min"
+    )
+
+
+def _ask(*names: str):
+    """The named stored relations of a session and input."""
+    def find(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+        from crossmotif.plans.catalog import relations
+
+        found = relations(spark, sf_dir, list(names))
+        return [found[n] for n in names]
+
+    return find
+
+
 def _directed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from crossmotif.plans.catalog import relations
+    return directed.directed_kernels(*_ask("candidates", "flow")(spark, sf_dir))
+
+
+def _directed_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return directed.directed_scores(spark, *_ask("directed_pool", "flow", "node_party")(spark, sf_dir))
+
+
+def _balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return directed.selected(*_ask("directed_scored")(spark, sf_dir)).select(*directed.KEY, F.round("raw_score", 6).alias("raw_score"))
+
 
-    return directed_kernels(relations(spark, sf_dir, ["candidates"])["candidates"], _flow(spark, sf_dir))
+def _coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return directed.coverage_aware(directed.selected(*_ask("directed_scored")(spark, sf_dir)))
 
 
 QUERIES = {
@@ -180,7 +159,12 @@ QUERIES = {
     "component_party": lambda spark, sf_dir: component_party(component_table(_flow(spark, sf_dir))),
     "chain_candidates": _chains,
     "directed_kernels": _directed,
+    "directed_scores": lambda spark, sf_dir: _ask("directed_scored")(spark, sf_dir)[0],
+    "balanced_selection": _balanced,
+    "coverage_aware": _coverage,
 }
+#: Relations that are not one definition.
+BUILT = {"directed_scored": _directed_scored, "chains": lambda spark, sf_dir: chain_rows(_chains(spark, sf_dir))}
 
 
 def components_sql(flow: str) -> str:

@@ -12,16 +12,18 @@ from crossmotif.functions.dialect import SparkDialect
 
 def ground_truth(d):
     """All undirected triangles of the graph, numbered by their sorted nodes."""
-    return f"""SELECT CAST(row_number() OVER (ORDER BY x.a, x.b, y.b) AS BIGINT) AS gt_pos, {d.set_of('x.a', 'x.b', 'y.b')} AS nodes, {d.set_of('x.edge_id', 'y.edge_id', 'z.edge_id')} AS edges,
-        CASE WHEN CAST(x.a AS INT) % 2 = 0 THEN 'even' ELSE 'odd' END AS motif_type, CAST(3 AS BIGINT) AS gn, CAST(3 AS BIGINT) AS ge
+    found = f"""SELECT x.a AS n1, x.b AS n2, y.b AS n3, {d.set_of('x.a', 'x.b', 'y.b')} AS nodes, {d.set_of('x.edge_id', 'y.edge_id', 'z.edge_id')} AS edges
         FROM {{pair_und}} x JOIN {{pair_und}} y ON x.b = y.a JOIN {{pair_und}} z ON z.a = x.a AND z.b = y.b WHERE x.a <> x.b AND y.a <> y.b"""
+    return f"""SELECT CAST(place AS BIGINT) AS gt_pos, nodes, edges, CASE WHEN CAST(n1 AS INT) % 2 = 0 THEN 'even' ELSE 'odd' END AS motif_type, CAST(3 AS BIGINT) AS gn, CAST(3 AS BIGINT) AS ge
+        FROM ({d.ranked(found, 'n1, n2, n3', 'place')}) t"""
 
 
 def predictions(d):
     """Scored candidates in evaluation order: score descending, then the input index as text."""
     text = "STRING" if d.name == "spark" else "VARCHAR"
-    rows = f"""SELECT anchor AS query_id, candidate_type, nodes, edges, n AS pn, m AS pe, score, CAST(row_number() OVER (ORDER BY anchor, candidate_type, nodes, edges) - 1 AS {text}) AS pid FROM {{scored}}"""
-    return f"SELECT p.*, row_number() OVER (ORDER BY score DESC, pid) AS place FROM ({rows}) p"
+    indexed = d.ranked("SELECT anchor AS query_id, candidate_type, nodes, edges, n AS pn, m AS pe, score FROM {scored}", "query_id, candidate_type, nodes, edges", "input_place")
+    rows = f"SELECT query_id, candidate_type, nodes, edges, pn, pe, score, CAST(input_place - 1 AS {text}) AS pid FROM ({indexed}) p"
+    return d.ranked(rows, "score DESC, pid", "place")
 
 
 def _items(d: SparkDialect, source: str, key: str, extra: str = "") -> str:
@@ -89,14 +91,14 @@ def mrr(d):
 
 def auc(d):
     """Mann-Whitney AUC from average ranks; null if a class is empty."""
-    ranks = "SELECT hit, avg(r) OVER (PARTITION BY score) AS ar FROM (SELECT hit, score, row_number() OVER (ORDER BY score) AS r FROM {matched}) x"
+    ranks = d.ranked("SELECT hit, score, pid FROM {matched}", "score, pid", "r")
+    levels = f"SELECT score, sum(hit) AS hits, count(*) AS rows_, avg(r) AS mean_rank FROM ({ranks}) x GROUP BY score"
     return f"""SELECT CASE WHEN p = 0 OR n = 0 THEN NULL ELSE round((s - p * (p + 1) / 2.0) / (p * n), 6) END AS auc
-        FROM (SELECT CAST(sum(hit) AS DOUBLE) AS p, CAST(sum(1 - hit) AS DOUBLE) AS n, sum(CASE WHEN hit = 1 THEN ar ELSE 0.0 END) AS s FROM ({ranks}) y) z"""
+        FROM (SELECT CAST(sum(hits) AS DOUBLE) AS p, CAST(sum(rows_ - hits) AS DOUBLE) AS n, sum(hits * mean_rank) AS s FROM ({levels}) y) z"""
 
 
 def avg_precision(d):
-    run = "SELECT hit, place, sum(hit) OVER (ORDER BY place ROWS UNBOUNDED PRECEDING) AS got FROM {matched}"
-    return f"SELECT round(coalesce(sum(CASE WHEN hit = 1 THEN CAST(got AS DOUBLE) / place END) / max(CASE WHEN hit = 1 THEN got END), 0.0), 6) AS avg_precision FROM ({run}) r"
+    return f"SELECT round(coalesce(sum(CAST(got AS DOUBLE) / place) / count(*), 0.0), 6) AS avg_precision FROM ({d.ranked('SELECT place FROM {matched} WHERE hit = 1', 'place', 'got')}) r"
 
 
 def overlap_at_k(d):

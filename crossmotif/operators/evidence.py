@@ -14,32 +14,30 @@ def tagged(d: SparkDialect) -> str:
 
 
 def public_tag(d):
-    return f"SELECT edge_id, src_party, dst_party, is_inter, tag FROM ({tagged(d)}) t"
+    return f"SELECT edge_id, src_party, dst_party, is_inter, tag FROM {{tagged}} t"
 
 
 def bank_view(d):
     """Rows that a party sees as sender and as receiver, the counterparty masked across parties."""
     mask = lambda p, a: f"CASE WHEN is_inter THEN 'REMOTE::' || {p} || '::' || {a} ELSE {a} END"
-    return f"""SELECT src_party AS bank, edge_id, 'SENDER' AS role, src AS local_account, {mask('dst_party', 'dst')} AS counterparty FROM ({tagged(d)}) t
-        UNION ALL SELECT dst_party, edge_id, 'RECEIVER', dst, {mask('src_party', 'src')} FROM ({tagged(d)}) u"""
+    return f"""SELECT src_party AS bank, edge_id, 'SENDER' AS role, src AS local_account, {mask('dst_party', 'dst')} AS counterparty FROM {{tagged}} t
+        UNION ALL SELECT dst_party, edge_id, 'RECEIVER', dst, {mask('src_party', 'src')} FROM {{tagged}} u"""
 
 
 def local_edges(d):
     """Oriented edges of each party's own graph over masked accounts; crossing rows appear at both parties."""
-    t = tagged(d)
-    return f"""SELECT src_party AS bank, edge_id, src AS u, CASE WHEN is_inter THEN 'REMOTE::' || dst_party || '::' || dst ELSE dst END AS v FROM ({t}) t
-        UNION ALL SELECT dst_party, edge_id, 'REMOTE::' || src_party || '::' || src, dst FROM ({t}) w WHERE is_inter"""
+    return f"""SELECT src_party AS bank, edge_id, src AS u, CASE WHEN is_inter THEN 'REMOTE::' || dst_party || '::' || dst ELSE dst END AS v FROM {{tagged}} t
+        UNION ALL SELECT dst_party, edge_id, 'REMOTE::' || src_party || '::' || src, dst FROM {{tagged}} w WHERE is_inter"""
 
 
 def node_stats(d):
     """Degrees and one- and two-hop reach, outward and inward, of the local nodes on crossing rows."""
-    e = local_edges(d)
-    nodes = f"SELECT DISTINCT bank, node FROM (SELECT src_party AS bank, src AS node FROM ({tagged(d)}) a WHERE is_inter UNION ALL SELECT dst_party, dst FROM ({tagged(d)}) b WHERE is_inter) c"
+    nodes = f"SELECT DISTINCT bank, node FROM (SELECT src_party AS bank, src AS node FROM {{tagged}} a WHERE is_inter UNION ALL SELECT dst_party, dst FROM {{tagged}} b WHERE is_inter) c"
     parts = {}
     for side, s, t in (("out", "u", "v"), ("in", "v", "u")):
-        parts[side] = f"""SELECT p.bank, p.node, p.deg, p.r1, q.r2 FROM (SELECT bank, {s} AS node, count(*) AS deg, count(DISTINCT {t}) AS r1 FROM ({e}) x GROUP BY bank, {s}) p
-            JOIN (SELECT bank, node, count(DISTINCT w) AS r2 FROM (SELECT bank, {s} AS node, {t} AS w FROM ({e}) x UNION ALL
-                  SELECT x.bank, x.{s}, y.{t} FROM ({e}) x JOIN ({e}) y ON x.bank = y.bank AND x.{t} = y.{s}) z GROUP BY bank, node) q ON p.bank = q.bank AND p.node = q.node"""
+        parts[side] = f"""SELECT p.bank, p.node, p.deg, p.r1, q.r2 FROM (SELECT bank, {s} AS node, count(*) AS deg, count(DISTINCT {t}) AS r1 FROM {{views}} x GROUP BY bank, {s}) p
+            JOIN (SELECT bank, node, count(DISTINCT w) AS r2 FROM (SELECT bank, {s} AS node, {t} AS w FROM {{views}} x UNION ALL
+                  SELECT x.bank, x.{s}, y.{t} FROM {{views}} x JOIN {{views}} y ON x.bank = y.bank AND x.{t} = y.{s}) z GROUP BY bank, node) q ON p.bank = q.bank AND p.node = q.node"""
     zero = lambda c: f"coalesce({c}, 0)"
     return f"""SELECT n.bank, n.node, {zero('o.deg')} AS out_deg, {zero('i.deg')} AS in_deg, {zero('o.r1')} AS out_1, {zero('o.r2')} AS out_2, {zero('i.r1')} AS in_1, {zero('i.r2')} AS in_2
         FROM ({nodes}) n LEFT JOIN ({parts['out']}) o ON n.bank = o.bank AND n.node = o.node LEFT JOIN ({parts['in']}) i ON n.bank = i.bank AND n.node = i.node"""
@@ -52,7 +50,7 @@ def evidence_features(d):
     for role, bank, node, first, second in (("SENDER", "src_party", "src", "out", "in"), ("RECEIVER", "dst_party", "dst", "in", "out")):
         parts.append(f"""SELECT t.edge_id, t.ord, t.tag, t.{bank} AS bank, t.{node} AS node, '{role}' AS role, s.{first}_deg AS pdeg, s.{second}_deg AS sdeg, s.{first}_1 AS pr1, s.{first}_2 AS pr2,
             s.{second}_1 AS or1, s.{second}_2 AS or2, {b(f's.{first}_deg', 2)} AS pdeg_b, {b(f's.{second}_deg', 2)} AS sdeg_b, {b('t.weight', 10)} AS amount_b,
-            CAST({d.hour('t.ts')} AS BIGINT) AS hour_b, t.pay_format, t.currency FROM ({tagged(d)}) t JOIN ({node_stats(d)}) s ON t.{bank} = s.bank AND t.{node} = s.node WHERE t.is_inter""")
+            CAST({d.hour('t.ts')} AS BIGINT) AS hour_b, t.pay_format, t.currency FROM {{tagged}} t JOIN ({node_stats(d)}) s ON t.{bank} = s.bank AND t.{node} = s.node WHERE t.is_inter""")
     return " UNION ALL ".join(parts)
 
 
@@ -97,7 +95,8 @@ def pair_scores(d):
         round(compat, 12) AS compat, best FROM ({_scored(d)}) p"""
 
 
-def _mutual(d: SparkDialect) -> str:
+def mutual(d: SparkDialect) -> str:
+    """Relation of the pairs among the best of both ends and above the threshold."""
     ranked = f"""SELECT p.*, row_number() OVER (PARTITION BY tag, bank_s, node_s, tx_s ORDER BY compat DESC, rn_r) AS rs,
         row_number() OVER (PARTITION BY tag, bank_r, node_r, tx_r ORDER BY compat DESC, rn_s) AS rr FROM ({_scored(d)}) p"""
     return f"SELECT * FROM ({ranked}) q WHERE rs <= {TOP_K} AND rr <= {TOP_K} AND compat >= {THRESHOLD}"
@@ -105,16 +104,15 @@ def _mutual(d: SparkDialect) -> str:
 
 def mutual_topk(d):
     """Pairs among the best of both ends and above the threshold."""
-    return f"SELECT tag, bank_s || '::' || node_s AS src_node, bank_r || '::' || node_r AS dst_node, tx_s, tx_r, round(compat, 12) AS weight, best FROM ({_mutual(d)}) m"
+    return f"SELECT tag, bank_s || '::' || node_s AS src_node, bank_r || '::' || node_r AS dst_node, tx_s, tx_r, round(compat, 12) AS weight, best FROM {{mutual}} m"
 
 
 def compat_nodes(d):
-    m = _mutual(d)
-    return f"""SELECT bank_s || '::' || node_s AS node_id, bank_s AS bank, node_s AS account FROM ({m}) a UNION SELECT bank_r || '::' || node_r, bank_r, node_r FROM ({m}) b"""
+    return f"""SELECT bank_s || '::' || node_s AS node_id, bank_s AS bank, node_s AS account FROM {{mutual}} a UNION SELECT bank_r || '::' || node_r, bank_r, node_r FROM {{mutual}} b"""
 
 
 def compat_counts(d):
-    return f"SELECT best, count(*) AS pairs, count(DISTINCT tag) AS tags, CAST(sum(CASE WHEN tx_s = tx_r THEN 1 ELSE 0 END) AS BIGINT) AS self_pairs, round(avg(compat), 6) AS mean_weight FROM ({_mutual(d)}) m GROUP BY best"
+    return f"SELECT best, count(*) AS pairs, count(DISTINCT tag) AS tags, CAST(sum(CASE WHEN tx_s = tx_r THEN 1 ELSE 0 END) AS BIGINT) AS self_pairs, round(avg(compat), 6) AS mean_weight FROM {{mutual}} m GROUP BY best"
 
 
 def rerank_score(kind: str = "candidate_type", n: str = "num_nodes", m: str = "num_edges", mean: str = "score_mean", low: str = "score_min", weight: float = -5.0) -> str:
@@ -139,7 +137,7 @@ def _fans(d: SparkDialect, kind: str, centre: str, leaf: str, edges: str) -> str
 
 def _last_edges(d: SparkDialect) -> str:
     """Crossing edges, the last of each pair, weights scaled into 0..1."""
-    return f"SELECT src, dst, max_by(edge_id, ord) AS edge_id, max_by(weight, ord) / 500000.0 AS w FROM ({tagged(d)}) t WHERE is_inter GROUP BY src, dst"
+    return f"SELECT src, dst, max_by(edge_id, ord) AS edge_id, max_by(weight, ord) / 500000.0 AS w FROM {{tagged}} t WHERE is_inter GROUP BY src, dst"
 
 
 def fan_candidates(d):
@@ -150,37 +148,76 @@ def fan_candidates(d):
 
 def ranked_fan_in(d):
     fans = _fans(d, "FAN_IN", "dst", "src", _last_edges(d))
-    return f"""SELECT centre, nodes, edges, num_nodes, num_edges, round(rerank_score, 12) AS rerank_score, CAST(row_number() OVER (ORDER BY round(rerank_score, 12) DESC, centre) AS BIGINT) AS place
-        FROM (SELECT f.*, {rerank_score()} AS rerank_score FROM ({fans}) f) r"""
+    scored = f"SELECT centre, nodes, edges, num_nodes, num_edges, round({rerank_score()}, 12) AS rerank_score FROM ({fans}) f"
+    return f"SELECT centre, nodes, edges, num_nodes, num_edges, rerank_score, CAST(place AS BIGINT) AS place FROM ({d.ranked(scored, 'rerank_score DESC, centre', 'place')}) r"
 
 
-def cycle_candidates(d):
-    """Directed cycles of two and three nodes among the last crossing edges, with their score aggregates."""
-    e = f"({_last_edges(d)})"
-    low = "least(x.w, y.w)"
-    return f"""SELECT 'CYCLE' AS candidate_type, {d.set_of('x.src', 'x.dst')} AS nodes, {d.set_of('x.edge_id', 'y.edge_id')} AS edges, CAST(2 AS BIGINT) AS num_nodes, round((x.w + y.w) / 2.0, 12) AS score_mean, round({low}, 12) AS score_min
-        FROM {e} x JOIN {e} y ON x.dst = y.src AND y.dst = x.src WHERE x.src < x.dst
-        UNION ALL SELECT 'CYCLE', {d.set_of('x.src', 'x.dst', 'y.dst')}, {d.set_of('x.edge_id', 'y.edge_id', 'z.edge_id')}, CAST(3 AS BIGINT), round((x.w + y.w + z.w) / 3.0, 12), round(least(x.w, y.w, z.w), 12)
-        FROM {e} x JOIN {e} y ON x.dst = y.src AND y.dst <> x.src JOIN {e} z ON z.src = y.dst AND z.dst = x.src WHERE x.src < x.dst AND x.src < y.dst"""
+def assembly_edges(d):
+    """Relation of the mutual pairs as edges between accounts, by hypothesis; the last of a pair's rows counts."""
+    last = "tag || '|' || tx_s || '|' || tx_r"
+    return f"""SELECT best, bank_s || '::' || node_s AS src, bank_r || '::' || node_r AS dst, max_by(tx_s, {last}) AS tx_s, max_by(tx_r, {last}) AS tx_r, max_by(compat, {last}) AS w
+        FROM {{mutual}} GROUP BY best, bank_s || '::' || node_s, bank_r || '::' || node_r"""
+
+
+def _signature(d: SparkDialect, rows: str) -> str:
+    """Candidates with equal type, nodes and transactions once."""
+    return f"""SELECT candidate_type, nodes, tx_ids, num_nodes, num_edges, score_mean, score_min FROM (SELECT c.*, row_number() OVER (PARTITION BY candidate_type, nodes, tx_ids ORDER BY score_mean DESC, score_min DESC) AS again
+        FROM ({rows}) c) o WHERE again = 1"""
+
+
+def fan_pairs(d, least: int = 3):
+    """FAN candidates: a centre with at least ``least`` senders or receivers among the pairs whose best hypothesis is FAN."""
+    parts = []
+    for kind, centre, leaf in (("FAN_IN", "dst", "src"), ("FAN_OUT", "src", "dst")):
+        ends = f"SELECT {centre} AS centre, {leaf} AS leaf, tx_s, tx_r, w FROM {{assembly_edges}} WHERE best = 'FAN'"
+        tx = f"SELECT centre, tx_s AS tx FROM ({ends}) e UNION ALL SELECT centre, tx_r FROM ({ends}) e2"
+        parts.append(f"""SELECT '{kind}' AS candidate_type, {d.set_text(d.append(d.split_text('g.leaves'), 'g.centre'))} AS nodes, t.tx_ids, g.m + 1 AS num_nodes, g.m AS num_edges, g.score_mean, g.score_min
+            FROM (SELECT centre, {d.agg_set('leaf')} AS leaves, count(*) AS m, round(avg(w), 12) AS score_mean, round(min(w), 12) AS score_min FROM ({ends}) e3 GROUP BY centre HAVING count(*) >= {least}) g
+            JOIN (SELECT centre, {d.agg_set('tx')} AS tx_ids FROM ({tx}) x GROUP BY centre) t ON g.centre = t.centre""")
+    return _signature(d, " UNION ALL ".join(parts))
+
+
+def cycle_pairs(d, longest: int = 5):
+    """CYCLE candidates of 2 to ``longest`` accounts (five at most here) among the pairs whose best hypothesis is CYCLE.
+
+    A cycle is met once, from its smallest account: paths that leave it are joined in the middle with paths that lead
+    back, so that no path of more than three edges is listed. ``directed_cycles`` has no such bound.
+    """
+    e = "(SELECT src, dst, tx_s, tx_r, w FROM {assembly_edges} WHERE best = 'CYCLE')"
+    out2 = f"(SELECT x.src AS s, x.dst AS m, y.dst AS t, x.tx_s AS a1, x.tx_r AS a2, y.tx_s AS a3, y.tx_r AS a4, x.w AS w1, y.w AS w2 FROM {e} x JOIN {e} y ON x.dst = y.src WHERE x.src < x.dst AND x.src < y.dst AND x.dst <> y.dst)"
+    back2 = f"(SELECT y.dst AS s, x.dst AS m, x.src AS t, x.tx_s AS a1, x.tx_r AS a2, y.tx_s AS a3, y.tx_r AS a4, x.w AS w1, y.w AS w2 FROM {e} x JOIN {e} y ON x.dst = y.src WHERE y.dst < x.dst AND y.dst < x.src AND x.dst <> x.src)"
+
+    def one(nodes: list[str], tx: list[str], w: list[str], rest: str) -> str:
+        n = len(nodes)
+        return f"""SELECT 'CYCLE' AS candidate_type, {d.set_of(*nodes)} AS nodes, {d.set_of(*tx)} AS tx_ids, CAST({n} AS BIGINT) AS num_nodes, CAST({n} AS BIGINT) AS num_edges,
+            round(({' + '.join(w)}) / {n}.0, 12) AS score_mean, round(least({', '.join(w)}), 12) AS score_min FROM {rest}"""
+
+    two = [f"o.{c}" for c in ("a1", "a2", "a3", "a4")]
+    back = [f"b.{c}" for c in ("a1", "a2", "a3", "a4")]
+    parts = [
+        one(["x.src", "x.dst"], ["x.tx_s", "x.tx_r", "y.tx_s", "y.tx_r"], ["x.w", "y.w"], f"{e} x JOIN {e} y ON x.dst = y.src AND y.dst = x.src WHERE x.src < x.dst"),
+        one(["o.s", "o.m", "o.t"], [*two, "z.tx_s", "z.tx_r"], ["o.w1", "o.w2", "z.w"], f"{out2} o JOIN {e} z ON z.src = o.t AND z.dst = o.s"),
+        one(["o.s", "o.m", "o.t", "b.m"], two + back, ["o.w1", "o.w2", "b.w1", "b.w2"], f"{out2} o JOIN {back2} b ON b.s = o.s AND b.t = o.t WHERE b.m <> o.m"),
+        one(["o.s", "o.m", "o.t", "b.t", "b.m"], [*two, "z.tx_s", "z.tx_r", *back], ["o.w1", "o.w2", "z.w", "b.w1", "b.w2"],
+            f"{out2} o JOIN {e} z ON z.src = o.t JOIN {back2} b ON b.s = o.s AND b.t = z.dst WHERE z.dst <> o.m AND b.m <> o.m AND b.m <> o.t"),
+    ]
+    return _signature(d, " UNION ALL ".join(parts[: longest - 1]))
 
 
 def rerank_evidence(d):
-    """Fans and cycles scored together, repeated signatures dropped."""
-    e = _last_edges(d)
-    fans = _fans(d, "FAN_IN", "dst", "src", e) + " UNION ALL " + _fans(d, "FAN_OUT", "src", "dst", e)
-    rows = f"""SELECT candidate_type, nodes, edges, num_nodes, num_edges, score_mean, score_min FROM ({fans}) f
-        UNION ALL SELECT candidate_type, nodes, edges, num_nodes, num_nodes, score_mean, score_min FROM ({cycle_candidates(d)}) c"""
-    return f"""SELECT candidate_type, nodes, edges, num_nodes, num_edges, round({rerank_score()}, 12) AS rerank_score
-        FROM (SELECT *, row_number() OVER (PARTITION BY candidate_type, nodes, edges ORDER BY score_mean DESC) AS again FROM ({rows}) u) v WHERE again = 1"""
+    """Chains, fans and cycles of the mutual pairs scored together, repeated signatures dropped."""
+    columns = "candidate_type, nodes, tx_ids, num_nodes, num_edges, score_mean, score_min"
+    rows = f"SELECT {columns} FROM ({fan_pairs(d)}) f UNION ALL SELECT {columns} FROM {{cycles}} UNION ALL SELECT {columns} FROM {{chains}}"
+    return f"SELECT candidate_type, nodes, tx_ids, num_nodes, num_edges, round(score_mean, 9) AS score_mean, round(score_min, 9) AS score_min, round({rerank_score()}, 9) AS rerank_score FROM ({_signature(d, rows)}) r"
 
 
-def evidence_predictions(d):
-    """The budget's best evidence candidates as predictions. The budget is the operator's own."""
-    return f"""SELECT CAST(place AS BIGINT) AS place, nodes, edges, rerank_score AS score FROM (SELECT *, row_number() OVER (ORDER BY rerank_score DESC, candidate_type, nodes, edges) AS place
-        FROM ({rerank_evidence(d)}) r) s WHERE place <= 1000"""
+def evidence_predictions(d, budget: int = 1000):
+    """The budget's best evidence candidates as predictions, accounts without their bank. The budget is the operator's own."""
+    bare = "regexp_replace(nodes, '[^,:]+::', '')" if d.name == "spark" else "regexp_replace(nodes, '[^,:]+::', '', 'g')"
+    order = "rerank_score DESC, score_mean DESC, score_min DESC, num_edges DESC, candidate_type, nodes, tx_ids"
+    return f"SELECT CAST(place AS BIGINT) AS place, candidate_type, {bare} AS nodes, tx_ids, rerank_score AS score FROM ({d.ranked('SELECT * FROM {reranked}', order, 'place')}) s WHERE place <= {budget}"
 
 
-NEEDS_EVIDENCE = ("tag_buckets", "pair_scores", "mutual_topk", "compat_nodes", "compat_counts")
 DEFINITIONS = {f.__name__: f for f in (
     public_tag, bank_view, local_edges, node_stats, evidence_features, tag_buckets, pair_scores, mutual_topk, compat_nodes, compat_counts, fan_candidates, ranked_fan_in,
-    cycle_candidates, rerank_evidence, evidence_predictions)}
+    fan_pairs, cycle_pairs, rerank_evidence, evidence_predictions)}

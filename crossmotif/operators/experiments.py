@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 from crossmotif.functions.dialect import SparkDialect
-from crossmotif.operators.evidence import tagged
 
 
 def _draw(d: SparkDialect, seed: str) -> str:
     """Rank of an edge in a seeded shuffle of the boundary, so that smaller rates are contained in larger ones."""
-    return f"SELECT t.*, row_number() OVER (ORDER BY {d.hash48(chr(39) + seed + '|' + chr(39) + ' || edge_id')}, edge_id) AS r, count(*) OVER () AS total FROM ({tagged(d)}) t WHERE is_inter"
+    shuffled = f"SELECT edge_id, src, dst, weight, {d.hash48(chr(39) + seed + '|' + chr(39) + ' || edge_id')} AS h FROM {{tagged}} t WHERE is_inter"
+    return f"SELECT t.*, n.total FROM ({d.ranked(shuffled, 'h, edge_id', 'r')}) t CROSS JOIN (SELECT count(*) AS total FROM {{tagged}} x WHERE is_inter) n"
+
+
+def _next(d: SparkDialect, seed: str, rate: float) -> str:
+    """Drawn edges with the target of the next one drawn."""
+    drawn = f"SELECT edge_id, src, dst, r FROM ({_draw(d, seed)}) x WHERE r <= floor(total * {rate})"
+    return f"SELECT a.edge_id, a.src, b.dst AS other FROM ({drawn}) a LEFT JOIN ({drawn}) b ON b.r = a.r + 1"
 
 
 def perturb_missing(d, rate: float = 0.1):
@@ -18,13 +24,13 @@ def perturb_missing(d, rate: float = 0.1):
 
 def perturb_spurious(d, rate: float = 0.1):
     """The boundary with added edges that join the source of one drawn edge to the target of the next."""
-    drawn = f"SELECT *, lead(dst) OVER (ORDER BY r) AS other FROM ({_draw(d, 'spurious')}) x WHERE r <= floor(total * {rate})"
+    drawn = _next(d, "spurious", rate)
     return f"SELECT edge_id, src, dst FROM {{flow}} UNION ALL SELECT 'spurious_' || edge_id, src, other FROM ({drawn}) y WHERE other IS NOT NULL AND other <> src"
 
 
 def perturb_endpoint(d, rate: float = 0.1):
     """A share of boundary edges has its target replaced by that of the next drawn edge."""
-    drawn = f"SELECT edge_id, lead(dst) OVER (ORDER BY r) AS other FROM ({_draw(d, 'endpoint')}) x WHERE r <= floor(total * {rate})"
+    drawn = _next(d, "endpoint", rate)
     return f"SELECT f.edge_id, f.src, CASE WHEN y.other IS NULL OR y.other = f.src THEN f.dst ELSE y.other END AS dst FROM {{flow}} f LEFT JOIN ({drawn}) y ON f.edge_id = y.edge_id"
 
 
@@ -35,7 +41,7 @@ def nested_rates(d):
 
 def assembly_pairs(d):
     """Assembly without structure: each crossing edge alone."""
-    return f"SELECT {d.set_of('src', 'dst')} AS nodes, edge_id AS edges, round(weight / 500000.0, 12) AS score FROM ({tagged(d)}) t WHERE is_inter"
+    return f"SELECT {d.set_of('src', 'dst')} AS nodes, edge_id AS edges, round(weight / 500000.0, 12) AS score FROM {{tagged}} t WHERE is_inter"
 
 
 def assembly_anchor_only(d):
@@ -50,14 +56,15 @@ def random_crossing(d, each: int = 200):
 
 def ablation_orders(d):
     """Places of each candidate by final score, by raw score and by size alone."""
-    place = lambda o: f"CAST(row_number() OVER (ORDER BY {o}, anchor, candidate_type, nodes, edges) AS BIGINT)"
-    return f"SELECT anchor, candidate_type, nodes, edges, {place('score DESC')} AS by_score, {place('raw_score DESC')} AS by_raw, {place('m DESC, n')} AS by_size FROM {{scored}}"
+    text = "SELECT anchor, candidate_type, nodes, edges, n, m, raw_score, score FROM {scored}"
+    for alias, order in (("by_score", "score DESC"), ("by_raw", "raw_score DESC"), ("by_size", "m DESC, n")):
+        text = d.ranked(text, f"{order}, anchor, candidate_type, nodes, edges", alias)
+    return f"SELECT anchor, candidate_type, nodes, edges, CAST(by_score AS BIGINT) AS by_score, CAST(by_raw AS BIGINT) AS by_raw, CAST(by_size AS BIGINT) AS by_size FROM ({text}) o"
 
 
 def search_space(d):
     """Per party: nodes, boundary nodes, edges seen and edges shared with others."""
-    t = tagged(d)
-    seen = f"SELECT edge_id, src_party AS party, is_inter, src AS own FROM ({t}) a UNION ALL SELECT edge_id, dst_party, is_inter, dst FROM ({t}) b"
+    seen = f"SELECT edge_id, src_party AS party, is_inter, src AS own FROM {{tagged}} a UNION ALL SELECT edge_id, dst_party, is_inter, dst FROM {{tagged}} b"
     return f"""SELECT party, count(DISTINCT own) AS nodes, count(DISTINCT CASE WHEN is_inter THEN own END) AS boundary_nodes, count(DISTINCT edge_id) AS edges,
         count(DISTINCT CASE WHEN is_inter THEN edge_id END) AS shared_edges FROM ({seen}) s GROUP BY party"""
 
@@ -65,7 +72,7 @@ def search_space(d):
 def scale_rows(d):
     """Edges, nodes and crossing edges in prefixes of the input."""
     return f"""SELECT CAST(p AS BIGINT) AS pct, count(*) AS edges, count(DISTINCT src) AS sources, CAST(sum(CASE WHEN is_inter THEN 1 ELSE 0 END) AS BIGINT) AS crossing
-        FROM (SELECT t.*, row_number() OVER (ORDER BY ord, edge_id) AS r, count(*) OVER () AS total FROM ({tagged(d)}) t) x
+        FROM (SELECT t.*, n.total FROM ({d.ranked('SELECT edge_id, src, ord, is_inter FROM {tagged}', 'ord, edge_id', 'r')}) t CROSS JOIN (SELECT count(*) AS total FROM {{tagged}}) n) x
         JOIN (SELECT 20 AS p UNION ALL SELECT 40 UNION ALL SELECT 60 UNION ALL SELECT 80 UNION ALL SELECT 100) c ON r * 100 <= total * p GROUP BY p"""
 
 

@@ -133,7 +133,7 @@ def log_buckets(d):
 def natural_order(d: SparkDialect):
     """Ids in natural order: e<number> and digit strings by number before other text."""
     number = "CAST(nullif(regexp_replace(edge_id, '^e', ''), '') AS BIGINT)"
-    return f"SELECT edge_id, CAST(row_number() OVER (ORDER BY {number}, edge_id) AS BIGINT) AS place FROM {{flow}} f"
+    return f"SELECT edge_id, CAST(place AS BIGINT) AS place FROM ({d.ranked(f'SELECT edge_id, {number} AS number FROM {{flow}}', 'number, edge_id', 'place')}) f"
 
 
 DEFINITIONS = {f.__name__: f for f in (

@@ -216,11 +216,15 @@ GENERATORS = {
 }
 
 
+def pooled(d, kinds) -> str:
+    return "SELECT DISTINCT anchor, candidate_type, nodes, edges FROM (" + " UNION ALL ".join(f"SELECT anchor, candidate_type, nodes, edges FROM ({k(d)}) g" for k in kinds) + ") u WHERE nodes <> '' AND edges <> ''"
+
+
 def all_candidates(d):
     """Candidates of the undirected-motif pipeline, de-duplicated on (anchor, nodes, edges, type)."""
     shorter = lambda k: lambda d: k(d, 3)  # noqa: E731  path length of the standard configuration
     kinds = (triangle, fan_out, fan_in, star, cycle, feed_forward, radius2, anchor_expansion, shorter(chain), bridge, cycle4, dense_block, shorter(directed_cycle))
-    return "SELECT DISTINCT anchor, candidate_type, nodes, edges FROM (" + " UNION ALL ".join(f"SELECT anchor, candidate_type, nodes, edges FROM ({k(d)}) g" for k in kinds) + ") u WHERE nodes <> '' AND edges <> ''"
+    return pooled(d, kinds)
 
 
 DEFINITIONS = {f"motif_{k}": v for k, v in GENERATORS.items()} | {"dedupe": all_candidates}

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from crossmotif.functions.dialect import SparkDialect
-from crossmotif.operators.evidence import tagged
 
 
 def _text(d: SparkDialect) -> str:
@@ -25,47 +24,48 @@ def row_key(d):
 def label_merge(d):
     """Pattern labels joined on the row key; unlabelled laundering and clean rows get their sentinels."""
     pattern = f"SELECT DISTINCT edge_id, 'MOTIF_' || src AS instance FROM {{flow}} WHERE weight > 450000 AND currency = 'F'"
-    return f"""SELECT f.edge_id, coalesce(p.instance, CASE WHEN f.weight > 450000 THEN 'UNKNOWN' ELSE 'NONE' END) AS motif_instance_id,
-        CASE WHEN p.instance IS NOT NULL THEN 'PATTERN' WHEN f.weight > 450000 THEN 'UNKNOWN_LAUNDERING' ELSE 'CLEAN' END AS motif_type,
-        CAST(row_number() OVER (ORDER BY f.ord, f.edge_id) - 1 AS BIGINT) AS tx_id FROM {{flow}} f LEFT JOIN ({pattern}) p ON f.edge_id = p.edge_id"""
+    merged = f"""SELECT f.edge_id, f.ord, coalesce(p.instance, CASE WHEN f.weight > 450000 THEN 'UNKNOWN' ELSE 'NONE' END) AS motif_instance_id,
+        CASE WHEN p.instance IS NOT NULL THEN 'PATTERN' WHEN f.weight > 450000 THEN 'UNKNOWN_LAUNDERING' ELSE 'CLEAN' END AS motif_type
+        FROM {{flow}} f LEFT JOIN ({pattern}) p ON f.edge_id = p.edge_id"""
+    return f"SELECT edge_id, motif_instance_id, motif_type, CAST(place - 1 AS BIGINT) AS tx_id FROM ({d.ranked(merged, 'ord, edge_id', 'place')}) m"
 
 
 def account_labels(d):
     """Accounts with a flag for those on a laundering row and a dense number."""
-    return """SELECT node, illicit, CAST(row_number() OVER (ORDER BY node) - 1 AS BIGINT) AS account_id FROM (SELECT n.node, CAST(max(CASE WHEN f.weight > 450000 THEN 1 ELSE 0 END) AS BIGINT) AS illicit
-        FROM {node_set} n JOIN {flow} f ON f.src = n.node OR f.dst = n.node GROUP BY n.node) a""".replace(
-        "FROM {node_set} n JOIN {flow} f ON f.src = n.node OR f.dst = n.node GROUP BY n.node",
-        "FROM (SELECT src AS node, weight FROM {flow} UNION ALL SELECT dst, weight FROM {flow}) f JOIN {node_set} n ON n.node = f.node GROUP BY n.node")
+    accounts = """SELECT node, CAST(max(CASE WHEN weight > 450000 THEN 1 ELSE 0 END) AS BIGINT) AS illicit
+        FROM (SELECT src AS node, weight FROM {flow} UNION ALL SELECT dst, weight FROM {flow}) f GROUP BY node"""
+    return f"SELECT node, illicit, CAST(place - 1 AS BIGINT) AS account_id FROM ({d.ranked(accounts, 'node', 'place')}) a"
 
 
 def motif_instances(d):
-    return f"""SELECT motif_instance_id, motif_type, count(*) AS num_tx, count(DISTINCT src) AS num_src, {d.agg_set('m.edge_id')} AS tx_ids FROM ({label_merge(d)}) m JOIN {{flow}} f ON m.edge_id = f.edge_id
+    return f"""SELECT motif_instance_id, motif_type, count(*) AS num_tx, count(DISTINCT src) AS num_src, {d.agg_set('m.edge_id')} AS tx_ids FROM {{labelled}} m JOIN {{flow}} f ON m.edge_id = f.edge_id
         WHERE motif_instance_id <> 'NONE' GROUP BY motif_instance_id, motif_type"""
 
 
 def match_report(d):
     """Sizes of the labelled and unlabelled key sets, their intersection and difference."""
     return f"""SELECT count(*) AS rows_, count(DISTINCT edge_id) AS keys_, CAST(sum(CASE WHEN motif_instance_id NOT IN ('NONE', 'UNKNOWN') THEN 1 ELSE 0 END) AS BIGINT) AS matched,
-        CAST(sum(CASE WHEN motif_instance_id IN ('NONE', 'UNKNOWN') THEN 1 ELSE 0 END) AS BIGINT) AS unmatched FROM ({label_merge(d)}) m"""
+        CAST(sum(CASE WHEN motif_instance_id IN ('NONE', 'UNKNOWN') THEN 1 ELSE 0 END) AS BIGINT) AS unmatched FROM {{labelled}} m"""
 
 
 def partition_summary(d):
     """Crossing share by class."""
     return f"""SELECT c.tx_group, count(*) AS tx, CAST(sum(CASE WHEN t.is_inter THEN 1 ELSE 0 END) AS BIGINT) AS inter, round(avg(CASE WHEN t.is_inter THEN 1.0 ELSE 0.0 END), 6) AS inter_ratio
-        FROM ({tagged(d)}) t JOIN ({tx_class(d)}) c ON t.edge_id = c.edge_id GROUP BY c.tx_group"""
+        FROM {{tagged}} t JOIN ({tx_class(d)}) c ON t.edge_id = c.edge_id GROUP BY c.tx_group"""
 
 
 def motif_span(d):
     """Parties and crossing transactions of each motif instance, with the mean and median span."""
     span = f"""SELECT motif_instance_id, count(*) AS tx, CAST(sum(CASE WHEN is_inter THEN 1 ELSE 0 END) AS BIGINT) AS inter, count(DISTINCT party) AS parties FROM (
-        SELECT m.motif_instance_id, t.edge_id, t.is_inter, t.src_party AS party FROM ({label_merge(d)}) m JOIN ({tagged(d)}) t ON m.edge_id = t.edge_id WHERE m.motif_type = 'PATTERN'
-        UNION ALL SELECT m.motif_instance_id, t.edge_id, t.is_inter, t.dst_party FROM ({label_merge(d)}) m JOIN ({tagged(d)}) t ON m.edge_id = t.edge_id WHERE m.motif_type = 'PATTERN') u GROUP BY motif_instance_id"""
+        SELECT m.motif_instance_id, t.edge_id, t.is_inter, t.src_party AS party FROM {{labelled}} m JOIN {{tagged}} t ON m.edge_id = t.edge_id WHERE m.motif_type = 'PATTERN'
+        UNION ALL SELECT m.motif_instance_id, t.edge_id, t.is_inter, t.dst_party FROM {{labelled}} m JOIN {{tagged}} t ON m.edge_id = t.edge_id WHERE m.motif_type = 'PATTERN') u GROUP BY motif_instance_id"""
     return f"SELECT parties, count(*) AS motifs, round(avg(inter), 6) AS mean_inter, CAST({d.median('inter')} AS DOUBLE) AS median_inter FROM ({span}) s GROUP BY parties"
 
 
 def hash_party(d, parties: int = 5):
     """Label-free party by seeded hash rank: shuffled nodes dealt in turn."""
-    return f"SELECT node, 'P' || CAST((row_number() OVER (ORDER BY {d.hash48(chr(39) + '42|' + chr(39) + ' || node')}, node) - 1) % {parties} AS {_text(d)}) AS party FROM {{node_set}}"
+    shuffled = f"SELECT node, {d.hash48(chr(39) + '42|' + chr(39) + ' || node')} AS h FROM {{node_set}}"
+    return f"SELECT node, 'P' || CAST((place - 1) % {parties} AS {_text(d)}) AS party FROM ({d.ranked(shuffled, 'h, node', 'place')}) n"
 
 
 def hybrid_party(d, parties: int = 5):
@@ -76,7 +76,7 @@ def hybrid_party(d, parties: int = 5):
 
 def motif_party(d, parties: int = 5):
     """Accounts of a motif dealt round its parties; the first motif of an account decides."""
-    rows = f"""SELECT DISTINCT m.motif_instance_id AS motif, e.node FROM ({label_merge(d)}) m JOIN (SELECT edge_id, src AS node FROM {{flow}} UNION ALL SELECT edge_id, dst FROM {{flow}}) e ON m.edge_id = e.edge_id WHERE m.motif_type = 'PATTERN'"""
+    rows = f"""SELECT DISTINCT m.motif_instance_id AS motif, e.node FROM {{labelled}} m JOIN (SELECT edge_id, src AS node FROM {{flow}} UNION ALL SELECT edge_id, dst FROM {{flow}}) e ON m.edge_id = e.edge_id WHERE m.motif_type = 'PATTERN'"""
     dealt = f"SELECT motif, node, (row_number() OVER (PARTITION BY motif ORDER BY node) - 1 + {d.hash48('motif')} % {parties}) % {parties} AS p FROM ({rows}) r"
     return f"SELECT node, 'P' || CAST(min_by(p, motif) AS {_text(d)}) AS party FROM ({dealt}) x GROUP BY node"
 
@@ -86,7 +86,7 @@ def protocol_view(d):
     return f"""SELECT g.gt_pos, min(x.part) AS anchor, count(DISTINCT e.edge_id) AS edges, count(DISTINCT CASE WHEN e.is_inter THEN e.edge_id END) AS hidden_edges FROM {{ground_truth}} g
         JOIN (SELECT gt_pos, part FROM {d.unnest('(SELECT gt_pos, ' + d.split_text('nodes') + ' AS parts FROM {ground_truth}) s', 'parts', 'part')}) x ON g.gt_pos = x.gt_pos
         JOIN (SELECT gt_pos, part FROM {d.unnest('(SELECT gt_pos, ' + d.split_text('edges') + ' AS parts FROM {ground_truth}) s2', 'parts', 'part')}) y ON g.gt_pos = y.gt_pos
-        JOIN ({tagged(d)}) e ON e.edge_id = y.part GROUP BY g.gt_pos"""
+        JOIN {{tagged}} e ON e.edge_id = y.part GROUP BY g.gt_pos"""
 
 
 def sanitize_queries(d):
@@ -96,8 +96,12 @@ def sanitize_queries(d):
 
 
 def sampled_motifs(d, each: int = 100):
-    """Crossing motifs first, then by seeded hash, up to a quota: the sample is the operator."""
-    return f"""SELECT gt_pos, CAST(rn AS BIGINT) AS rn FROM (SELECT gt_pos, row_number() OVER (PARTITION BY motif_type ORDER BY {d.hash48(chr(39) + '9|' + chr(39) + ' || nodes')}, gt_pos) AS rn FROM {{ground_truth}}) s WHERE rn <= {each}"""
+    """Motifs with a crossing edge first, then by seeded hash, up to a quota of each type: the sample is the operator."""
+    long = d.unnest(f"(SELECT gt_pos, {d.split_text('edges')} AS parts FROM {{ground_truth}}) s", "parts", "part")
+    crossing = f"SELECT DISTINCT l.gt_pos FROM (SELECT gt_pos, part FROM {long}) l JOIN {{tagged}} t ON t.edge_id = l.part WHERE t.is_inter"
+    rows = f"""SELECT g.gt_pos, g.motif_type, CASE WHEN c.gt_pos IS NULL THEN 1 ELSE 0 END AS inside, {d.hash48(chr(39) + '9|' + chr(39) + ' || g.nodes')} AS h
+        FROM {{ground_truth}} g LEFT JOIN ({crossing}) c ON g.gt_pos = c.gt_pos"""
+    return f"""SELECT gt_pos, CAST(1 - inside AS BIGINT) AS crossing, CAST(rn AS BIGINT) AS rn FROM (SELECT r.*, row_number() OVER (PARTITION BY motif_type ORDER BY inside, h, gt_pos) AS rn FROM ({rows}) r) s WHERE rn <= {each}"""
 
 
 def validate(d):

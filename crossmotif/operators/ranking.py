@@ -23,23 +23,22 @@ def _bonus(boosted: bool = False) -> str:
     return "CASE " + " ".join(f"WHEN candidate_type = '{k}' THEN {v}" for k, v in table.items()) + " ELSE 0.0 END"
 
 
-def _kernels(d: SparkDialect, source: str = "{candidates}", qn: int = 3, qm: int = 3) -> str:
+def kernels(d: SparkDialect, source: str = "{candidates}", qn: int = 3, qm: int = 3, boosted: bool = False) -> str:
     """Candidates with their size, party and shape kernels."""
     size = lambda c: f"CAST({d.size(d.split_text(c))} AS BIGINT)"
-    rows = f"SELECT anchor, candidate_type, nodes, edges, {size('nodes')} AS n, {size('edges')} AS m FROM {source}"
     long = d.unnest(f"(SELECT anchor, candidate_type, nodes, edges, {d.split_text('nodes')} AS parts FROM {source}) s", "parts", "part")
-    parties = f"""SELECT x.anchor, x.candidate_type, x.nodes, x.edges, count(DISTINCT p.party) AS parties
+    rows = f"""SELECT x.anchor, x.candidate_type, x.nodes, x.edges, count(DISTINCT p.party) AS parties, {size('x.nodes')} AS n, {size('x.edges')} AS m
         FROM (SELECT anchor, candidate_type, nodes, edges, part FROM {long}) x LEFT JOIN {{node_party}} p ON x.part = p.node
         GROUP BY x.anchor, x.candidate_type, x.nodes, x.edges"""
     ratio = lambda c, q: f"CAST(least({c}, {q}) AS DOUBLE) / greatest({c}, {q})"
     density = "least(1.0, CAST(m AS DOUBLE) / greatest(1, n))"
-    return f"""SELECT r.*, p.parties, ({ratio('n', qn)} + {ratio('m', qm)}) / 2.0 AS structural, least(1.0, CAST(m AS DOUBLE) / greatest(1, n - 1)) AS compactness,
-        least(1.0, p.parties / CAST(2 AS DOUBLE)) AS cross_support, CASE WHEN p.parties <= 2 THEN 0.0 ELSE least(1.0, (p.parties - 2) / CAST(3 AS DOUBLE)) END AS multi_party,
-        CASE WHEN n <= 2 THEN CASE WHEN m <= 1 THEN 0.0 ELSE 0.25 END WHEN r.candidate_type IN {CLOSED} THEN least(1.0, {density} + 0.25) ELSE {density} END AS closure,
-        {_bonus().replace('candidate_type', 'r.candidate_type')} AS type_bonus,
-        CASE WHEN m <= 1 THEN 0.18 WHEN r.candidate_type = 'dense_hyperlink_block' THEN greatest(0.0, 0.04 * (n - 6)) WHEN r.candidate_type = 'directed_chain' THEN CASE WHEN m BETWEEN 2 AND 5 THEN 0.0 ELSE 0.04 END
-             WHEN r.candidate_type = 'directed_cycle' THEN CASE WHEN m BETWEEN 3 AND 5 THEN 0.0 ELSE 0.05 END WHEN r.candidate_type = 'feed_forward' THEN CASE WHEN m >= 3 THEN 0.03 ELSE 0.08 END ELSE 0.0 END AS size_penalty
-        FROM ({rows}) r JOIN ({parties}) p ON r.anchor = p.anchor AND r.candidate_type = p.candidate_type AND r.nodes = p.nodes AND r.edges = p.edges"""
+    return f"""SELECT r.*, ({ratio('n', qn)} + {ratio('m', qm)}) / 2.0 AS structural, least(1.0, CAST(m AS DOUBLE) / greatest(1, n - 1)) AS compactness,
+        least(1.0, parties / CAST(2 AS DOUBLE)) AS cross_support, CASE WHEN parties <= 2 THEN 0.0 ELSE least(1.0, (parties - 2) / CAST(3 AS DOUBLE)) END AS multi_party,
+        CASE WHEN n <= 2 THEN CASE WHEN m <= 1 THEN 0.0 ELSE 0.25 END WHEN candidate_type IN {CLOSED} THEN least(1.0, {density} + 0.25) ELSE {density} END AS closure,
+        {_bonus(boosted)} AS type_bonus,
+        CASE WHEN m <= 1 THEN 0.18 WHEN candidate_type = 'dense_hyperlink_block' THEN greatest(0.0, 0.04 * (n - 6)) WHEN candidate_type = 'directed_chain' THEN CASE WHEN m BETWEEN 2 AND 5 THEN 0.0 ELSE 0.04 END
+             WHEN candidate_type = 'directed_cycle' THEN CASE WHEN m BETWEEN 3 AND 5 THEN 0.0 ELSE 0.05 END WHEN candidate_type = 'feed_forward' THEN CASE WHEN m >= 3 THEN 0.03 ELSE 0.08 END ELSE 0.0 END AS size_penalty
+        FROM ({rows}) r"""
 
 
 def _raw() -> str:
@@ -52,7 +51,7 @@ def _final() -> str:
 
 def scored(d):
     """Relation of candidates with raw and final scores, rounded so that orders do not hang on the last bit."""
-    return f"SELECT k.*, round({_raw()}, 9) AS raw_score, round({_final()}, 9) AS score FROM ({_kernels(d)}) k"
+    return f"SELECT k.*, round({_raw()}, 9) AS raw_score, round({_final()}, 9) AS score FROM ({kernels(d)}) k"
 
 
 def candidate_scores(d):
@@ -72,48 +71,41 @@ def topk_per_query(d):
     return f"SELECT anchor, candidate_type, nodes, edges, round(raw_score, 6) AS raw_score, CAST(rn AS BIGINT) AS rn FROM ({_top()}) t"
 
 
-def balanced_selection(d, least: int = 2, most: int = 8):
-    """At least ``least`` of each type, at most ``most``, within the query's cap: minima first, then the rest by score."""
-    by_type = f"SELECT s.*, row_number() OVER (PARTITION BY anchor, candidate_type ORDER BY raw_score DESC, edges, nodes) AS rt FROM {{scored}} s"
-    return f"""SELECT anchor, candidate_type, nodes, edges, CAST(rn AS BIGINT) AS rn FROM (
-        SELECT b.*, row_number() OVER (PARTITION BY anchor ORDER BY CASE WHEN rt <= {least} THEN 0 ELSE 1 END, raw_score DESC, candidate_type, edges, nodes) AS rn FROM ({by_type}) b WHERE rt <= {most}) c WHERE rn <= {CAP}"""
-
-
-def _ranked() -> str:
-    return f"SELECT t.*, row_number() OVER (ORDER BY score DESC, anchor, candidate_type, edges, nodes) AS place FROM ({_top()}) t"
+def _ranked(d: SparkDialect) -> str:
+    return d.ranked(_top(), "score DESC, anchor, candidate_type, edges, nodes", "place")
 
 
 def rerank(d):
     """Weighted rerank of the selected candidates."""
-    return f"SELECT anchor, candidate_type, nodes, edges, round(score, 6) AS score, CAST(place AS BIGINT) AS place FROM ({_ranked()}) r"
+    return f"SELECT anchor, candidate_type, nodes, edges, round(score, 6) AS score, CAST(place AS BIGINT) AS place FROM ({_ranked(d)}) r"
 
 
 def query_coverage(d, cap: int = 1, top_k: int = COVER):
     """The first ``cap`` of each query come first while they fit in the prefix, the others follow by score."""
-    turns = f"SELECT r.*, row_number() OVER (PARTITION BY anchor ORDER BY place) AS turn FROM ({_ranked()}) r"
-    front = f"SELECT t.*, CASE WHEN turn <= {cap} THEN sum(CASE WHEN turn <= {cap} THEN 1 ELSE 0 END) OVER (ORDER BY place ROWS UNBOUNDED PRECEDING) END AS nth FROM ({turns}) t"
-    return f"""SELECT anchor, candidate_type, nodes, edges, CAST(row_number() OVER (ORDER BY CASE WHEN nth <= {top_k} THEN 0 ELSE 1 END, place) AS BIGINT) AS place FROM ({front}) f"""
-
-
-def coverage_aware(d, per_query: int = 2, per_type: int = 200):
-    """Round-robin over types under per-query and per-type caps for the front, the rest by score."""
-    turns = f"""SELECT r.*, row_number() OVER (PARTITION BY anchor ORDER BY place) AS of_query, row_number() OVER (PARTITION BY candidate_type ORDER BY place) AS of_type FROM ({_ranked()}) r"""
-    return f"""SELECT anchor, candidate_type, nodes, edges, CAST(row_number() OVER (ORDER BY CASE WHEN of_query <= {per_query} AND of_type <= {per_type} THEN of_type ELSE 1000000000 END, place) AS BIGINT) AS place FROM ({turns}) t"""
+    turns = f"SELECT r.*, row_number() OVER (PARTITION BY anchor ORDER BY place) AS turn FROM ({_ranked(d)}) r"
+    front = d.ranked(f"SELECT place AS own FROM ({turns}) t WHERE turn <= {cap}", "own", "nth")
+    fronted = f"SELECT t.*, CASE WHEN f.nth <= {top_k} THEN 0 ELSE 1 END AS later FROM ({turns}) t LEFT JOIN ({front}) f ON t.place = f.own"
+    return f"SELECT anchor, candidate_type, nodes, edges, CAST(final_place AS BIGINT) AS place FROM ({d.ranked(fronted, 'later, place', 'final_place')}) o"
 
 
-def _types() -> str:
-    return "SELECT s.*, row_number() OVER (PARTITION BY candidate_type ORDER BY place) AS turn, min(place) OVER (PARTITION BY candidate_type) AS lead_place"
+def _types(d: SparkDialect, rows: str) -> str:
+    """Rows with their place among those of their type and the place of the type's first; no task holds a whole type."""
+    by_type = d.ranked(rows, "candidate_type, place", "typed")
+    leads = f"SELECT candidate_type AS kind, min(typed) AS first_typed, min(place) AS lead_place FROM ({by_type}) b GROUP BY candidate_type"
+    return f"SELECT s.*, s.typed - l.first_typed + 1 AS turn, l.lead_place FROM ({by_type}) s JOIN ({leads}) l ON s.candidate_type = l.kind"
 
 
 def diverse_order(d):
     """Types take turns, the type with the best first candidate leading."""
-    return f"SELECT anchor, candidate_type, nodes, edges, CAST(row_number() OVER (ORDER BY turn, lead_place) AS BIGINT) AS place FROM ({_types()} FROM ({_ranked()}) s) t"
+    turns = _types(d, _ranked(d))
+    return f"SELECT anchor, candidate_type, nodes, edges, CAST(diverse AS BIGINT) AS place FROM ({d.ranked(turns, 'turn, lead_place', 'diverse')}) t"
 
 
 def hybrid_order(d, prefix: int = 100):
     """A prefix by score, then the others in diverse order."""
-    tail = f"SELECT place AS old, row_number() OVER (ORDER BY turn, lead_place) AS nth FROM ({_types()} FROM (SELECT * FROM ({_ranked()}) r WHERE place > {prefix}) s) t"
-    return f"""SELECT r.anchor, r.candidate_type, r.nodes, r.edges, CAST(coalesce({prefix} + t.nth, r.place) AS BIGINT) AS place FROM ({_ranked()}) r LEFT JOIN ({tail}) t ON r.place = t.old"""
+    turns = _types(d, f"SELECT * FROM ({_ranked(d)}) r WHERE place > {prefix}")
+    tail = f"SELECT place AS old, nth FROM ({d.ranked(turns, 'turn, lead_place', 'nth')}) t"
+    return f"""SELECT r.anchor, r.candidate_type, r.nodes, r.edges, CAST(coalesce({prefix} + t.nth, r.place) AS BIGINT) AS place FROM ({_ranked(d)}) r LEFT JOIN ({tail}) t ON r.place = t.old"""
 
 
-DEFINITIONS = {f.__name__: f for f in (candidate_scores, topk_per_query, balanced_selection, rerank, query_coverage, coverage_aware, diverse_order, hybrid_order)}
+DEFINITIONS = {f.__name__: f for f in (candidate_scores, topk_per_query, rerank, query_coverage, diverse_order, hybrid_order)}

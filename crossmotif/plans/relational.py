@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from crossmotif.functions.dialect import DUCK, SPARK, SparkDialect
-from crossmotif.runtime import stored, table
+from crossmotif.runtime import stored, table, with_place
 from crossmotif.sources.graph_tables import DUCK_NEEDS, DUCK_RELATIONS, GraphTables
 
 Definition = Callable[[SparkDialect], str]
@@ -28,15 +28,24 @@ def names_in(text: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\{(\w+)\}", text)))
 
 
-def run(spark: SparkSession, definition: Definition, relations: dict[str, DataFrame]) -> DataFrame:
-    text = as_doubles(definition(SPARK))
-    return spark.sql(text, **{n: relations[n] for n in names_in(text)})
+RANK = re.compile("\u27e6([^\u27e6\u27e7\u00a6]*)\u00a6([^\u27e6\u27e7\u00a6]*)\u00a6([^\u27e6\u27e7]*)\u27e7")  # a ranked query that holds no other
 
 
-def reference(definition: Definition, extra: dict[str, str] | None = None) -> str:
-    """Self-contained SQL of the definition over the driver's base tables."""
+def run(spark: SparkSession, definition: Definition, relations: dict[str, DataFrame]) -> DataFrame:
+    text, bound, placed = as_doubles(definition(SPARK)), dict(relations), {}
+    ask = lambda t: spark.sql(t, **{n: bound[n] for n in names_in(t)})
+    while found := RANK.search(text):
+        whole, (alias, order, rows) = found.group(0), found.groups()
+        if whole not in placed:
+            placed[whole] = f"placed_{len(placed)}"
+            bound[placed[whole]] = with_place(ask(rows), order, alias)
+        text = text.replace(whole, f"SELECT * FROM {{{placed[whole]}}}")
+    return ask(text)
+
+
+def common_tables(names: list[str], extra: dict[str, str] | None = None, recursive: bool = False) -> str:
+    """WITH clause of the named relations and all they need, over the driver's base tables; empty if they need none."""
     known = DUCK_RELATIONS | (extra or {})
-    text = as_doubles(definition(DUCK))
     order: list[str] = []
 
     def add(name: str) -> None:
@@ -47,11 +56,20 @@ def reference(definition: Definition, extra: dict[str, str] | None = None) -> st
             add(n)
         order.append(name)
 
-    for n in names_in(text):
+    for n in names:
         add(n)
-    plain = lambda t: re.sub(r"\{(\w+)\}", r"\1", t)
-    head = ", ".join(f"{n} AS ({plain(known[n])})" for n in order)
-    return (f"WITH {head} " if order else "") + f"SELECT * FROM ({plain(text)})"
+    head = ", ".join(f"{n} AS MATERIALIZED ({plain(known[n])})" for n in order)
+    return f"WITH {'RECURSIVE ' if recursive else ''}{head} " if order else ""
+
+
+def plain(text: str) -> str:
+    return re.sub(r"\{(\w+)\}", r"\1", text)
+
+
+def reference(definition: Definition, extra: dict[str, str] | None = None) -> str:
+    """Self-contained SQL of the definition over the driver's base tables."""
+    text = as_doubles(definition(DUCK))
+    return common_tables(names_in(text), extra) + f"SELECT * FROM ({plain(text)})"
 
 
 BASE_TABLES = ("orders", "customer", "lineitem", "events", "embeddings", "supplier", "part", "nation", "region")

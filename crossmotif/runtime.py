@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -36,20 +36,74 @@ def only_rows(docs: DataFrame, id_col: str, stays: DataFrame, marks: dict[str, C
     return kept.select("row.*").toDF(*docs.columns)
 
 
+SMALL_BYTES = 32 << 20
+
+
+def _orders(text: str) -> list[Column]:
+    """Sort columns of an ORDER BY list."""
+    parts, depth = [""], 0
+    for c in text:
+        depth += (c == "(") - (c == ")")
+        if c == "," and depth == 0:
+            parts.append("")
+        else:
+            parts[-1] += c
+    found = []
+    for part in (p.strip() for p in parts):
+        down = part.upper().endswith(" DESC")
+        column = F.expr(part[:-5] if down else part)
+        found.append(column.desc() if down else column.asc())
+    return found
+
+
+def with_place(df: DataFrame, order: str, alias: str) -> DataFrame:
+    """``df`` with the place 1, 2, ... of each row in a total order.
+
+    Rows go to tasks by ranges of the order, are counted per range, and each is placed by the counts before its
+    range and its place inside. The ranges are stored, so that all passes see the same ones. What is known to be
+    small is ordered in one task instead.
+    """
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL_BYTES:
+        return df.selectExpr("*", f"row_number() over (order by {order}) as `{alias}`")
+    by = _orders(order)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = stored(df.repartitionByRange(n, *by).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = ranges.groupBy("_range").agg(F.count("*").alias("_n"))  # a row per range
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("_range", before.alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*by))
+    placed = ranges.withColumn("_inside", inside).join(F.broadcast(offsets), "_range")
+    return placed.withColumn(alias, F.col("_before") + F.col("_inside")).drop("_range", "_before", "_inside")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share; a local one only where none is configured."""
+    """A folder that driver and executors share. Only a session whose executors are threads of the driver may go without
+    a configured one and gets a temporary folder; on a cluster it would lie on one machine's disk."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         folder = spark.sparkContext.getCheckpointDir()
     if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="crossmotif-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return re.sub(r"^file:/+", "file:///", folder).rstrip("/")  # Spark itself writes file:/ with one slash
 
 
+_folders: dict[str, str] = {}
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in this session's part of the shared folder, which goes when the session's JVM ends."""
+    key = spark.sparkContext.applicationId
+    if key not in _folders:
+        _folders[key] = f"{shared_dir(spark)}/session-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(_folders[key])
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return f"{_folders[key]}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

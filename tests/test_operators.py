@@ -1,8 +1,12 @@
 """Golden micro-graphs and properties of the relational operators."""
 
+import itertools
 import math
+import random
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from crossmotif.operators import baselines, evaluate, evidence, experiments, graph, motifs, prepare, ranking
 from crossmotif.operators.components import connected_components
@@ -162,12 +166,145 @@ def test_alignment_takes_more_than_forty_nodes_of_a_party(spark):
     assert len({r["a"] for r in ask(spark, baselines.DEFINITIONS["align_hlot"], rel)}) == 45
 
 
-def test_directed_shape():
-    from crossmotif.operators.custom import directed_shape
-
-    assert directed_shape([("a", "b"), ("b", "c"), ("c", "a")]) == (2, True, False, 1, 0.0)
-    assert directed_shape([("a", "b"), ("b", "a")])[:3] == (1, False, True)
-    assert directed_shape([("a", "b"), ("a", "c"), ("b", "c")])[4] == 1.0
+def edge_sets(spark, sets):
+    rows = [(str(i), "t", "n", f"e{i}", [(a, b) for a, b in sorted(e)]) for i, e in enumerate(sets)]
+    return spark.createDataFrame(rows, "anchor string, candidate_type string, nodes string, edges string, pairs array<struct<src:string,dst:string>>")
+
+
+def test_directed_shapes(spark):
+    from crossmotif.operators.directed import shapes
+
+    rng = random.Random(5)
+    sets = [[("a", "b"), ("b", "c"), ("c", "a")], [("a", "b"), ("b", "a")], [("a", "b"), ("a", "c"), ("b", "c")], [("a", "b"), ("a", "c"), ("c", "b")], [("a", "a")], [("a", "c"), ("a", "b")]]
+    sets += [[(rng.choice("abcdef"), rng.choice("abcdef")) for _ in range(rng.randint(1, 9))] for _ in range(60)]
+    got = {int(r.anchor): r for r in shapes(edge_sets(spark, sets)).collect()}
+    for i, e in enumerate(sets):
+        names = sorted({x for p in e for x in p})
+        orders = [o for n in range(2, len(names) + 1) for o in itertools.permutations(names, n)]
+        paths = [o for o in orders if all(p in e for p in zip(o, o[1:]))]
+        cycle = any(len(o) >= 3 and (o[-1], o[0]) in e for o in paths)
+        forks = [1.0 if (x, y) in e else 0.85 if (y, x) in e else 0.55 for s, x in e for t, y in e if s == t and x < y]
+        degree = max(max(sum(p[k] == n for p in e) for n in names) for k in (0, 1))
+        want = (max((len(o) - 1 for o in paths), default=0), cycle, any((b, a) in e for a, b in e), max(forks, default=0.0), min(1.0, degree / 4))
+        r = got[i]
+        assert (r.path_length, r.has_cycle, r.near_cycle, r.feed_forward, r.star_score) == want, e
+
+
+def test_directed_cycles_up_to_eight(spark):
+    from crossmotif.operators.directed import directed_cycles
+
+    rng = random.Random(2)
+    ring = "abcdefgh"
+    edges = {(a, b) for a, b in zip(ring, ring[1:] + ring[0])} | {(rng.choice(ring), rng.choice(ring)) for _ in range(8)} | {("a", "z"), ("y", "b")}
+    want = set()
+    for n in range(2, 9):
+        for o in itertools.permutations(sorted(ring), n):
+            if o[0] == min(o) and all(p in edges for p in zip(o, o[1:] + o[:1])):
+                want.add((">".join(o), n))
+    assert ("a>b>c>d>e>f>g>h", 8) in want
+    assert sorted(map(tuple, directed_cycles(spark.createDataFrame(sorted(edges), "src string, dst string")).collect())) == sorted(want)
+
+
+def test_places_do_not_depend_on_how_they_are_found(spark, monkeypatch):
+    from crossmotif import runtime
+
+    rows = spark.createDataFrame([(i * 7919 % 1000 // 3, i) for i in range(1000)], "a int, b int")
+    want = [tuple(r) for r in runtime.with_place(rows, "a DESC, b", "place").orderBy("place").collect()]
+    assert [(a, b) for a, b, _ in want] == sorted(((a, b) for a, b, _ in want), key=lambda x: (-x[0], x[1])) and [p for *_, p in want] == list(range(1, 1001))
+    monkeypatch.setattr(runtime, "SMALL_BYTES", -1)
+    assert [tuple(r) for r in runtime.with_place(rows, "a DESC, b", "place").orderBy("place").collect()] == want
+    assert runtime.with_place(rows.limit(0), "a", "place").count() == 0
+
+
+def mutual_pairs(spark, rows):
+    """Rows (best, src, dst, weight): accounts of bank A and B by turns of their letters."""
+    made = [(f"t{i:03}", "A", "B", a, b, f"s{i:03}", f"r{i:03}", w, best) for i, (best, a, b, w) in enumerate(rows)]
+    return spark.createDataFrame(made, "tag string, bank_s string, bank_r string, node_s string, node_r string, tx_s string, tx_r string, compat double, best string")
+
+
+def test_evidence_assembly_follows_the_hypotheses(spark):
+    from crossmotif.operators.custom import chain_candidates, chain_edges, chain_rows
+
+    rows = [("FAN", x, "h", 0.8) for x in "xyz"] + [("FAN", "z", "h", 0.9), ("FAN", "h", "x", 0.9), ("CYCLE", "x", "h", 0.9), ("CHAIN", "p", "q", 0.8)]
+    pairs = mutual_pairs(spark, rows).withColumns({"bank_s": F.lit("A"), "bank_r": F.lit("A")})
+    rel = {"mutual": pairs}
+    rel["assembly_edges"] = run(spark, evidence.assembly_edges, rel)
+    fans = ask(spark, evidence.fan_pairs, rel)
+    assert [(r["candidate_type"], r["nodes"], r["num_nodes"], r["num_edges"], r["tx_ids"]) for r in fans] == [
+        ("FAN_IN", "A::h,A::x,A::y,A::z", 4, 3, "r000,r001,r003,s000,s001,s003")  # the later of repeated pairs counts
+    ]
+    assert fans[0]["score_mean"] == pytest.approx((0.8 + 0.8 + 0.9) / 3) and fans[0]["score_min"] == 0.8
+    rel["cycles"] = run(spark, evidence.cycle_pairs, rel)
+    topk = run(spark, evidence.mutual_topk, rel)
+    rel["chains"] = chain_rows(chain_candidates(chain_edges(topk)))
+    rel["reranked"] = run(spark, evidence.rerank_evidence, rel)
+    ranked = sorted(ask(spark, evidence.evidence_predictions, rel), key=lambda r: r["place"])
+    assert [(r["candidate_type"], r["nodes"]) for r in ranked] == [("FAN_IN", "h,x,y,z"), ("CHAIN", "p,q")]
+    assert ranked[0]["score"] > ranked[1]["score"] == pytest.approx(0.8 + 0.15 - 0.08)
+
+
+def test_cycles_of_two_to_five_pairs(spark):
+    rng = random.Random(5)
+    edges = {(a, b): round(rng.uniform(0.72, 1), 3) for a, b in [(rng.choice("abcdefg"), rng.choice("abcdefg")) for _ in range(26)] if a != b}
+    pairs = mutual_pairs(spark, [("CYCLE", a, b, w) for (a, b), w in edges.items()]).withColumn("bank_r", F.lit("A"))
+    rel = {"assembly_edges": run(spark, evidence.assembly_edges, {"mutual": pairs})}
+    number = {e: i for i, e in enumerate(edges)}
+    want = set()
+    for n in range(2, 6):
+        for o in itertools.permutations("abcdefg", n):
+            steps = list(zip(o, o[1:] + o[:1]))
+            if o[0] == min(o) and all(s in edges for s in steps):
+                tx = sorted(f"{k}{number[s]:03}" for s in steps for k in "sr")
+                want.add((",".join(f"A::{x}" for x in sorted(o)), ",".join(tx), n, round(sum(edges[s] for s in steps) / n, 9), min(edges[s] for s in steps)))
+    got = {(r["nodes"], r["tx_ids"], r["num_nodes"], round(r["score_mean"], 9), r["score_min"]) for r in ask(spark, evidence.cycle_pairs, rel)}
+    assert got == want and {n for _, _, n, _, _ in want} == {2, 3, 4, 5}
+
+
+def scored_rows(spark, rng, n, queries):
+    kinds = ["directed_chain", "feed_forward", "directed_cycle", "dense_hyperlink_block", "directed_star", "cycle4", "triangle", "fan_in"]
+    rows = [(f"q{rng.randrange(queries):02}", rng.choice(kinds[:2] if i % 3 else kinds), f"n{i:04}", f"e{i:04}", round(rng.random(), 2), round(rng.random(), 2)) for i in range(n)]
+    return rows, spark.createDataFrame(rows, "anchor string, candidate_type string, nodes string, edges string, raw_score double, score double")
+
+
+def test_balanced_selection(spark):
+    from crossmotif.operators.directed import DIRECTED, selected
+
+    rows, df = scored_rows(spark, random.Random(1), 400, 9)
+    got = {tuple(r)[:4] for r in selected(df, limit=12, most=2).collect()}
+    want = set()
+    for q in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == q), key=lambda r: (-r[4], r[1] != "triangle", r[1], r[3]))
+        take = [next(r for r in own if r[1] == t) for t in DIRECTED if any(r[1] == t for r in own)]
+        if len(own) <= 12:
+            take = own
+        for r in own:
+            if len(take) < 12 and r not in take and (r[1] in DIRECTED or sum(x[1] == r[1] for x in take) < 2):
+                take.append(r)
+        want |= {r[:4] for r in take}
+    assert got == want
+
+
+def test_coverage_aware_order(spark):
+    """The order by a plain pass over all candidates, whatever the bounded pool holds."""
+    from crossmotif.operators import directed
+
+    rows, df = scored_rows(spark, random.Random(3), 1500, 40)
+    prefix, cap = 60, 2
+    got = [tuple(r)[:4] for r in sorted(directed.coverage_aware(df, prefix, cap).collect(), key=lambda r: r.place)]
+    order = sorted(rows, key=lambda r: (-r[5], r[0], r[1], r[3]))
+    front = directed.covering_prefix([(i, r[0], r[1]) for i, r in enumerate(order)], prefix, cap)
+    assert got == [order[i][:4] for i in front] + [r[:4] for i, r in enumerate(order) if i not in front]
+    assert len(front) == prefix and max(Counter(order[i][0] for i in front).values()) <= max(cap, prefix)
+
+
+def test_covering_prefix_by_hand():
+    from crossmotif.operators.directed import covering_prefix
+
+    rows = [(0, "a", "x"), (1, "a", "x"), (2, "a", "y"), (3, "b", "x"), (4, "b", "z"), (5, "c", "y"), (6, "c", "x")]
+    # Types take turns: y takes 2, x must pass over query a and takes 3, y takes 5; without the cap 0 and 4 fill the rest, x being full.
+    assert covering_prefix(rows, prefix=5, per_query=1, most={"x": 2}, least={"y": 2, "x": 1}) == [2, 3, 5, 0, 4]
+    assert covering_prefix(rows, prefix=3, per_query=1, most={}, least={}) == [0, 3, 5]
+    assert covering_prefix([], 3, 1, {}, {"x": 1}) == []
 
 
 def test_readers(spark, tmp_path):
