@@ -67,8 +67,47 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: Each page's payload, the first page of equal payloads, and the SHA-1 in base 32 (five hexadecimal digits are four of it).
+WARC_SQL = """
+    WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+    f AS (SELECT *, min(page_id) OVER (PARTITION BY payload) AS first_id, sha1(payload) AS h FROM p),
+    d AS (SELECT *, list_transform(range(8), lambda i: CAST('0x' || substr(h, 5 * i + 1, 5) AS BIGINT)) AS g FROM f)
+    SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes,
+      array_to_string(list_transform(g, lambda v: array_to_string(list_transform([15, 10, 5, 0], lambda b: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v >> b) & 31 AS INTEGER) + 1, 1)), '')), '') AS payload_digest,
+      CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+    FROM d"""
+
+#: Every window of 100 bytes (200 hexadecimal digits) is named; all but its first place are removed, and the rest put together.
+SUBSTRINGS_SQL = """
+    WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+    w AS (SELECT doc_id, s, substr(x, 2 * s + 1, 200) AS window_ FROM (SELECT doc_id, x, unnest(range(CAST(len(x) // 2 - 99 AS BIGINT))) AS s FROM t)),
+    g AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY window_ ORDER BY doc_id, s) AS nth FROM w) WHERE nth > 1),
+    i AS (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM
+          (SELECT doc_id, s, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) <= 100 THEN 0 ELSE 1 END AS fresh FROM g)),
+    r AS (SELECT doc_id, run, min(s) AS a, max(s) + 100 AS b FROM i GROUP BY doc_id, run),
+    k AS (SELECT t.doc_id, coalesce(lag(r.b) OVER (PARTITION BY t.doc_id ORDER BY r.a), 0) AS a, r.a AS b, t.x FROM t JOIN r ON t.doc_id = r.doc_id
+          UNION ALL SELECT t.doc_id, coalesce(m.b, 0), len(t.x) // 2, t.x FROM t LEFT JOIN (SELECT doc_id, max(b) AS b FROM r GROUP BY doc_id) m ON t.doc_id = m.doc_id),
+    c AS (SELECT doc_id, string_agg(substr(x, 2 * a + 1, 2 * (b - a)), '' ORDER BY a, b) AS kept FROM k GROUP BY doc_id),
+    n AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM r GROUP BY doc_id)
+    SELECT t.doc_id, CAST(len(t.x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n.removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n.spans, 0) AS BIGINT) AS n_spans, sha256(unhex(c.kept)) AS kept_sha256
+    FROM t JOIN c ON t.doc_id = c.doc_id LEFT JOIN n ON t.doc_id = n.doc_id"""
+
+#: All pairs by cosine, components by recursion over the links.
+EMBEDDING_SQL = """
+    WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+          WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    u AS MATERIALIZED (SELECT vec_id, e, len(e) AS k, sqrt(list_dot_product(e, e)) AS norm FROM v),
+    l AS MATERIALIZED (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.k = b.k AND a.vec_id <> b.vec_id WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.95),
+    reach(x, y) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.x, l.y FROM reach r JOIN l ON r.y = l.x),
+    c AS (SELECT x, min(y) AS low FROM reach GROUP BY x)
+    SELECT m.vec_id, CAST((SELECT count(*) FROM l WHERE l.x = m.vec_id) AS BIGINT) AS n_links, c.low AS component_id, m.vec_id = c.low AS kept FROM embeddings m JOIN c ON m.vec_id = c.x"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_warc": WARC_SQL,
+        "op4_substrings": SUBSTRINGS_SQL,
+        "op9_embedding": EMBEDDING_SQL,
         "op6_exact": """
             WITH n AS (
               SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS norm,
