@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from crossmotif.operators import directed
 from crossmotif.operators.components import connected_components
-from crossmotif.runtime import with_place
+from crossmotif.runtime import cut, with_place
 
 CHAIN_LENGTH = 10
 
@@ -31,6 +31,28 @@ def component_party(components: DataFrame, parties: int = 5) -> DataFrame:
     return components.join(turn, "component").select("node", "component", F.concat(F.lit("P"), place.cast("string")).alias("party"))
 
 
+def spread_parties(assigned: DataFrame, edges: DataFrame, parties: int = 5, max_rounds: int = 50) -> DataFrame:
+    """(node, party) of all ends of ``edges``: accounts without a party take that of the partner in their first row (by
+    ord, edge_id) whose partner has one, round by round; what no assigned account reaches is dealt by hash.
+
+    A sequential pass in which each row sees the rows before it depends on their order; rounds do not.
+    """
+    known = cut(assigned.select("node", "party").groupBy("node").agg(F.min("party").alias("party")))
+    both = edges.select(F.col("src").alias("node"), F.col("dst").alias("partner"), "ord", "edge_id")
+    both = both.unionByName(edges.select(F.col("dst").alias("node"), F.col("src").alias("partner"), "ord", "edge_id"))
+    todo = cut(both.join(known, "node", "left_anti"))
+    for _ in range(max_rounds):
+        near = todo.join(known.withColumnRenamed("node", "partner"), "partner")
+        new = cut(near.groupBy("node").agg(F.min_by("party", F.struct("ord", "edge_id")).alias("party")))
+        if new.isEmpty():
+            break
+        known = cut(known.unionByName(new))
+        todo = cut(todo.join(new, "node", "left_anti"))
+    rest = todo.select("node").distinct().withColumn("party", F.concat(F.lit("P00"), F.pmod(F.xxhash64("node"), F.lit(parties)).cast("string")))
+    ends = both.select("node").distinct()
+    return known.unionByName(rest).join(ends, "node", "left_semi")
+
+
 def best_chain(edges: pd.DataFrame, longest: int = CHAIN_LENGTH) -> tuple[list[str], list[str], list[float]] | None:
     """Heaviest path of a component after a greedy choice of edges (weight first) that closes no cycle.
 
@@ -154,7 +176,16 @@ def _coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return directed.coverage_aware(directed.selected(*_ask("directed_scored")(spark, sf_dir)))
 
 
+def _spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accounts that only unexplained laundering rows mention start without a party."""
+    flow, party = _ask("flow", "node_party")(spark, sf_dir)
+    unknown = F.expr("weight > 450000 and currency <> 'F'")
+    explained = flow.where(~unknown).select(F.col("src").alias("node")).union(flow.where(~unknown).select("dst")).distinct()
+    return spread_parties(party.join(explained, "node", "left_semi"), flow)
+
+
 QUERIES = {
+    "spread_parties": _spread,
     "components": lambda spark, sf_dir: component_table(_flow(spark, sf_dir)),
     "component_party": lambda spark, sf_dir: component_party(component_table(_flow(spark, sf_dir))),
     "chain_candidates": _chains,

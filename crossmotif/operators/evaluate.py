@@ -151,6 +151,17 @@ def transaction_overlap(d):
         FROM (SELECT pid, part FROM {p}) x JOIN (SELECT gt_pos, part FROM {g}) y ON x.part = y.part"""
 
 
+def transaction_overlap_at_k(d):
+    """Purity and motif recall by shared edges in prefixes of the ranking; prefixes longer than the ranking are left out."""
+    p = d.unnest(f"(SELECT place, {d.split_text('edges')} AS parts FROM {{predictions}}) s", "parts", "part")
+    g = d.unnest(f"(SELECT gt_pos, {d.split_text('edges')} AS parts FROM {{ground_truth}}) s", "parts", "part")
+    hits = f"SELECT DISTINCT x.place, y.gt_pos FROM (SELECT place, part FROM {p}) x JOIN (SELECT gt_pos, part FROM {g}) y ON x.part = y.part"
+    ks = _ks([10, 20, 50, 100, 200, 500, 1000])
+    return f"""SELECT CAST(c.k AS BIGINT) AS k, count(DISTINCT h.place) AS hit_candidates, count(DISTINCT h.gt_pos) AS hit_motifs, round(CAST(count(DISTINCT h.place) AS DOUBLE) / c.k, 6) AS purity,
+        round(CAST(count(DISTINCT h.gt_pos) AS DOUBLE) / (SELECT greatest(count(*), 1) FROM {{ground_truth}}), 6) AS motif_recall
+        FROM ({ks}) c LEFT JOIN ({hits}) h ON h.place <= c.k WHERE c.k <= (SELECT count(*) FROM {{predictions}}) GROUP BY c.k"""
+
+
 DEFINITIONS = {f.__name__: f for f in (
     best_match, prf, match_rates, unique_recall, hit_at_k, mrr, auc, avg_precision, overlap_at_k, strict_overlap, budget_prefix, motif_breakdown, type_breakdown, bound_match,
-    anchor_excluded, transaction_overlap)}
+    anchor_excluded, transaction_overlap, transaction_overlap_at_k)}

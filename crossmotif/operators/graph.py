@@ -125,6 +125,12 @@ def vector_pairs(d):
         FROM {{embeddings}} x JOIN {{embeddings}} y ON x.label = y.label AND y.vec_id > x.vec_id"""
 
 
+def crossing_pairs(d):
+    """Of each unordered pair the edge that crosses most, the smallest id on a tie."""
+    rows = "SELECT least(src, dst) AS a, greatest(src, dst) AS b, edge_id, edge_cross FROM {edge_set}"
+    return f"SELECT a, b, edge_id, edge_cross FROM (SELECT r.*, row_number() OVER (PARTITION BY a, b ORDER BY edge_cross DESC, edge_id) AS pick FROM ({rows}) r) p WHERE pick = 1"
+
+
 def log_buckets(d):
     """Buckets of amounts: floor of the logarithm of x + 1."""
     return "SELECT edge_id, CAST(floor(ln(weight + 1) / ln(CAST(10 AS DOUBLE))) AS BIGINT) AS amount_bucket, CAST(floor(ln(weight + 1) / ln(CAST(2 AS DOUBLE))) AS BIGINT) AS fine_bucket FROM {flow}"
@@ -138,4 +144,4 @@ def natural_order(d: SparkDialect):
 
 DEFINITIONS = {f.__name__: f for f in (
     flow_edges, node_party, edge_party, compatibility_view, degree_tables, khop_reach, ranked_neighbors, common_neighbors, adamic_adar, jaccard, induced_edges,
-    enclosing_counts, pair_universe, simple_cycles3, subgraph_match, random_walk_step, minhash, vector_pairs, log_buckets, natural_order)}
+    enclosing_counts, pair_universe, simple_cycles3, subgraph_match, random_walk_step, minhash, vector_pairs, crossing_pairs, log_buckets, natural_order)}

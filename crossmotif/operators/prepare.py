@@ -81,6 +81,33 @@ def motif_party(d, parties: int = 5):
     return f"SELECT node, 'P' || CAST(min_by(p, motif) AS {_text(d)}) AS party FROM ({dealt}) x GROUP BY node"
 
 
+def known_transactions(d):
+    """Transactions without the unexplained laundering rows, numbered densely from 0."""
+    kept = f"SELECT f.edge_id, f.ord, c.tx_group FROM {{flow}} f JOIN ({tx_class(d)}) c ON f.edge_id = c.edge_id WHERE c.tx_group <> 'UNKNOWN_LAUNDERING'"
+    return f"SELECT edge_id, tx_group, CAST(place - 1 AS BIGINT) AS tx_id FROM ({d.ranked(kept, 'ord, edge_id', 'place')}) k"
+
+
+def clean_ratio_party(d, ratio: float = 0.2, parties: int = 5):
+    """Parties after one pass that brings the crossing share of clean rows to ``ratio``.
+
+    Clean edges whose ends have the fewest clean rows go first. To lower the share the end with fewer rows joins the
+    party of the other; to raise it that end moves to another party by hash. The first move of an account counts, and a
+    move changes all edges of the account, so the share is met approximately, as in a sequential pass.
+    """
+    clean = f"SELECT f.edge_id, f.src, f.dst, f.ord FROM {{flow}} f JOIN ({tx_class(d)}) c ON f.edge_id = c.edge_id WHERE c.tx_group = 'CLEAN'"
+    degree = f"SELECT node, count(*) AS deg FROM (SELECT src AS node FROM ({clean}) a UNION ALL SELECT dst FROM ({clean}) b) e GROUP BY node"
+    rows = f"""SELECT c.edge_id, c.src, c.dst, c.ord, s.party AS ps, t.party AS pt, x.deg AS ds, y.deg AS dt FROM ({clean}) c
+        JOIN {{node_party}} s ON c.src = s.node JOIN {{node_party}} t ON c.dst = t.node JOIN ({degree}) x ON c.src = x.node JOIN ({degree}) y ON c.dst = y.node"""
+    ends = "CASE WHEN ds <= dt THEN src ELSE dst END AS node, CASE WHEN ds <= dt THEN ps ELSE pt END AS own, CASE WHEN ds <= dt THEN pt ELSE ps END AS other"
+    order = "low, both, ord, edge_id"
+    pick = lambda sign: d.ranked(f"SELECT edge_id, ord, {ends}, least(ds, dt) AS low, ds + dt AS both FROM ({rows}) r WHERE ps {sign} pt", order, "r")
+    need = f"SELECT sum(CASE WHEN ps <> pt THEN 1 ELSE 0 END) - floor(count(*) * {ratio}) AS excess FROM ({rows}) n"
+    moved = f"(CAST(substr(own, 4) AS INT) + 1 + {d.hash48('node')} % {parties - 1}) % {parties}"
+    moves = f"""SELECT node, other AS party, r FROM ({pick('<>')}) p CROSS JOIN ({need}) n WHERE r <= excess
+        UNION ALL SELECT node, 'P00' || CAST({moved} AS {_text(d)}), r FROM ({pick('=')}) q CROSS JOIN ({need}) m WHERE r <= -excess"""
+    return f"SELECT p.node, coalesce(m.party, p.party) AS party FROM {{node_party}} p LEFT JOIN (SELECT node, min_by(party, r) AS party FROM ({moves}) v GROUP BY node) m ON p.node = m.node"
+
+
 def protocol_view(d):
     """Triangles as queries: the anchor is the smallest node, hidden edges are those that cross parties."""
     return f"""SELECT g.gt_pos, min(x.part) AS anchor, count(DISTINCT e.edge_id) AS edges, count(DISTINCT CASE WHEN e.is_inter THEN e.edge_id END) AS hidden_edges FROM {{ground_truth}} g
@@ -121,5 +148,5 @@ def export_edge_list(d):
 
 
 DEFINITIONS = {f.__name__: f for f in (
-    tx_class, row_key, label_merge, account_labels, motif_instances, match_report, partition_summary, motif_span, hash_party, hybrid_party, motif_party, protocol_view, sanitize_queries,
+    tx_class, row_key, label_merge, account_labels, motif_instances, match_report, partition_summary, motif_span, hash_party, hybrid_party, motif_party, known_transactions, clean_ratio_party, protocol_view, sanitize_queries,
     sampled_motifs, validate, standard_nodes, export_edge_list)}

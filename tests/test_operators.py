@@ -320,3 +320,67 @@ def test_readers(spark, tmp_path):
     assert [(r.motif_instance_id, r.motif_type) for r in rows] == [("MOTIF_0000001", "FAN-OUT"), ("MOTIF_0000002", "CYCLE")]
     (tmp_path / "tx.csv").write_text("Timestamp,From Bank,Account,To Bank,Account,Amount Received,Receiving Currency,Amount Paid,Payment Currency,Payment Format,Is Laundering\n2022/09/01 00:06,1,A,2,B,1,USD,1,USD,ACH,1\n")
     assert [r.tx_hash for r in readers.read_transactions(spark, str(tmp_path / "tx.csv")).collect()] == [rows[0].tx_hash]
+
+
+def test_bitcoin_graph_reader(spark, tmp_path):
+    from crossmotif.sources import readers
+
+    (tmp_path / "f.csv").write_text("10,1,0.5,1\n11,1,0.1,2\n12,2,0.2,3\n")
+    (tmp_path / "c.csv").write_text("txId,class\n10,1\n11,2\n12,unknown\n")
+    (tmp_path / "e.csv").write_text("txId1,txId2\n10,11\n11,12\n12,99\n12,10\n")
+    nodes, edges, parties = readers.read_bitcoin_graph(spark, *[f"{tmp_path}/{n}.csv" for n in "fce"])
+    assert sorted((r.node, r.label, r.features) for r in nodes.collect()) == [("10", "illicit", [0.5, 1.0]), ("11", "licit", [0.1, 2.0]), ("12", "unknown", [0.2, 3.0])]
+    assert sorted((r.edge_id, r.src, r.dst, r.ts, r.label) for r in edges.collect()) == [("e0", "10", "11", 1, "illicit_related"), ("e1", "11", "12", 1, "other"), ("e3", "12", "10", 2, "illicit_related")]
+    assert {(r.node, r.party) for r in parties.collect()} == {("10", "T1"), ("11", "T1"), ("12", "T2")}
+
+
+def test_reports_and_ground_truth(spark, tmp_path):
+    from crossmotif.sources import readers
+
+    rows = spark.createDataFrame([("a", 1.5, [1, 2]), (None, 2.0, [])], "name string, x double, l array<int>")
+    readers.write_report(rows, f"{tmp_path}/csv")
+    assert sorted(r.l for r in spark.read.option("header", True).csv(f"{tmp_path}/csv").collect()) == ["[1,2]", "[]"]
+    readers.write_report(rows.orderBy("x"), f"{tmp_path}/md", "markdown")
+    text = next((tmp_path / "md").glob("*.txt")).read_text().splitlines()
+    assert text[:2] == ["| name | x | l |", "| --- | --- | --- |"] and text[2].startswith("| a | 1.5 |") and len(text) == 4
+    assert readers.flat_metrics({"a": {"b": 1, "c": {"d": 2}}, "e": 3}) == {"a.b": 1, "a.c.d": 2, "e": 3}
+    one = '{"query_id": "q1", "true_nodes": ["a", "b"], "true_edges": ["e1"], "motif_instance_id": "m"}'
+    (tmp_path / "lines.json").write_text(one + "\n" + one.replace("q1", "q2") + "\n")
+    (tmp_path / "list.json").write_text("[" + one + ",\n" + one.replace("q1", "q2") + "]")
+    for name in ("lines", "list"):
+        got = sorted((r.query_id, r.true_nodes, r.true_partitions) for r in readers.read_ground_truth(spark, f"{tmp_path}/{name}.json").collect())
+        assert got == [("q1", ["a", "b"], []), ("q2", ["a", "b"], [])]
+
+
+def test_grid_runner(spark, tmp_path):
+    from crossmotif.plans import runner
+
+    def broken(spark, sf_dir):
+        raise ValueError("no")
+
+    known = {"range": lambda spark, sf_dir: spark.range(len(sf_dir)), "broken": broken}
+    first = runner.run_grid(spark, known, ["range", "broken"], ["/x/a", "/x/bb"], f"file://{tmp_path}/out")
+    assert sorted((r.query, r.input, r.status, r.rows) for r in first.collect()) == [("broken", "a", "failed", None), ("broken", "bb", "failed", None), ("range", "a", "done", 4), ("range", "bb", "done", 5)]
+    again = runner.run_grid(spark, known, ["range"], ["/x/a"], f"file://{tmp_path}/out")
+    assert [r.status for r in again.collect()] == ["skipped"]
+    assert {(r["query"], r["runs"], r["failures"]) for r in runner.roll_up(first).collect()} == {("broken", 0, 2), ("range", 2, 0)}
+    assert runner.scale_ratios(first, "a").where("input = 'a'").first().ratio == 1.0
+
+
+def test_parties_spread_to_accounts_without_one(spark):
+    from crossmotif.operators.custom import spread_parties
+
+    assigned = spark.createDataFrame([("a", "P1"), ("z", "P2")], "node string, party string")
+    edges = spark.createDataFrame([("a", "b", 3, "e3"), ("b", "c", 1, "e1"), ("z", "b", 5, "e5"), ("c", "z", 9, "e9"), ("u", "v", 2, "e2")], "src string, dst string, ord long, edge_id string")
+    got = {r.node: r.party for r in spread_parties(assigned, edges).collect()}
+    # b meets a before z; c meets z in the first round, as b has no party yet; u and v are reached by none.
+    assert {k: got[k] for k in "abcz"} == {"a": "P1", "b": "P1", "c": "P2", "z": "P2"} and set(got) == set("abczuv") and got["u"].startswith("P00")
+
+
+def test_clean_ratio_moves_the_ends_with_fewest_rows(spark):
+    rel = tables(spark, [("a", "b", 1), ("a", "c", 1), ("a", "d", 1), ("a", "e", 1), ("d", "e", 1)], [("a", "P001"), ("b", "P002"), ("c", "P002"), ("d", "P001"), ("e", "P001")])
+    rel["flow"] = rel["flow"].withColumn("currency", F.lit("O"))
+    lower = {r["node"]: r["party"] for r in ask(spark, lambda d: prepare.clean_ratio_party(d, 0.2), rel)}
+    assert lower == {"a": "P001", "b": "P001", "c": "P002", "d": "P001", "e": "P001"}
+    higher = {r["node"]: r["party"] for r in ask(spark, lambda d: prepare.clean_ratio_party(d, 0.6), rel)}
+    assert sum(lower[n] != higher[n] for n in "acde") in (1, 2) and higher["b"] == "P002"
