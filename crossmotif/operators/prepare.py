@@ -99,8 +99,8 @@ def clean_ratio_party(d, ratio: float = 0.2, parties: int = 5):
     rows = f"""SELECT c.edge_id, c.src, c.dst, c.ord, s.party AS ps, t.party AS pt, x.deg AS ds, y.deg AS dt FROM ({clean}) c
         JOIN {{node_party}} s ON c.src = s.node JOIN {{node_party}} t ON c.dst = t.node JOIN ({degree}) x ON c.src = x.node JOIN ({degree}) y ON c.dst = y.node"""
     ends = "CASE WHEN ds <= dt THEN src ELSE dst END AS node, CASE WHEN ds <= dt THEN ps ELSE pt END AS own, CASE WHEN ds <= dt THEN pt ELSE ps END AS other"
-    order = "low, both, ord, edge_id"
-    pick = lambda sign: d.ranked(f"SELECT edge_id, ord, {ends}, least(ds, dt) AS low, ds + dt AS both FROM ({rows}) r WHERE ps {sign} pt", order, "r")
+    order = "low, total_deg, ord, edge_id"
+    pick = lambda sign: d.ranked(f"SELECT edge_id, ord, {ends}, least(ds, dt) AS low, ds + dt AS total_deg FROM ({rows}) r WHERE ps {sign} pt", order, "r")
     need = f"SELECT sum(CASE WHEN ps <> pt THEN 1 ELSE 0 END) - floor(count(*) * {ratio}) AS excess FROM ({rows}) n"
     moved = f"(CAST(substr(own, 4) AS INT) + 1 + {d.hash48('node')} % {parties - 1}) % {parties}"
     moves = f"""SELECT node, other AS party, r FROM ({pick('<>')}) p CROSS JOIN ({need}) n WHERE r <= excess
