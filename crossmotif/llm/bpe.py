@@ -14,7 +14,6 @@ whole text. Ids are decoded by the tokenizer as a whole.
 from __future__ import annotations
 
 import os
-import re
 from array import array
 from collections.abc import Iterator
 from itertools import islice
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 
 from crossmotif.runtime import pick
 
-MASK = np.uint32(0xFF800000)  # a cut every 512 bytes on average
+MASK = np.uint32(0xFFC00000)  # a cut every 1024 bytes on average
 MIN_CHUNK, MAX_CHUNK = 64, 1 << 14
 REMEMBERED_BYTES = 8 << 20  # of chunk text, for each worker
 REMEMBERED_WORDS, SPARE_WORDS = 400_000, 60_000
@@ -70,7 +69,7 @@ def chunk_ends(data: bytes) -> list[int]:
     return ends
 
 
-WORD = re.compile(rb"[^ \t\n\r\x0b\x0c]+")
+WHITE = {bytes([c]) for c in b" \t\n\r\x0b\x0c"}
 
 
 class ChunkEncoder:
@@ -113,15 +112,16 @@ class ChunkEncoder:
             self.reused += 1
             return known
         self.encoded += 1
-        words = [m.span() for m in WORD.finditer(chunk)]
-        if words and words[0][0] == 0:
-            words = words[1:]
-        if words and words[-1][1] == len(chunk):
-            words.pop()
+        words = chunk.split()
+        begin, end = 0, len(chunk)
+        if words and chunk[:1] not in WHITE:
+            begin = len(words.pop(0))
+        if words and chunk[-1:] not in WHITE:
+            end -= len(words.pop())
         out = None
         if len(words) >= 2:
-            ids = self._ids([chunk[x:y] for x, y in words])
-            out = (words[0][1], ids[0], b"".join(ids[1:-1]), ids[-1], words[-1][0])
+            ids = self._ids(words)
+            out = (chunk.index(words[0], begin) + len(words[0]), ids[0], b"".join(ids[1:-1]), ids[-1], chunk.rindex(words[-1], begin, end))
         if self.held > REMEMBERED_BYTES:
             self.chunks.clear()
             self.held = 0
@@ -131,8 +131,18 @@ class ChunkEncoder:
 
     def encode(self, text: bytes) -> np.ndarray:
         """Ids of the whole text."""
-        parts: list[bytes] = []  # settled ids, and a gap before each part but the first
-        stretches: list[tuple[bytes, bytes, bytes]] = []  # text over a join, ids that it must begin and end with
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of whole texts, whose joins are encoded together."""
+        cut = [self._joins(t) for t in texts]
+        found = iter(self.whole([s for stretches, _ in cut for s, _, _ in stretches]))
+        return [np.frombuffer(self._joined(t, stretches, parts, [next(found) for _ in stretches]), dtype=np.int32) for t, (stretches, parts) in zip(texts, cut)]
+
+    def _joins(self, text: bytes) -> tuple[list[tuple[bytes, bytes, bytes]], list[bytes]]:
+        """Stretches (text over a join, the ids that it must begin and end with) and the settled ids between them."""
+        parts: list[bytes] = []
+        stretches: list[tuple[bytes, bytes, bytes]] = []
         tail, lead, at = b"", b"", 0
         for end in chunk_ends(text) if text else []:
             chunk, at = text[at:end], end
@@ -144,17 +154,19 @@ class ChunkEncoder:
             stretches.append((tail + chunk[: got[0]], lead, got[1]))
             parts.append(got[2])
             tail, lead = chunk[got[4] :], got[3]
-        if not parts:
-            return np.frombuffer(self.whole([text])[0], dtype=np.int32)
-        stretches.append((tail, lead, b""))
+        stretches.append((tail, lead, b""))  # the whole text if no chunk has a settled word
+        return stretches, parts + [b""]
+
+    def _joined(self, text: bytes, stretches: list[tuple[bytes, bytes, bytes]], parts: list[bytes], found: list[bytes]) -> bytes:
+        """Ids of the text, by its joins where all of them agree with what they join."""
         out = []
-        for (_, left, right), ids, part in zip(stretches, self.whole([s for s, _, _ in stretches]), parts + [b""]):
+        for (_, left, right), ids, part in zip(stretches, found, parts):
             self.joins += 1
             if len(ids) < len(left) + len(right) or not ids.startswith(left) or not ids.endswith(right):
                 self.grown += 1
-                return np.frombuffer(self.whole([text])[0], dtype=np.int32)
+                return self.whole([text])[0]
             out += (ids, part)
-        return np.frombuffer(b"".join(out), dtype=np.int32)
+        return b"".join(out)
 
     def decode(self, many: list[np.ndarray]) -> list[str]:
         return self.tokenizer.decode_batch([ids.tolist() for ids in many], skip_special_tokens=False)
@@ -174,7 +186,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
     for batch in batches:
         texts = batch.column("text").cast(pa.binary())
         for at in range(0, len(texts), 64):  # so that long texts do not pile up in one batch
-            coded = [coder.encode(t.as_py() or b"") for t in texts[at : at + 64]]
+            coded = coder.encode_all([t.as_py() or b"" for t in texts[at : at + 64]])
             offsets = np.concatenate([[0], np.cumsum([len(c) for c in coded])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id")[at : at + 64], pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(coded))), pa.array(coder.decode(coded), pa.string())],
