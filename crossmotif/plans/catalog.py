@@ -51,6 +51,10 @@ def relations(spark: SparkSession, sf_dir: str, names: list[str]) -> dict[str, D
 
 
 def _query(definition: Definition) -> Query:
+    """A query that is itself a stored relation reads that; others run over the relations that they name."""
+    for name, derived in DERIVED.items():
+        if derived is definition:
+            return lambda spark, sf_dir: relations(spark, sf_dir, [name])[name]
     return lambda spark, sf_dir: run(spark, definition, relations(spark, sf_dir, names_in(definition(SPARK))))
 
 
