@@ -99,10 +99,9 @@ class FuzzyLexicon:
         self.edits: dict[int, int] = {}  # length of a word: largest budget among the terms it can be near
         self.stem_sizes = sorted({len(t.text) for t in terms if t.stem})
         self.table = np.zeros(1 << self.BITS, dtype=bool)
+        self._enter(STEM_SALT, {t.text for t in terms if t.stem})
+        self._enter(0, {s for t in terms for s in _shortened(t.text, t.budget)})
         for t in terms:
-            if t.stem:
-                self._enter(STEM_SALT, [t.text])
-            self._enter(0, list(_shortened(t.text, t.budget)))
             for n in range(len(t.text) - t.budget, len(t.text) + t.budget + 1):
                 self.edits[n] = max(self.edits.get(n, 0), t.budget)
         self.words: dict[str, tuple] = {}
@@ -111,10 +110,11 @@ class FuzzyLexicon:
     def _slots(self, h: np.ndarray) -> np.ndarray:
         return ((h ^ (h >> np.uint64(29))) * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(64 - self.BITS)
 
-    def _enter(self, salt: int, texts: list[str]) -> None:
-        for t in texts:
-            codes = np.array([[ord(c) for c in t]], dtype=np.uint64).reshape(1, len(t))
-            self.table[self._slots(_running(codes)[:, -1] + np.uint64(salt))] = True
+    def _enter(self, salt: int, texts: set[str]) -> None:
+        for n in {len(t) for t in texts}:
+            own = [t for t in texts if len(t) == n]
+            codes = np.frombuffer("".join(own).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(len(own), n)
+            self.table[self._slots(_running(codes.astype(np.uint64))[:, -1] + np.uint64(salt))] = True
 
     def screened(self, words: list[str]) -> list[str]:
         """The words that may match a term; all that do are among them."""
