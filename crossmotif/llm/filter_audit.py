@@ -47,7 +47,8 @@ def failures(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """(part, pattern, good, toxic, n): documents that agree in part, failure pattern, labels and (before E) text.
 
     Filter E removes copies: a text that a smaller id has too, anywhere in the table; null ids come after all others,
-    and rows of one id and text do not remove each other. A document with several label rows has the largest label.
+    and rows of one id and text do not remove each other. A document with several label rows has the largest label;
+    label ids of another type count where they can be read as the documents'.
     """
     rows = pick(docs, id=id_col, text=text_col, part=part_col).select(
         "id", F.coalesce(F.col("part").cast("string"), F.lit("")).alias("part"), text_failures(F.col("text")).alias("pattern"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("body"),
@@ -60,7 +61,7 @@ def failures(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     known = rows.where("id is not null").join(lowest, F.expr("body = b and id = low"), "left").select("id", "part", "pattern", "n", F.col("first").isNull().alias("copy"))
     # Rows without an id: one for each text and part.
     idless = rows.where("id is null").join(lowest, F.expr("body = b")).select("id", "part", "pattern", "n", F.col("low").isNotNull().alias("copy"))
-    marks = pick(labels, of="doc_id", quality="quality", toxic="toxic").where("of is not null").groupBy("of").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    marks = pick(labels, of="doc_id", quality="quality", toxic="toxic").withColumn("of", F.expr(f"try_cast(of as {rows.schema['id'].dataType.simpleString()})")).where("of is not null").groupBy("of").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     labelled = known.join(marks, F.expr("id = of"), "left")
     none = F.lit(None).cast("int")
     labelled = labelled.select("part", "pattern", "n", "copy", "quality", "toxic").unionAll(idless.select("part", "pattern", "n", "copy", none, none))

@@ -83,23 +83,22 @@ def _root(key: tuple, block: pa.Table) -> pa.Table:
     return pa.table({"g": [g], "pos": pa.array([at], pa.int64()), "n": pa.array([n], pa.int64()), "digest": [digest]})
 
 
+ABOVE = pa.schema([("left", pa.list_(pa.string())), ("right", pa.list_(pa.string())), ("root", pa.string()), ("subroot", pa.string())])
+
+
 def _paths(key: tuple, block: pa.Table, above: pa.Table) -> pa.Table:
-    """The block's nodes with their paths up to the root: the way inside the block, then that of the block's root."""
-    if not block.num_rows:
-        return pa.table({"g": pa.array([], pa.string()), "pos": pa.array([], pa.int64()), "left": pa.array([], pa.list_(pa.string())), "right": pa.array([], pa.list_(pa.string())), "root": pa.array([], pa.string()), "subroot": pa.array([], pa.string())})
+    """The block's nodes, with all their columns and their paths up to the root: the way inside the block, then that of
+    the block's root."""
+    tops = above.select(ABOVE.names).to_pylist() if block.num_rows else []
+    rest = [c for c in block.column_names if c not in ("block", "digest", "n")]
+    if not tops:
+        return pa.Table.from_arrays([*block.slice(0, 0).select(rest).columns, *ABOVE.empty_table().columns], names=[*rest, *ABOVE.names])
+    top = tops[0]
     block, levels = _ordered(block)
     _, paths = walk(block.column("digest").to_pylist(), levels)
-    top = above.to_pylist()[0]
     n = block.num_rows
-    return pa.table({
-        "g": block.column("g"), "pos": block.column("pos"),
-        "left": pa.array([[a for a, _ in p] + top["left"] for p in paths], pa.list_(pa.string())),
-        "right": pa.array([[b for _, b in p] + top["right"] for p in paths], pa.list_(pa.string())),
-        "root": pa.array([top["root"]] * n), "subroot": pa.array([top["subroot"]] * n, pa.string()),
-    })
-
-
-PATHS = "g string, pos long, left array<string>, right array<string>, root string, subroot string"
+    found = [[[a for a, _ in p] + top["left"] for p in paths], [[b for _, b in p] + top["right"] for p in paths], [top["root"]] * n, [top["subroot"]] * n]
+    return pa.Table.from_arrays([*block.select(rest).columns, *(pa.array(x, f.type) for x, f in zip(found, ABOVE))], names=[*rest, *ABOVE.names])
 
 
 def _layers(leaves: DataFrame) -> list[DataFrame]:
@@ -113,11 +112,13 @@ def _layers(leaves: DataFrame) -> list[DataFrame]:
 
 
 def _down(layers: list[DataFrame], top: DataFrame) -> DataFrame:
-    """Paths of the leaves of the lowest layer, from those of the nodes of the highest."""
+    """Paths of the leaves of the lowest layer, beside all their columns, from those of the nodes of the highest."""
     for layer in reversed(layers[:-1]):
-        blocks = layer.select("g", "pos", "n", "digest", F.expr(f"pos div {BLOCK}").alias("block"))
-        above = top.withColumnRenamed("pos", "block")
-        top = blocks.groupBy("g", "block").cogroup(above.groupBy("g", "block")).applyInArrow(_paths, PATHS)
+        blocks = layer.withColumn("block", F.expr(f"pos div {BLOCK}"))
+        above = top.select("g", F.col("pos").alias("block"), *ABOVE.names)
+        kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in layer.schema if f.name not in ("digest", "n"))
+        out = f"{kept}, left array<string>, right array<string>, root string, subroot string"
+        top = blocks.groupBy("g", "block").cogroup(above.groupBy("g", "block")).applyInArrow(_paths, out)
     return top
 
 
@@ -136,16 +137,21 @@ def manifest(leaves: DataFrame) -> DataFrame:
     """
     named = F.when(F.col("grp").isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), F.col("grp").cast("string")))  # "-" sorts before "="
     rows = stored(leaves.withColumn("g", named).withColumn("_tie", F.monotonically_increasing_id()).withColumn("_late", F.col("id").isNull()), "merkle-leaves")
-    placed = _placed(rows, "_late", "id", "leaf", "_tie")
-    layers = _layers(placed.select("g", "pos", "n", F.col("leaf").alias("digest")))
+    # The leaves go along with their digests as far as the paths, so that proofs are never shuffled.
+    placed = _placed(rows, "_late", "id", "leaf", "_tie").withColumn("digest", F.col("leaf")).drop("_tie", "_late")
+    layers = _layers(placed)
     heads = _placed(layers[-1].select(F.lit("").alias("g"), F.col("g").alias("of"), "digest"), "of")
-    tops = _layers(heads.select("g", "pos", "n", "digest"))
+    tops = _layers(heads.withColumn("subroot_", F.col("digest")))
     nothing = F.array().cast("array<string>")
     top = tops[-1].select("g", "pos", nothing.alias("left"), nothing.alias("right"), F.col("digest").alias("root"), F.lit(None).cast("string").alias("subroot"))
-    of_heads = _down(tops, top).join(heads.select("g", "pos", "of", "digest"), ["g", "pos"])
-    of_heads = stored(of_heads.select(F.col("of").alias("g"), F.lit(0).cast("long").alias("pos"), "left", "right", "root", F.col("digest").alias("subroot")), "merkle-heads")
-    paths = _down(layers, of_heads)
-    return placed.drop("n", "_tie", "_late").join(paths, ["g", "pos"]).drop("g")
+    if len(tops) == 1:  # one group or none: its root is the root
+        of_heads = top.join(heads.select("g", "pos", "of", F.col("digest").alias("subroot_")), ["g", "pos"])
+    else:
+        of_heads = _down(tops, top)
+    of_heads = stored(of_heads.select(F.col("of").alias("g"), F.lit(0).cast("long").alias("pos"), "left", "right", "root", F.col("subroot_").alias("subroot")), "merkle-heads")
+    if len(layers) == 1:  # every group is a single leaf
+        return placed.drop("n", "digest").join(of_heads, ["g", "pos"]).drop("g")
+    return _down(layers, of_heads).drop("g")
 
 
 def document_leaves(docs: DataFrame, fields: tuple[str, ...] = FIELDS, id_col: str = "doc_id", group_col: str = "lang") -> DataFrame:

@@ -220,8 +220,10 @@ def held_out(id_):
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int) -> DataFrame:
     """(text, trusted): at most ``sample`` documents labelled good, and as many of all the others, by the smallest hashes
-    of their ids. Never a held-out row, and never a label but "good"; one text an id."""
-    marks = pick(labels, id="doc_id", quality="quality").where("id is not null").groupBy("id").agg(F.min("quality").alias("quality"))
+    of their ids. Never a held-out row, and never a label but "good"; one text an id. Label ids of another type count
+    where they can be read as the documents'."""
+    kind = pick(docs, id=id_col).schema["id"].dataType.simpleString()
+    marks = pick(labels, id="doc_id", quality="quality").withColumn("id", F.expr(f"try_cast(id as {kind})")).where("id is not null").groupBy("id").agg(F.min("quality").alias("quality"))
     good = marks.where("quality = 1").select(F.col("id").alias("of"), F.lit(True).alias("trusted"))
     ids = pick(docs, id=id_col).where("id is not null").where(~held_out(F.col("id"))).distinct()
     both = ids.join(good, F.expr("id = of"), "left").select("id", F.coalesce("trusted", F.lit(False)).alias("trusted"))
