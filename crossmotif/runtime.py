@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def pick(df: DataFrame, **names: str) -> DataFrame:
@@ -21,10 +22,26 @@ def pick(df: DataFrame, **names: str) -> DataFrame:
     return flat.select(*[F.col(f"_{seen.index(name)}").alias(alias) for alias, name in names.items()])
 
 
+def _ordered_type(kind: T.DataType) -> bool:
+    """Whether Spark can compare and hash values of a type."""
+    if isinstance(kind, T.ArrayType):
+        return _ordered_type(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_ordered_type(f.dataType) for f in kind.fields)
+    return not isinstance(kind, (T.MapType, T.VariantType, T.CalendarIntervalType))
+
+
+def comparable(df: DataFrame, names: list[str]) -> list[Column]:
+    """Columns that can be compared and hashed: those of ``df``, and JSON texts for maps, variants and what holds them."""
+    kinds = {f.name: f.dataType for f in df.schema}
+    return [F.col(n) if _ordered_type(kinds[n]) else F.to_json(F.struct(n)).alias(n) for n in names]
+
+
 def only_rows(docs: DataFrame, id_col: str, stays: DataFrame, marks: dict[str, Column]) -> DataFrame:
     """One row of ``docs`` for each row of ``stays`` (_id and the marks), the least of those that agree with it.
 
-    ``marks`` are expressions over the columns c0, c1, ... of ``docs`` by position.
+    ``marks`` are expressions over the columns c0, c1, ... of ``docs`` by position. Maps and variants, which have no
+    order, are compared as JSON.
     """
     names = [f"c{i}" for i in range(len(docs.columns))]
     rows = docs.toDF(*names).withColumns(marks)
@@ -32,7 +49,10 @@ def only_rows(docs: DataFrame, id_col: str, stays: DataFrame, marks: dict[str, C
     same = F.col(f"c{docs.columns.index(id_col)}").eqNullSafe(F.col("s_id"))
     for m in marks:
         same = same & (F.col(m) == F.col(f"s{m}"))
-    kept = rows.join(theirs, same).groupBy("s_id", *marks).agg(F.min(F.struct(*names)).alias("row"))
+    keys, row = comparable(rows, names), F.struct(*names)
+    plain = all(_ordered_type(f.dataType) for f in docs.schema)
+    least = F.min(row) if plain else F.min_by(row, F.struct(*keys))
+    kept = rows.join(theirs, same).groupBy("s_id", *marks).agg(least.alias("row"))
     return kept.select("row.*").toDF(*docs.columns)
 
 
