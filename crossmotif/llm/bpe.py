@@ -197,6 +197,8 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
 def encode_decode(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>, decoded string) of every whole text; null and empty texts have no ids and decode to "".
 
+    Repeated rows and equal texts are encoded alike, a row for each, whatever their ids. Very long texts are encoded
+    whole, chunk by chunk. An empty table gives no row.
     ``tokenizer`` is the path of a vocabulary file present on every executor.
     """
     path = tokenizer or default_tokenizer()

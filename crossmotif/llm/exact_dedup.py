@@ -99,18 +99,22 @@ def _verified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return stored(listed, "exact-recipes")
 
 
+def _first() -> Column:
+    """First row of a group: most code points (a count, so its negative exists), then the least id, null ones last."""
+    return F.min(F.struct((-F.col("points")).alias("fewest"), F.col("id").isNull().alias("late"), F.col("id")))
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when they agree after deletion of space and U+0009-U+000D; null counts as empty, and
     all empty texts are one group. The row with the most code points stays, then the smallest doc_id (a
-    null doc_id comes last). Rows repeated under one doc_id share its decision. An empty table gives none.
+    null doc_id comes last). Ids are of any type that has an order. Rows repeated under one doc_id share its
+    decision. An empty table gives none.
     """
     listed = _verified(docs, id_col, text_col)
-    best = listed.groupBy("recipe").agg(
-        F.max(F.struct(F.col("points"), (-F.col("id")).alias("low"))).alias("top"), F.count("*").alias("group_size")
-    )
-    best = best.select("recipe", (-F.col("top.low")).alias("keep_id"), "group_size")
+    best = listed.groupBy("recipe").agg(_first().alias("top"), F.count("*").alias("group_size"))
+    best = best.select("recipe", F.col("top.id").alias("keep_id"), "group_size")
     return listed.join(best, "recipe").select(
         F.col("id").alias("doc_id"), "keep_id", F.col("group_size").cast("long"),
         F.expr("id <=> keep_id").alias("kept"), F.col("sha").alias("text_sha256"),
@@ -121,11 +125,9 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """Of each group of equal texts one row, with all its columns: most code points, then smallest id, then least row.
 
     A row is known by id, length and digest of its text, never by the id alone: null and repeated ids with other
-    texts are rows of their own.
+    texts are rows of their own. Other columns may be of any type; maps are compared as JSON.
     """
-    best = _verified(docs, id_col, text_col).groupBy("recipe").agg(
-        F.max(F.struct(F.col("points"), (-F.col("id")).alias("low"))).alias("top"), F.min("sha").alias("sha")
-    )
-    stays = best.select((-F.col("top.low")).alias("_id"), F.col("top.points").alias("_points"), F.col("sha").alias("_sha"))
+    best = _verified(docs, id_col, text_col).groupBy("recipe").agg(_first().alias("top"), F.min("sha").alias("sha"))
+    stays = best.select(F.col("top.id").alias("_id"), (-F.col("top.fewest")).alias("_points"), F.col("sha").alias("_sha"))
     text = F.col(f"c{docs.columns.index(text_col)}")
     return only_rows(docs, id_col, stays, {"_points": F.length(F.coalesce(text, F.lit(""))).cast("long"), "_sha": F.sha2(normalised(text), 256)})

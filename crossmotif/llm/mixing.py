@@ -16,10 +16,11 @@ import heapq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crossmotif.runtime import pick, stored
+from crossmotif.runtime import comparable, pick, stored
 
 BLOCK = 16  # documents
 RANGES = 1024  # hash ranges that a source's documents are ranked in
+BROADCAST_ROWS = 100_000
 GRAIN = 1000  # target weights are integers that add up to about this
 
 
@@ -96,7 +97,8 @@ def mix(
     Reading by (slot, at) gives the mixture: ``slot`` is the turn of the document's block, ``at`` its place in the
     block; ``release`` and ``deadline`` bound the turn. ``weights`` maps each source to a positive integer; by default
     they temper the counts. A null source is a source of its own; a source without a weight is an error. Null ids
-    and repeated rows keep one place each. The number of sources must suit the driver; documents do not matter.
+    and repeated rows keep one place each; texts are not looked at. An empty table gives no row. The number of sources
+    must suit the driver; documents do not matter.
     """
     spark = docs.sparkSession
     rows = ranked(docs, id_col, source_col)
@@ -113,12 +115,14 @@ def mix(
             turns += [(p, s, i, t) for i, t in enumerate(phase["places"][s])]
     spans = spark.createDataFrame(parts, "phase int, s string, first long, until long, start long, q long, period long")
     places = spark.createDataFrame(turns, "p int, src string, turn long, place long")
-    # Both tables follow from the weights: sources x phases and the slots of their periods, not documents.
+    # Both tables follow from the weights: sources x phases and the slots of their periods, not documents. With very many
+    # sources or large weights they are joined like any others.
+    small = lambda df, n: F.broadcast(df) if n <= BROADCAST_ROWS else df
     rows = rows.withColumn("block", F.floor(F.col("rank") / block)).withColumn("at", (F.col("rank") % block).cast("int"))
     rows = rows.withColumn("source", F.col("source").cast("string"))
-    placed = rows.join(F.broadcast(spans), F.expr("source <=> s and block >= first and block < until"))
+    placed = rows.join(small(spans, len(parts)), F.expr("source <=> s and block >= first and block < until"))
     placed = placed.withColumn("k", F.col("block") - F.col("first"))
-    placed = placed.join(F.broadcast(places), F.expr("phase = p and source <=> src and k % q = turn"))
+    placed = placed.join(small(places, len(turns)), F.expr("phase = p and source <=> src and k % q = turn"))
     begin = F.col("start")
     return placed.select(
         F.col("id").alias("doc_id"), "source", "phase",
@@ -133,10 +137,12 @@ def in_mixture_order(docs: DataFrame, weights: dict | None = None, source_col: s
     """All rows of ``docs``, laid out in mixture order: written partitions follow one another in it.
 
     Rows are known by a hash of all their columns, so null and repeated ids do not matter; rows that agree in every
-    column share one turn and stay as many as they are. Columns are addressed by place and may clash in name.
+    column share one turn and stay as many as they are. Columns are addressed by place and may clash in name; maps
+    count by their JSON. An empty table stays one.
     """
     names = [f"c{i}" for i in range(len(docs.columns))]
-    rows = docs.toDF(*names).withColumn("_key", F.xxhash64(*names))
+    rows = docs.toDF(*names)
+    rows = rows.withColumn("_key", F.xxhash64(*comparable(rows, names)))
     order = mix(rows, weights, BLOCK, "_key", names[docs.columns.index(source_col)]).select(F.col("doc_id").alias("_of"), "slot", "at")
     order = order.groupBy("_of").agg(F.min(F.struct("slot", "at")).alias("_turn"))
     placed = rows.join(order, F.col("_key") == F.col("_of"))

@@ -271,7 +271,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Offsets are code points, end exclusive. Null and empty texts have no spans; rows repeated under an id, and rows
     without one, are searched each. Added spans overlap no base span, and of added spans that overlap the one that
-    starts first (then the likelier, then the longer) stays.
+    starts first (then the likelier, then the longer) stays. Very long texts are searched whole. An empty table gives
+    two empty ones.
     """
     found = matches(docs, id_col, text_col)
     voted = stored(votes(candidates(found)), "pii-candidates")

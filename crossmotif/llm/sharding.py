@@ -120,7 +120,7 @@ def shard(
     position, so counts differ by one at most. ``key``: shard = map(hash(doc_id)), independent of the data,
     and ``grown_shard`` is the shard after one more is added. ``slot`` numbers the records of a shard from 0
     without gaps, in the order of (virtual slot, doc_id, crc, size). Null texts weigh the overhead only; null
-    ids are hashed by content (under ``key`` they share a slot); repeated rows count each time.
+    ids are hashed by content (under ``key`` they share a slot); repeated rows count each time. An empty table gives no row.
     """
     spark = docs.sparkSession
     rows = stored(slotted(docs, law, slots, id_col, text_col), "slotted")

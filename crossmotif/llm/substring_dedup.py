@@ -168,10 +168,10 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (h, doc, row, place, least, most, around): the bytes that the strings of a sample cover. Where an earlier
     sample of the batch covers the same bytes, ``around`` is null and all its strings are repeats."""
     names = ["h", "doc", "row", "place", "least", "most", "around"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
     for batch in batches:
+        kinds = [pa.int64(), batch.column("doc").type, pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
         cols = [batch.column(c).to_pylist() for c in ("doc", "row", "text", "found")]
-        order = sorted(range(batch.num_rows), key=lambda i: (cols[0][i] is None, cols[0][i] or 0, cols[1][i]))
+        order = sorted(range(batch.num_rows), key=lambda i: (cols[0][i] is None, cols[0][i], cols[1][i]))
         seen: set[tuple[int, int, bytes]] = set()
         out: list[list] = [[] for _ in names]
         size = 0
@@ -309,10 +309,11 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
-    """``rows`` with a number each that stays the same in every pass. Ids serve where they are unique; otherwise
-    the rows are numbered and stored, as a running number would differ when partitions are planned anew."""
+    """``rows`` with a number each that stays the same in every pass. Ids serve where they are integers and unique;
+    otherwise the rows are numbered and stored, as a running number would differ when partitions are planned anew."""
+    whole = dict(rows.dtypes)["doc"] in ("tinyint", "smallint", "int", "bigint")
     shared = rows.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1 or doc is null")
-    if shared.isEmpty():
+    if whole and shared.isEmpty():
         # Never null, so that no join filters the texts in a way of its own and both joins share one shuffle of them.
         return rows.withColumn("row", F.coalesce(F.col("doc").cast("long"), F.lit(0)))
     return stored(rows.withColumn("row", F.monotonically_increasing_id()), "repeats-rows")
@@ -323,21 +324,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A byte goes if a string of LENGTH bytes that covers it starts earlier too: in a document with a smaller id
     (null ids last, rows of one id in the order they are read) or earlier in the same one. Null counts as empty;
-    texts shorter than LENGTH stay whole.
+    texts shorter than LENGTH stay whole. Ids are integers, texts (in the order of their code points), dates or
+    decimals. An empty table gives no row.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = _numbered(pick(docs, doc=id_col, text=text_col).select("doc", F.col("text").cast("binary").alias("text")))
+    kind = rows.schema["doc"].dataType.simpleString()
     sampled = rows.select("row", "text").mapInArrow(_sample, "h long, row long, spot long")
     again = sampled.repartition(n, "h").sortWithinPartitions("h").mapInArrow(lambda b: _repeated(b, hot, hottest), "h long, row long, spot long, level int")
     found = again.groupBy("row").agg(F.collect_list(F.struct("spot", "h", "level")).alias("found"))
     cut = rows.join(found, "row").select("doc", "row", "text", "found").mapInArrow(
-        _cut_out, "h long, doc long, row long, place long, least int, most int, around binary"
+        _cut_out, f"h long, doc {kind}, row long, place long, least int, most int, around binary"
     )
     marked = cut.repartition(n, "h").sortWithinPartitions("h", F.col("doc").asc_nulls_last(), "row", "place").mapInArrow(_mark, "row long, start long, end long")
     spans = marked.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("found"))
     return rows.join(spans, "row", "left").select("doc", "text", "found").mapInArrow(
-        _remove, "id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
+        _remove, f"id {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
     )
 
 

@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -58,7 +59,7 @@ def record(page: int | None, url: str | None, payload: bytes, first: tuple | Non
         f"Content-Length: {len(block)}",
     ]
     if page is not None:
-        lines.append(f"Page-ID: {page}")
+        lines.append(f"Page-ID: {quote(str(page), safe='')}")
     if first is not None:
         lines += [
             f"WARC-Profile: {REVISIT}",
@@ -66,7 +67,7 @@ def record(page: int | None, url: str | None, payload: bytes, first: tuple | Non
             f"WARC-Refers-To-Target-URI: {quote(first[1] or '', safe="!#$%&'()*+,/:;=?@[]~")}",
         ]
         if first[0] is not None:
-            lines.append(f"Refers-To-Page-ID: {first[0]}")
+            lines.append(f"Refers-To-Page-ID: {quote(str(first[0]), safe='')}")
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -201,9 +202,10 @@ def read_records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
         yield headers, payload
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _read(batches: Iterator[pa.RecordBatch], id_type: str) -> Iterator[pa.RecordBatch]:
+    ids = pa.string() if id_type == "string" else pa.int64()
     names = ["page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload"]
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+    kinds = [ids, pa.string(), pa.string(), ids, pa.string(), pa.int64(), pa.binary()]
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
@@ -215,13 +217,14 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size = 0
             with store.open_input_stream(at, compression=None) as stream:
                 for h, payload in read_records(stream):
-                    number = lambda k: int(h[k]) if h.get(k, "").isdigit() else None
+                    number = lambda k: int(h[k]) if re.fullmatch("-?[0-9]+", h.get(k, "")) else None
+                    page = number if id_type != "string" else lambda k: unquote(h[k]) if k in h else None
                     # A revisit's digest and length are those of the full payload, which it does not hold.
                     stated = h.get("warc-payload-digest", "").partition(":")[2]
                     revisit = h.get("warc-type") == "revisit"
                     digest = stated or None if revisit else base32_sha1(payload)
                     size_of = number("http-content-length") if revisit else len(payload)
-                    rows.append((number("page-id"), h.get("warc-target-uri"), h.get("warc-type"), number("refers-to-page-id"), digest, size_of, payload))
+                    rows.append((page("page-id"), h.get("warc-target-uri"), h.get("warc-type"), page("refers-to-page-id"), digest, size_of, payload))
                     size += len(payload)
                     if size > 4 << 20 or len(rows) >= 2000:
                         yield batch_of(rows)
@@ -230,12 +233,17 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield batch_of(rows)
 
 
-def read_warc(manifest: DataFrame) -> DataFrame:
+def read_warc(manifest: DataFrame, id_type: str = "long") -> DataFrame:
     """One row per record of the archives in ``manifest``: page_id, url, record_type, refers_to, payload_digest,
     payload_bytes and payload (empty for revisits, whose digest and length are those of the full payload). Archives
-    of other writers may leave out digests, page ids and the HTTP length; what a record does not state is null."""
+    of other writers may leave out digests, page ids and the HTTP length; what a record does not state is null.
+
+    ``id_type`` is long or string, as the ids were when written; with long an id that is no integer is null. No archives,
+    no rows."""
+    if id_type not in ("long", "string"):
+        raise ValueError("page ids are read as long or as string")
     paths = manifest.select("path")
     files = max(1, len(paths.inputFiles()))
     return paths.repartition(files).mapInArrow(
-        _read, "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
+        lambda b: _read(b, id_type), f"page_id {id_type}, url string, record_type string, refers_to {id_type}, payload_digest string, payload_bytes long, payload binary"
     )
