@@ -50,6 +50,10 @@ class SparkDialect:
     def dot(self, a: str, b: str) -> str:
         return f"aggregate(zip_with({a}, {b}, (x, y) -> cast(x as double) * cast(y as double)), cast(0 as double), (s, v) -> s + v)"
 
+    def whole(self, a: str, b: str) -> str:
+        """Integer quotient of numbers that are not negative."""
+        return f"(({a}) div ({b}))"
+
     def hour(self, ts: str) -> str:
         return f"hour({ts})"
 
@@ -103,6 +107,9 @@ class DuckDialect(SparkDialect):
     def dot(self, a: str, b: str) -> str:
         return f"list_sum(list_transform(list_zip({a}, {b}), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)))"
 
+    def whole(self, a: str, b: str) -> str:
+        return f"(({a}) // ({b}))"
+
     def hour(self, ts: str) -> str:
         return f"hour({ts})"
 

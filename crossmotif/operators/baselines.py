@@ -133,15 +133,18 @@ def _embedding(biased: bool):
 
 
 def graphsage(d):
-    """Two rounds of self plus mean of neighbours on hashed vectors of four values; edges ranked by dot product."""
+    """Two rounds of self plus mean of neighbours on hashed vectors of four values; edges ranked by dot product.
+
+    Values are billionths above -1, kept as integers, so that no sum hangs on the order of its rows.
+    """
     dims = range(4)
-    base = "SELECT node, " + ", ".join("(" + d.hash48(f"'{i}~' || node") + f" % 2001) / 1000.0 - 1.0 AS v{i}" for i in dims) + " FROM (SELECT DISTINCT node FROM {links}) n"
-    text = base
+    text = "SELECT node, " + ", ".join("(" + d.hash48(f"'{i}~' || node") + f" % 2001) * 1000000 AS v{i}" for i in dims) + " FROM (SELECT DISTINCT node FROM {links}) n"
     for _ in range(2):
-        text = f"""SELECT s.node, {', '.join(f'round((s.v{i} + m.v{i}) / 2.0, 9) AS v{i}' for i in dims)} FROM ({text}) s
-            JOIN (SELECT l.node, {', '.join(f'avg(t.v{i}) AS v{i}' for i in dims)} FROM {{links}} l JOIN ({text}) t ON l.nbr = t.node GROUP BY l.node) m ON s.node = m.node"""
-    dot = " + ".join(f"x.v{i} * y.v{i}" for i in dims)
-    return f"SELECT p.edge_id, round(CAST({dot} AS DOUBLE), 6) AS score FROM {{pair_und}} p JOIN ({text}) x ON p.a = x.node JOIN ({text}) y ON p.b = y.node"
+        text = f"""SELECT s.node, {', '.join(d.whole(f's.v{i} + ' + d.whole(f'm.v{i}', 'm.k'), '2') + f' AS v{i}' for i in dims)} FROM ({text}) s
+            JOIN (SELECT l.node, count(*) AS k, {', '.join(f'CAST(sum(t.v{i}) AS BIGINT) AS v{i}' for i in dims)} FROM {{links}} l JOIN ({text}) t ON l.nbr = t.node GROUP BY l.node) m ON s.node = m.node"""
+    value = lambda x, i: f"(CAST({x}.v{i} AS DOUBLE) / 1000000000.0 - 1.0)"
+    dot = " + ".join(f"{value('x', i)} * {value('y', i)}" for i in dims)
+    return f"SELECT p.edge_id, round({dot}, 6) AS score FROM {{pair_und}} p JOIN ({text}) x ON p.a = x.node JOIN ({text}) y ON p.b = y.node"
 
 
 DEFINITIONS = {f.__name__: f for f in (baseline_aa, baseline_cn, seal, subgnn, fanmod, gspan, csgm_scope, csgm_candidates, graphsage)}

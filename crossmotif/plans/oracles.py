@@ -108,9 +108,11 @@ def own(extra: dict[str, str]) -> dict[str, str]:
     liked = f"candidate_type IN {DIRECTED}"
     # A query's selection, rank by rank: the first of each preferred type, then by score under the cap of other types.
     found["balanced_selection"] = scored + f""", o AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY raw_score DESC, candidate_type <> 'triangle', candidate_type, edges, nodes) AS r FROM final),
-        t AS (SELECT a.*, (SELECT count(*) FROM o b WHERE b.anchor = a.anchor AND b.candidate_type = a.candidate_type AND b.r < a.r) AS before_, (SELECT count(*) FROM o b WHERE b.anchor = a.anchor) AS all_ FROM o a),
-        fit AS (SELECT *, CASE WHEN {liked} AND before_ = 0 THEN 0 ELSE 1 END AS later FROM t WHERE all_ <= 24 OR {liked} OR before_ < 8)
-        SELECT anchor, candidate_type, nodes, edges, round(raw_score, 6) AS raw_score FROM fit WHERE (SELECT count(*) FROM fit f WHERE f.anchor = fit.anchor AND (f.later, f.r) < (fit.later, fit.r)) < 24"""
+        per AS (SELECT anchor, candidate_type, list({{'r': r, 'nodes': nodes, 'edges': edges, 'raw_score': raw_score}} ORDER BY r) AS l FROM o GROUP BY anchor, candidate_type),
+        sizes AS (SELECT anchor, sum(len(l)) AS all_ FROM per GROUP BY anchor),
+        t AS (SELECT anchor, candidate_type, all_, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS before_ FROM per JOIN sizes USING (anchor)),
+        best AS (SELECT anchor, list({{'candidate_type': candidate_type, 'x': x}} ORDER BY CASE WHEN {liked} AND before_ = 0 THEN 0 ELSE 1 END, x.r)[:24] AS l FROM t WHERE all_ <= 24 OR {liked} OR before_ < 8 GROUP BY anchor)
+        SELECT anchor, v.candidate_type, v.x.nodes AS nodes, v.x.edges AS edges, round(v.x.raw_score, 6) AS raw_score FROM (SELECT anchor, unnest(l) AS v FROM best)"""
     found["component_party"] = f"""WITH RECURSIVE flow AS ({DUCK_RELATIONS["flow"]}), e AS (SELECT src AS a, dst AS b FROM flow UNION SELECT dst, src FROM flow),
         r(node, other) AS (SELECT a, a FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.other = e.a), c AS (SELECT node, min(other) AS component FROM r GROUP BY node),
         s AS (SELECT list(component ORDER BY size DESC, component) AS l FROM (SELECT component, count(*) AS size FROM c GROUP BY component)),
