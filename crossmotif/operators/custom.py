@@ -8,9 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossmotif.operators import directed
+from crossmotif.operators import directed, matching
 from crossmotif.operators.components import connected_components
-from crossmotif.runtime import cut, with_place
+from crossmotif.runtime import cut, stored, with_place
 
 CHAIN_LENGTH = 10
 
@@ -184,7 +184,26 @@ def _spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread_parties(party.join(explained, "node", "left_semi"), flow)
 
 
+_answers: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+
+
+def _asked(which: int):
+    """The motif queries with their patterns (0), or the matches of these (1); both are found by one search."""
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf_dir)
+        if key not in _answers:
+            flow, pairs, truth = _ask("flow", "pair_und", "ground_truth")(spark, sf_dir)
+            queries = stored(matching.motif_queries(flow, pairs, truth), "match-queries")
+            _answers[key] = matching.match_queries(matching.Graph.of(flow), queries)
+        return _answers[key][which]
+
+    return build
+
+
 QUERIES = {
+    "pattern_queries": lambda spark, sf_dir: _ask("pattern_asked")(spark, sf_dir)[0],
+    "pattern_matches": lambda spark, sf_dir: _ask("pattern_hits")(spark, sf_dir)[0],
+    "vf2_predictions": lambda spark, sf_dir: matching.predictions(*_ask("pattern_asked", "pattern_hits")(spark, sf_dir)),
     "spread_parties": _spread,
     "components": lambda spark, sf_dir: component_table(_flow(spark, sf_dir)),
     "component_party": lambda spark, sf_dir: component_party(component_table(_flow(spark, sf_dir))),
@@ -195,7 +214,7 @@ QUERIES = {
     "coverage_aware": _coverage,
 }
 #: Relations that are not one definition.
-BUILT = {"directed_scored": _directed_scored, "chains": lambda spark, sf_dir: chain_rows(_chains(spark, sf_dir))}
+BUILT = {"pattern_asked": _asked(0), "pattern_hits": _asked(1), "directed_scored": _directed_scored, "chains": lambda spark, sf_dir: chain_rows(_chains(spark, sf_dir))}
 
 
 def components_sql(flow: str) -> str:

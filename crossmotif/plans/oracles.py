@@ -8,6 +8,7 @@ intersecting lists, joins by correlated tests. They share stored relations with
 from __future__ import annotations
 
 from crossmotif.operators.directed import DIRECTED, KERNELS_SQL
+from crossmotif.operators.matching import SHAPES_SQL
 from crossmotif.plans.relational import common_tables
 from crossmotif.sources.graph_tables import DUCK_RELATIONS
 
@@ -113,6 +114,11 @@ def own(extra: dict[str, str]) -> dict[str, str]:
         t AS (SELECT anchor, candidate_type, all_, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS before_ FROM per JOIN sizes USING (anchor)),
         best AS (SELECT anchor, list({{'candidate_type': candidate_type, 'x': x}} ORDER BY CASE WHEN {liked} AND before_ = 0 THEN 0 ELSE 1 END, x.r)[:24] AS l FROM t WHERE all_ <= 24 OR {liked} OR before_ < 8 GROUP BY anchor)
         SELECT anchor, v.candidate_type, v.x.nodes AS nodes, v.x.edges AS edges, round(v.x.raw_score, 6) AS raw_score FROM (SELECT anchor, unnest(l) AS v FROM best)"""
+    shapes = common_tables(["flow", "pair_und"], extra) + SHAPES_SQL.lstrip()
+    found["pattern_queries"] = shapes + " SELECT query_id, pattern, 'matched' AS status FROM shape"
+    found["pattern_matches"] = shapes + " SELECT * FROM hit"
+    found["vf2_predictions"] = shapes + """, p AS (SELECT query_id, mapping, nodes, edges FROM shape JOIN hit USING (pattern)), r AS (SELECT *, row_number() OVER (ORDER BY query_id, mapping) AS place FROM p)
+        SELECT place, query_id, nodes, edges, 1.0e0 AS score FROM r WHERE place <= 100"""
     found["component_party"] = f"""WITH RECURSIVE flow AS ({DUCK_RELATIONS["flow"]}), e AS (SELECT src AS a, dst AS b FROM flow UNION SELECT dst, src FROM flow),
         r(node, other) AS (SELECT a, a FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.other = e.a), c AS (SELECT node, min(other) AS component FROM r GROUP BY node),
         s AS (SELECT list(component ORDER BY size DESC, component) AS l FROM (SELECT component, count(*) AS size FROM c GROUP BY component)),
