@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossmotif.operators import directed, matching
+from crossmotif.operators import directed, matching, packing, reach
 from crossmotif.operators.components import connected_components
 from crossmotif.runtime import cut, stored, with_place
 
@@ -200,7 +200,28 @@ def _asked(which: int):
     return build
 
 
+def _hops(spark: SparkSession, sf_dir: str, hops: int = 4) -> DataFrame:
+    """All accounts as sources, along the arrows and against them."""
+    flow = _flow(spark, sf_dir)
+    nodes = flow.select(F.col("src").alias("node")).union(flow.select("dst"))
+    parts = []
+    for way, a, b in (("out", "src", "dst"), ("in", "dst", "src")):
+        found = reach.hop_reach(flow.select(F.col(a).alias("node"), F.col(b).alias("nbr")), nodes, hops)
+        parts.append(found.select(F.lit(way).alias("direction"), "node", "hop", "reached", "edges"))
+    return parts[0].unionAll(parts[1])
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of the large payments, and every other account by itself, to the least-loaded of five parties."""
+    flow = _flow(spark, sf_dir)
+    ends = flow.select(F.col("src").alias("a")).union(flow.select("dst"))
+    linked = flow.where("weight > 450000").select("src", "dst").union(ends.select("a", F.col("a")))
+    return packing.pack(component_table(linked), [f"P00{i}" for i in range(5)])
+
+
 QUERIES = {
+    "hop_reach": _hops,
+    "packed_party": _packed,
     "pattern_queries": lambda spark, sf_dir: _ask("pattern_asked")(spark, sf_dir)[0],
     "pattern_matches": lambda spark, sf_dir: _ask("pattern_hits")(spark, sf_dir)[0],
     "vf2_predictions": lambda spark, sf_dir: matching.predictions(*_ask("pattern_asked", "pattern_hits")(spark, sf_dir)),

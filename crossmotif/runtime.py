@@ -80,9 +80,10 @@ def with_place(df: DataFrame, order: str, alias: str) -> DataFrame:
     """``df`` with the place 1, 2, ... of each row in a total order.
 
     Rows go to tasks by ranges of the order, are counted per range, and each is placed by the counts before its
-    range and its place inside. The ranges are stored, so that all passes see the same ones. What is known to be
-    small is ordered in one task instead.
+    range and its place inside. The rows are stored first, so that their real size is known and all passes see the
+    same ranges; what is small is ordered in one task instead.
     """
+    df = stored(df, "unplaced")
     if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL_BYTES:
         return df.selectExpr("*", f"row_number() over (order by {order}) as `{alias}`")
     by = _orders(order)
