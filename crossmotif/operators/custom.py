@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossmotif.operators import directed, matching, packing, reach
+from crossmotif.operators import directed, matching, packing, reach, sanitise
 from crossmotif.operators.components import connected_components
 from crossmotif.runtime import cut, stored, with_place
 
@@ -219,7 +219,12 @@ def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(component_table(linked), [f"P00{i}" for i in range(5)])
 
 
+def _views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitise.map_text(sanitise.method_view(sanitise.motif_records(*_ask("ground_truth", "tagged")(spark, sf_dir))))
+
+
 QUERIES = {
+    "method_view": _views,
     "hop_reach": _hops,
     "packed_party": _packed,
     "pattern_queries": lambda spark, sf_dir: _ask("pattern_asked")(spark, sf_dir)[0],

@@ -11,6 +11,7 @@ from crossmotif.operators.directed import DIRECTED, KERNELS_SQL
 from crossmotif.operators.matching import SHAPES_SQL
 from crossmotif.operators.packing import PACKING_SQL
 from crossmotif.operators.reach import REACH_SQL
+from crossmotif.operators.sanitise import VIEW_SQL
 from crossmotif.plans.relational import common_tables
 from crossmotif.sources.graph_tables import DUCK_RELATIONS
 
@@ -118,6 +119,7 @@ def own(extra: dict[str, str]) -> dict[str, str]:
         SELECT anchor, v.candidate_type, v.x.nodes AS nodes, v.x.edges AS edges, round(v.x.raw_score, 6) AS raw_score FROM (SELECT anchor, unnest(l) AS v FROM best)"""
     found["hop_reach"] = common_tables(["flow"], extra, recursive=True) + REACH_SQL.lstrip()
     found["packed_party"] = common_tables(["flow"], extra, recursive=True) + PACKING_SQL.lstrip()
+    found["method_view"] = common_tables(["ground_truth", "flow", "node_party"], extra) + VIEW_SQL.lstrip()
     shapes = common_tables(["flow", "pair_und"], extra) + SHAPES_SQL.lstrip()
     found["pattern_queries"] = shapes + " SELECT query_id, pattern, 'matched' AS status FROM shape"
     found["pattern_matches"] = shapes + " SELECT * FROM hit"
