@@ -17,7 +17,9 @@ def folder(spark, tmp_path_factory):
     passage = "".join(rng.choice(letters) for _ in range(300))
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 400))) for _ in range(30)]
     texts += [passage, "x" + passage[20:250] + "y", passage, None, "", "  ", None, "z" * 350, "A b", "A  b", "Ab ", passage[:99], passage[:100]]
-    docs = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    docs = [(i, t, ["en", "de", None, ""][i % 4], ["s", None][i % 5 == 0], len(t) if t else None) for i, t in enumerate(texts)]
+    labels = [(i, i % 2, int(i % 3 == 0)) for i in range(0, 60, 2)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{path}/documents.parquet")
     pages = [(i, f"http://h/{i}", t) for i, t in enumerate(texts[20:])]
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{path}/pages.parquet")
@@ -33,7 +35,7 @@ def folder(spark, tmp_path_factory):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql_equals_operator(spark, folder, name):
     con = duckdb.connect()
-    for table in ("documents", "pages", "embeddings"):
+    for table in ("documents", "pages", "embeddings", "labels"):
         con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet/*.parquet'")
     got = queries.queries()[name](spark, folder)
     columns = sorted(got.columns)
