@@ -1,19 +1,14 @@
-"""Operators that need iteration or grouped Python: components, chains; queries over relations that are not one definition."""
+"""Operators that need iteration: components, parties; queries over relations that are not one definition."""
 
 from __future__ import annotations
 
-from collections import defaultdict
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossmotif.operators import directed, matching, packing, reach, sanitise
+from crossmotif.operators import chains, directed, matching, packing, reach, sanitise
 from crossmotif.operators.components import connected_components
 from crossmotif.runtime import cut, stored, with_place
 
-CHAIN_LENGTH = 10
-
 
 def component_table(edges: DataFrame) -> DataFrame:
     """(node, component): weakly connected components of all edges, named by their smallest id."""
@@ -53,74 +48,6 @@ def spread_parties(assigned: DataFrame, edges: DataFrame, parties: int = 5, max_
     return known.unionByName(rest).join(ends, "node", "left_semi")
 
 
-def best_chain(edges: pd.DataFrame, longest: int = CHAIN_LENGTH) -> tuple[list[str], list[str], list[float]] | None:
-    """Heaviest path of a component after a greedy choice of edges (weight first) that closes no cycle.
-
-    The path is dropped, not cut, if it has more than ``longest`` nodes.
-    """
-    after: dict[str, dict[str, tuple[float, str]]] = defaultdict(dict)
-
-    def reaches(a: str, b: str) -> bool:
-        todo, seen = [a], {a}
-        while todo:
-            x = todo.pop()
-            if x == b:
-                return True
-            new = after[x].keys() - seen
-            seen |= new
-            todo += new
-        return False
-
-    for row in edges.sort_values(["w", "src", "dst"], ascending=[False, True, True]).itertuples():
-        if row.src != row.dst and not reaches(row.dst, row.src):
-            after[row.src][row.dst] = (row.w, row.edge_id)
-    indegree: dict[str, int] = defaultdict(int)
-    nodes = set(edges["src"]) | set(edges["dst"])
-    for u in nodes:
-        for v in after[u]:
-            indegree[v] += 1
-    ready, order = sorted(n for n in nodes if not indegree[n]), []
-    while ready:
-        u = ready.pop(0)
-        order.append(u)
-        for v in sorted(after[u]):
-            indegree[v] -= 1
-            if not indegree[v]:
-                ready.append(v)
-    best: dict[str, tuple[float, str | None]] = {n: (0.0, None) for n in nodes}
-    for u in order:
-        for v in sorted(after[u]):
-            total = best[u][0] + after[u][v][0]
-            if total > best[v][0]:
-                best[v] = (total, u)
-    end = max(sorted(nodes), key=lambda n: best[n][0])
-    path = [end]
-    while best[path[-1]][1] is not None:
-        path.append(best[path[-1]][1])
-    path.reverse()
-    if len(path) < 2 or len(path) > longest:
-        return None
-    steps = [after[a][b] for a, b in zip(path, path[1:])]
-    return path, [e for _, e in steps], [w for w, _ in steps]
-
-
-def chain_candidates(edges: DataFrame, longest: int = CHAIN_LENGTH) -> DataFrame:
-    """One CHAIN candidate per component of the edges; the last of repeated edges counts."""
-    last = edges.groupBy("src", "dst").agg(F.max_by("edge_id", "ord").alias("edge_id"), F.max_by("weight", "ord").alias("w"))
-    named = last.join(component_table(edges).withColumnRenamed("node", "src"), "src")
-
-    def per_component(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = best_chain(pdf, longest)
-        columns = ["component", "nodes", "edges", "num_nodes", "num_edges", "score_mean", "score_min"]
-        if found is None:
-            return pd.DataFrame(columns=columns)
-        path, ids, weights = found
-        return pd.DataFrame([(pdf["component"].iloc[0], ">".join(path), ",".join(ids), len(path), len(ids), sum(weights) / len(weights), min(weights))], columns=columns)
-
-    schema = "component string, nodes string, edges string, num_nodes long, num_edges long, score_mean double, score_min double"
-    return named.groupBy("component").applyInPandas(per_component, schema)
-
-
 def _flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     from crossmotif.plans.relational import base_relations
 
@@ -138,13 +65,13 @@ def chain_edges(pairs: DataFrame) -> DataFrame:
 def _chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     from crossmotif.plans.catalog import queries
 
-    return chain_candidates(chain_edges(queries()["mutual_topk"](spark, sf_dir)))
+    return chains.chain_candidates(chain_edges(queries()["mutual_topk"](spark, sf_dir)))
 
 
-def chain_rows(chains: DataFrame) -> DataFrame:
+def chain_rows(found: DataFrame) -> DataFrame:
     """Chains in the form of the other evidence candidates."""
     listed = lambda c, by: F.array_join(F.array_sort(F.array_distinct(F.split(c, by))), ",")
-    return chains.select(
+    return found.select(
         F.lit("CHAIN").alias("candidate_type"), listed("nodes", ">").alias("nodes"), listed("edges", ",").alias("tx_ids"), "num_nodes", "num_edges", "score_mean", "score_min"
     )
 
@@ -234,6 +161,7 @@ QUERIES = {
     "components": lambda spark, sf_dir: component_table(_flow(spark, sf_dir)),
     "component_party": lambda spark, sf_dir: component_party(component_table(_flow(spark, sf_dir))),
     "chain_candidates": _chains,
+    "payment_chains": lambda spark, sf_dir: chains.payment_chains(_flow(spark, sf_dir)),
     "directed_kernels": _directed,
     "directed_scores": lambda spark, sf_dir: _ask("directed_scored")(spark, sf_dir)[0],
     "balanced_selection": _balanced,

@@ -7,6 +7,7 @@ intersecting lists, joins by correlated tests. They share stored relations with
 
 from __future__ import annotations
 
+from crossmotif.operators.chains import CHAINS_SQL
 from crossmotif.operators.directed import DIRECTED, KERNELS_SQL
 from crossmotif.operators.matching import SHAPES_SQL
 from crossmotif.operators.packing import PACKING_SQL
@@ -117,6 +118,7 @@ def own(extra: dict[str, str]) -> dict[str, str]:
         t AS (SELECT anchor, candidate_type, all_, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS before_ FROM per JOIN sizes USING (anchor)),
         best AS (SELECT anchor, list({{'candidate_type': candidate_type, 'x': x}} ORDER BY CASE WHEN {liked} AND before_ = 0 THEN 0 ELSE 1 END, x.r)[:24] AS l FROM t WHERE all_ <= 24 OR {liked} OR before_ < 8 GROUP BY anchor)
         SELECT anchor, v.candidate_type, v.x.nodes AS nodes, v.x.edges AS edges, round(v.x.raw_score, 6) AS raw_score FROM (SELECT anchor, unnest(l) AS v FROM best)"""
+    found["payment_chains"] = common_tables(["flow"], extra, recursive=True) + CHAINS_SQL.lstrip()
     found["hop_reach"] = common_tables(["flow"], extra, recursive=True) + REACH_SQL.lstrip()
     found["packed_party"] = common_tables(["flow"], extra, recursive=True) + PACKING_SQL.lstrip()
     found["method_view"] = common_tables(["ground_truth", "flow", "node_party"], extra) + VIEW_SQL.lstrip()

@@ -124,19 +124,9 @@ def test_every_definition_renders_for_both_engines():
             assert definition(SPARK) and definition(DUCK)
 
 
-def test_chain_assembly():
-    import pandas as pd
-
-    from crossmotif.operators.custom import best_chain
-
-    edges = pd.DataFrame([("a", "b", "1", 0.90), ("b", "c", "2", 0.80), ("c", "a", "3", 0.95), ("c", "d", "4", 0.70)], columns=["src", "dst", "edge_id", "w"])
-    path, ids, weights = best_chain(edges)
-    assert path == ["c", "a", "b"] and sum(weights) / 2 == pytest.approx(0.925) and min(weights) == 0.90
-    assert best_chain(edges, longest=2) is None
-
-
 def test_components_take_light_edges(spark):
-    from crossmotif.operators.custom import chain_candidates, chain_edges, component_table
+    from crossmotif.operators.chains import chain_candidates
+    from crossmotif.operators.custom import chain_edges, component_table
 
     rel = tables(spark, [("a", "b", 1), ("b", "c", 500000), ("x", "y", 2)])
     got = {r.node: r.component for r in component_table(rel["flow"]).collect()}
@@ -223,7 +213,8 @@ def mutual_pairs(spark, rows):
 
 
 def test_evidence_assembly_follows_the_hypotheses(spark):
-    from crossmotif.operators.custom import chain_candidates, chain_edges, chain_rows
+    from crossmotif.operators.chains import chain_candidates
+    from crossmotif.operators.custom import chain_edges, chain_rows
 
     rows = [("FAN", x, "h", 0.8) for x in "xyz"] + [("FAN", "z", "h", 0.9), ("FAN", "h", "x", 0.9), ("CYCLE", "x", "h", 0.9), ("CHAIN", "p", "q", 0.8)]
     pairs = mutual_pairs(spark, rows).withColumns({"bank_s": F.lit("A"), "bank_r": F.lit("A")})
@@ -236,7 +227,7 @@ def test_evidence_assembly_follows_the_hypotheses(spark):
     assert fans[0]["score_mean"] == pytest.approx((0.8 + 0.8 + 0.9) / 3) and fans[0]["score_min"] == 0.8
     rel["cycles"] = run(spark, evidence.cycle_pairs, rel)
     topk = run(spark, evidence.mutual_topk, rel)
-    rel["chains"] = chain_rows(chain_candidates(chain_edges(topk)))
+    rel["chains"] = chain_rows(chain_candidates(chain_edges(topk), shortest=2))
     rel["reranked"] = run(spark, evidence.rerank_evidence, rel)
     ranked = sorted(ask(spark, evidence.evidence_predictions, rel), key=lambda r: r["place"])
     assert [(r["candidate_type"], r["nodes"]) for r in ranked] == [("FAN_IN", "h,x,y,z"), ("CHAIN", "p,q")]
