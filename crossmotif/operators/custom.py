@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossmotif.operators import chains, directed, matching, packing, reach, sanitise
+from crossmotif.operators import chains, directed, matching, packing, reach, samplers, sanitise
 from crossmotif.operators.components import connected_components
 from crossmotif.runtime import cut, stored, with_place
 
@@ -152,6 +152,7 @@ def _views(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "method_view": _views,
+    "core_numbers": lambda spark, sf_dir: _ask("cores")(spark, sf_dir)[0],
     "hop_reach": _hops,
     "packed_party": _packed,
     "pattern_queries": lambda spark, sf_dir: _ask("pattern_asked")(spark, sf_dir)[0],
@@ -168,7 +169,7 @@ QUERIES = {
     "coverage_aware": _coverage,
 }
 #: Relations that are not one definition.
-BUILT = {"pattern_asked": _asked(0), "pattern_hits": _asked(1), "directed_scored": _directed_scored, "chains": lambda spark, sf_dir: chain_rows(_chains(spark, sf_dir))}
+BUILT = {"cores": lambda spark, sf_dir: samplers.core_numbers(_ask("pair_und")(spark, sf_dir)[0]), "pattern_asked": _asked(0), "pattern_hits": _asked(1), "directed_scored": _directed_scored, "chains": lambda spark, sf_dir: chain_rows(_chains(spark, sf_dir))}
 
 
 def components_sql(flow: str) -> str:

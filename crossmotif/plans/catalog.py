@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from crossmotif.functions.dialect import DUCK, SPARK
-from crossmotif.operators import baselines, custom, directed, evaluate, evidence, experiments, graph, motifs, prepare, ranking
+from crossmotif.operators import baselines, custom, directed, evaluate, evidence, experiments, graph, motifs, prepare, ranking, samplers
 from crossmotif.plans import event_queries, oracles
 from crossmotif.plans.relational import Definition, as_doubles, base_relations, common_tables, names_in, reference, run
 from crossmotif.runtime import stored
@@ -60,7 +60,7 @@ def _query(definition: Definition) -> Query:
 
 def definitions() -> dict[str, Definition]:
     found: dict[str, Definition] = {}
-    for module in (graph, motifs, evidence, ranking, evaluate, baselines, prepare, experiments):
+    for module in (graph, motifs, evidence, ranking, evaluate, baselines, prepare, experiments, samplers):
         found |= module.DEFINITIONS
     return found
 
@@ -73,7 +73,9 @@ def oracle_sql() -> dict[str, str]:
     extra = {name: as_doubles(d(DUCK)) for name, d in DERIVED.items()}
     # Chains are put together edge by edge, which SQL does not express; where no pair's best hypothesis is CHAIN there are none.
     extra["chains"] = "SELECT candidate_type, nodes, tx_ids, num_nodes, num_edges, score_mean, score_min FROM {cycles} WHERE 1 = 0"
+    extra["cores"] = samplers.CORES_SQL
     found = {name: reference(d, extra) for name, d in definitions().items()} | event_queries.ORACLES
+    found["core_numbers"] = common_tables(["cores"], extra) + "SELECT node, core FROM cores"
     found["components"] = custom.components_sql(DUCK_RELATIONS["flow"])
     found["directed_kernels"] = common_tables(["candidates", "flow"], extra, recursive=True) + ", " + directed.KERNELS_SQL
     return found | oracles.own(extra)
