@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossmotif.operators import chains, directed, matching, packing, reach, samplers, sanitise
+from crossmotif.operators import chains, directed, matching, packing, reach, samplers, sanitise, strategies
 from crossmotif.operators.components import connected_components
 from crossmotif.runtime import cut, stored, with_place
 
@@ -150,7 +150,17 @@ def _views(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sanitise.map_text(sanitise.method_view(sanitise.motif_records(*_ask("ground_truth", "tagged")(spark, sf_dir))))
 
 
+def _strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crossmotif.plans.catalog import queries
+
+    ask = lambda name: queries()[name](spark, sf_dir)
+    pool = ask("topk_per_query")
+    orders = {"raw": strategies.raw_order(pool), "base": ask("rerank"), "diverse": ask("diverse_order"), "hybrid": ask("hybrid_order")}
+    return strategies.long_table(strategies.strategy_table(orders, _ask("ground_truth")(spark, sf_dir)[0], pool))
+
+
 QUERIES = {
+    "strategy_table": _strategies,
     "method_view": _views,
     "core_numbers": lambda spark, sf_dir: _ask("cores")(spark, sf_dir)[0],
     "hop_reach": _hops,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from crossmotif.functions.dialect import DUCK, SPARK
-from crossmotif.operators import baselines, custom, directed, evaluate, evidence, experiments, graph, motifs, prepare, ranking, samplers
+from crossmotif.operators import baselines, custom, directed, evaluate, evidence, experiments, graph, motifs, prepare, ranking, samplers, strategies
 from crossmotif.plans import event_queries, oracles
 from crossmotif.plans.relational import Definition, as_doubles, base_relations, common_tables, names_in, reference, run
 from crossmotif.runtime import stored
@@ -76,6 +76,9 @@ def oracle_sql() -> dict[str, str]:
     extra["cores"] = samplers.CORES_SQL
     found = {name: reference(d, extra) for name, d in definitions().items()} | event_queries.ORACLES
     found["core_numbers"] = common_tables(["cores"], extra) + "SELECT node, core FROM cores"
+    orders = {"order_raw": ranking.topk_per_query, "order_base": ranking.rerank, "order_diverse": ranking.diverse_order, "order_hybrid": ranking.hybrid_order}
+    ordered = extra | {name: as_doubles(d(DUCK)) for name, d in orders.items()}
+    found["strategy_table"] = common_tables([*orders, "ground_truth"], ordered) + strategies.STRATEGIES_SQL.lstrip()
     found["components"] = custom.components_sql(DUCK_RELATIONS["flow"])
     found["directed_kernels"] = common_tables(["candidates", "flow"], extra, recursive=True) + ", " + directed.KERNELS_SQL
     return found | oracles.own(extra)
