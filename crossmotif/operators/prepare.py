@@ -48,6 +48,20 @@ def match_report(d):
         CAST(sum(CASE WHEN motif_instance_id IN ('NONE', 'UNKNOWN') THEN 1 ELSE 0 END) AS BIGINT) AS unmatched FROM {{labelled}} m"""
 
 
+def key_report(d):
+    """Keys of pattern rows, taken from the source table, against keys of the transactions: matched, on either side alone, distinct and repeated.
+
+    Orders that open no transaction (the last, and those followed by the same customer) are patterns that no transaction answers.
+    """
+    t = _text(d)
+    h = "sha2({}, 256)" if d.name == "spark" else "sha256({})"
+    source = h.format(f"CAST(o_custkey AS {t}) || '|e' || CAST(o_orderkey AS {t}) || '|' || trim(o_orderpriority)")
+    patterns = f"SELECT {source} AS k FROM {{orders}} WHERE o_totalprice > 450000 AND o_orderstatus = 'F'"
+    transactions = f"SELECT {h.format(chr(39).join(('src || ', '|', ' || edge_id || ', '|', ' || trim(pay_format)')))} AS k FROM {{flow}}"
+    parts = (("matched", patterns, "INTERSECT", transactions), ("pattern_only", patterns, "EXCEPT", transactions), ("transaction_only", transactions, "EXCEPT", patterns))
+    return " UNION ALL ".join(f"SELECT '{name}' AS side, (SELECT count(*) FROM ({a} {op} {b}) x) AS keys_, (SELECT count(*) FROM ({a} {op} ALL {b}) y) AS rows_" for name, a, op, b in parts)
+
+
 def partition_summary(d):
     """Crossing share by class."""
     return f"""SELECT c.tx_group, count(*) AS tx, CAST(sum(CASE WHEN t.is_inter THEN 1 ELSE 0 END) AS BIGINT) AS inter, round(avg(CASE WHEN t.is_inter THEN 1.0 ELSE 0.0 END), 6) AS inter_ratio
@@ -148,5 +162,5 @@ def export_edge_list(d):
 
 
 DEFINITIONS = {f.__name__: f for f in (
-    tx_class, row_key, label_merge, account_labels, motif_instances, match_report, partition_summary, motif_span, hash_party, hybrid_party, motif_party, known_transactions, clean_ratio_party, protocol_view, sanitize_queries,
+    tx_class, row_key, label_merge, account_labels, motif_instances, match_report, key_report, partition_summary, motif_span, hash_party, hybrid_party, motif_party, known_transactions, clean_ratio_party, protocol_view, sanitize_queries,
     sampled_motifs, validate, standard_nodes, export_edge_list)}

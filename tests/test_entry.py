@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["flow_edges", "degree_tables", "motif_fan_in", "motif_triangle", "ranked_fan_in", "label_merge", "perturb_missing", "subgraph_match", "search_space", "graphsage", "packed_party", "method_view", "payment_chains", "core_numbers", "sampled_instances"]
+NAMES = ["flow_edges", "degree_tables", "motif_fan_in", "motif_triangle", "ranked_fan_in", "label_merge", "perturb_missing", "subgraph_match", "search_space", "graphsage", "packed_party", "method_view", "payment_chains", "core_numbers", "sampled_instances", "key_report"]
 
 
 def plain(rows):
