@@ -26,12 +26,15 @@ def compatibility_view(d):
 def degree_tables(d):
     """Out- and in-degree with multiplicity, mean and largest degree of the distinct neighbours, two-hop size."""
     deg = "SELECT node, count(*) AS deg FROM {links} GROUP BY node"
+    far = "SELECT node, count(DISTINCT nbr) AS two_hop FROM (SELECT node, nbr FROM {links} UNION ALL SELECT a.node, b.nbr FROM {links} a JOIN {links} b ON a.nbr = b.node WHERE b.nbr <> a.node) t GROUP BY node"
+    if d.name == "spark":
+        far = "SELECT node, two_hop FROM {two_hop}"
     return f"""SELECT n.node, coalesce(o.k, 0) AS out_deg, coalesce(i.k, 0) AS in_deg, g.deg, g.mean_nbr_deg, g.max_nbr_deg, h.two_hop
         FROM (SELECT DISTINCT node FROM {{links}}) n
         LEFT JOIN (SELECT src AS node, count(*) AS k FROM {{flow}} GROUP BY src) o ON n.node = o.node
         LEFT JOIN (SELECT dst AS node, count(*) AS k FROM {{flow}} GROUP BY dst) i ON n.node = i.node
         JOIN (SELECT l.node, count(*) AS deg, round(avg(x.deg), 6) AS mean_nbr_deg, max(x.deg) AS max_nbr_deg FROM {{links}} l JOIN ({deg}) x ON l.nbr = x.node GROUP BY l.node) g ON n.node = g.node
-        JOIN (SELECT node, count(DISTINCT nbr) AS two_hop FROM (SELECT node, nbr FROM {{links}} UNION ALL SELECT a.node, b.nbr FROM {{links}} a JOIN {{links}} b ON a.nbr = b.node WHERE b.nbr <> a.node) t GROUP BY node) h ON n.node = h.node"""
+        JOIN ({far}) h ON n.node = h.node"""
 
 
 def khop_reach(d):
