@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crossmotif.functions.dialect import DUCK, SPARK
-from crossmotif.operators import motifs
+from crossmotif.operators import evidence, graph, motifs
 from crossmotif.operators.closing import closed_walks, two_steps
 from crossmotif.plans.relational import run
 from tests.test_operators import tables
@@ -59,3 +59,16 @@ def test_two_steps_count_distinct_nodes(spark, back):
     want = {a: len(bs | {c for b in bs for c in of.get(b, ()) if back or c != a}) for a, bs in of.items()}
     got = two_steps(spark.createDataFrame(sorted(links), "a long, b long"), back)
     assert {r.key: r.n for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("kind", [motifs.radius2, motifs.chain, motifs.directed_chain, graph.degree_tables, evidence.node_stats])
+def test_lists_give_what_the_joins_of_the_reference_give(spark, kind):
+    edges = ranked_lists(11, 12, 60)
+    rel = tables(spark, edges, [(f"v{i}", f"P{i % 3}") for i in range(12)])
+    rel["flow"] = rel["flow"].selectExpr("*", "date'2020-01-01' as ts", "'x' as pay_format")
+    rel["tagged"] = run(spark, evidence.tagged, rel)
+    rel["views"] = run(spark, evidence.local_edges, rel)
+    plain = lambda d: kind(type("Plain", (type(SPARK),), {"name": "plain"})())
+    rows = lambda f: sorted(tuple(r) for r in run(spark, f, rel).collect())
+    assert rows(kind) == rows(plain) != []
+    assert any(n in kind(SPARK) for n in ("{first_", "{two_hop}", "{reach_"))
