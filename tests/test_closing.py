@@ -5,8 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from crossmotif import runtime
 from crossmotif.functions.dialect import DUCK, SPARK
-from crossmotif.operators import evidence, graph, motifs
+from crossmotif.operators import evidence, graph, motifs, ranking
 from crossmotif.operators.closing import closed_walks, two_steps
 from crossmotif.plans.relational import run
 from tests.test_operators import tables
@@ -72,3 +73,23 @@ def test_lists_give_what_the_joins_of_the_reference_give(spark, kind):
     rows = lambda f: sorted(tuple(r) for r in run(spark, f, rel).collect())
     assert rows(kind) == rows(plain) != []
     assert any(n in kind(SPARK) for n in ("{first_", "{two_hop}", "{reach_"))
+
+
+def test_places_by_ranges_need_one_shuffle_of_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(runtime, "SMALL_BYTES", -1)
+    draw = random.Random(5)
+    rows = [(draw.randrange(9), i) for i in range(500)]
+    placed = runtime.with_place(spark.createDataFrame(rows, "a int, b int"), "a DESC, b", "place")
+    assert [(r.a, r.b) for r in sorted(placed.collect(), key=lambda r: r.place)] == sorted(rows, key=lambda r: (-r[0], r[1]))
+    assert sorted(r.place for r in placed.collect()) == list(range(1, 501))
+    assert "row_number()" not in placed._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scores_look_up_each_set_of_nodes_once(spark):
+    rows = [("a", "t", "a,b", "e1"), ("b", "t", "a,b", "e1"), ("c", "u", "c,z", "e2"), ("d", "u", "z", "e3")]
+    rel = {"candidates": spark.createDataFrame(rows, "anchor string, candidate_type string, nodes string, edges string")}
+    rel["node_party"] = spark.createDataFrame([("a", "P0"), ("b", "P1"), ("c", "P1")], "node string, party string")
+    plain = lambda d: ranking.kernels(type("Plain", (type(SPARK),), {"name": "plain"})())
+    rows = lambda f: sorted(tuple(r) for r in run(spark, f, rel).collect())
+    assert rows(ranking.kernels) == rows(plain) and [r[4] for r in rows(ranking.kernels)] == [2, 2, 1, 0]
+    assert "DISTINCT nodes" in ranking.kernels(SPARK) and "DISTINCT nodes" not in ranking.kernels(DUCK)
