@@ -81,6 +81,8 @@ def induced_edges(d):
 
 def enclosing_counts(d):
     """For linked pairs: common neighbours, edges within the enclosing one-hop subgraph, degree sum."""
+    if d.name == "spark":
+        return "SELECT a, b, cn, inside, deg_sum FROM {enclosed}"
     ball = "SELECT p.a, p.b, l.nbr AS n FROM {pair_und} p JOIN {links} l ON l.node = p.a UNION SELECT p.a, p.b, l.nbr FROM {pair_und} p JOIN {links} l ON l.node = p.b"
     return f"""SELECT c.a, c.b, c.cn, coalesce(e.inside, 0) AS inside, x.deg + y.deg AS deg_sum FROM ({common_neighbors(d)}) c
         JOIN (SELECT node, count(*) AS deg FROM {{links}} GROUP BY node) x ON c.a = x.node JOIN (SELECT node, count(*) AS deg FROM {{links}} GROUP BY node) y ON c.b = y.node
