@@ -60,6 +60,10 @@ def _alignment(mode: str, per_party: int = 500):
 
 def fanmod(d):
     """Triangles (3.0) and wedges (2.0) among first neighbours, stars by degree."""
+    if d.name == "spark":
+        return """SELECT node, 'wedge' AS shape, size * (size - 1) div 2 - links AS found, CAST(2.0 AS DOUBLE) AS score FROM {list_links} WHERE size * (size - 1) div 2 > links
+            UNION ALL SELECT node, 'triangle', links, CAST(3.0 AS DOUBLE) FROM {list_links} WHERE links > 0
+            UNION ALL SELECT node, 'star', count(*), CAST(count(*) AS DOUBLE) FROM {nbr_any} GROUP BY node HAVING count(*) >= 3"""
     pairs = """SELECT l.node AS c, least(l.nbr, r.nbr) AS x, greatest(l.nbr, r.nbr) AS y FROM {nbr_any} l JOIN {nbr_any} r ON l.node = r.node AND l.rn < r.rn WHERE l.nbr <> r.nbr"""
     return f"""SELECT c AS node, CASE WHEN p.edge_id IS NULL THEN 'wedge' ELSE 'triangle' END AS shape, count(*) AS found, CAST(CASE WHEN p.edge_id IS NULL THEN 2.0 ELSE 3.0 END AS DOUBLE) AS score
         FROM (SELECT DISTINCT c, x, y FROM ({pairs}) q0) q LEFT JOIN {{pair_und}} p ON p.a = q.x AND p.b = q.y GROUP BY c, p.edge_id IS NULL

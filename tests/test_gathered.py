@@ -5,7 +5,7 @@ import random
 import pytest
 
 from crossmotif.functions.dialect import DUCK, SPARK
-from crossmotif.operators import baselines, evaluate, gathered, graph
+from crossmotif.operators import baselines, evaluate, gathered, graph, prepare
 from crossmotif.plans.relational import run
 from tests.test_closing import ranked_lists
 from tests.test_operators import tables
@@ -26,3 +26,10 @@ def test_enclosing_counts_join_no_balls(spark, monkeypatch, nodes, edges, wide):
     same(spark, graph.enclosing_counts, rel)
     same(spark, baselines.seal, rel)
     assert "{enclosed}" in baselines.seal(SPARK) and "{enclosed}" not in baselines.seal(DUCK)
+
+
+@pytest.mark.parametrize("nodes, edges", [(9, 60), (40, 90)])
+def test_lists_of_first_neighbours_meet_in_place(spark, nodes, edges):
+    rel = tables(spark, [*ranked_lists(nodes, nodes, edges), ("v1", "v1", 1), ("v1", "v77", 1)])
+    same(spark, baselines.fanmod, rel)
+    assert "DISTINCT c, x, y" not in baselines.fanmod(SPARK) and "DISTINCT c, x, y" in baselines.fanmod(DUCK)
