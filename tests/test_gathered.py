@@ -33,3 +33,14 @@ def test_lists_of_first_neighbours_meet_in_place(spark, nodes, edges):
     rel = tables(spark, [*ranked_lists(nodes, nodes, edges), ("v1", "v1", 1), ("v1", "v77", 1)])
     same(spark, baselines.fanmod, rel)
     assert "DISTINCT c, x, y" not in baselines.fanmod(SPARK) and "DISTINCT c, x, y" in baselines.fanmod(DUCK)
+
+
+def test_triangles_and_their_edges_are_met_once(spark):
+    draw = random.Random(4)
+    edges = [tuple(str(v) for v in draw.sample(range(15), 2)) for _ in range(60)]  # "10" sorts before "9"
+    rel = tables(spark, [(a, b, 1) for a, b in edges] + [("3", "3", 1)])
+    same(spark, evaluate.ground_truth, rel)
+    rel["ground_truth"] = run(spark, evaluate.ground_truth, rel)
+    want = [(r.gt_pos, f"qe{i}", e) for r in rel["ground_truth"].collect() for i, e in enumerate(sorted(r.edges.split(",")))]
+    assert sorted(tuple(r) for r in run(spark, prepare.sanitize_queries, rel).collect()) == sorted(want)
+    assert "{triangles}" in evaluate.ground_truth(SPARK) and "row_number" not in prepare.sanitize_queries(SPARK)
