@@ -5,7 +5,7 @@ import random
 import pytest
 
 from crossmotif.functions.dialect import DUCK, SPARK
-from crossmotif.operators import baselines, evaluate, gathered, graph, prepare
+from crossmotif.operators import baselines, evaluate, gathered, graph, prepare, vectors
 from crossmotif.plans.relational import run
 from tests.test_closing import ranked_lists
 from tests.test_operators import tables
@@ -44,3 +44,17 @@ def test_triangles_and_their_edges_are_met_once(spark):
     want = [(r.gt_pos, f"qe{i}", e) for r in rel["ground_truth"].collect() for i, e in enumerate(sorted(r.edges.split(",")))]
     assert sorted(tuple(r) for r in run(spark, prepare.sanitize_queries, rel).collect()) == sorted(want)
     assert "{triangles}" in evaluate.ground_truth(SPARK) and "row_number" not in prepare.sanitize_queries(SPARK)
+
+
+@pytest.mark.parametrize("size", [1024, 3])
+def test_vectors_meet_by_blocks(spark, monkeypatch, size):
+    """Frequent and rare labels, a repeated id, vectors that are null, hold a null or are shorter."""
+    monkeypatch.setattr(vectors, "STRIP", 2)
+    draw = random.Random(6)
+    rows = [(i, [draw.uniform(-1, 1) for _ in range(4)], 0 if i < 12 else i % 4) for i in range(24)]
+    rows += [(3, [1.0, 2.0, 3.0, 4.0], 0), (40, None, 0), (41, [1.0, None, 2.0, 3.0], 0), (42, [1.0, 2.0], 0), (43, [1.0, 1.0, 1.0, 1.0], None)]
+    rel = {"embeddings": spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)}
+    rel["label_pairs"] = vectors.label_pairs(rel["embeddings"], size)
+    assert "{label_pairs}" in graph.vector_pairs(SPARK)
+    rows = lambda f: sorted((tuple(r) for r in run(spark, f, rel).collect()), key=repr)
+    assert rows(graph.vector_pairs) == rows(lambda d: graph.vector_pairs(PLAIN)) != []
