@@ -37,6 +37,18 @@ def test_hops_equal_a_plain_search(spark, size):
     assert reach.hop_reach(rows.limit(0), spark.createDataFrame([], "node string"), 2).count() == 0
 
 
+@pytest.mark.parametrize(("group", "bits"), [(3, 512), (40, 8)])
+def test_groups_of_sources_send_each_list_once(spark, monkeypatch, group, bits):
+    """What a source has reached is never a row: groups of sources take their hops over shared lists."""
+    monkeypatch.setattr(reach, "BITS", bits * 8 if bits < 64 else bits)
+    rng = random.Random(9)
+    edges = [(f"n{rng.randrange(90)}", f"n{rng.randrange(90)}") for _ in range(200)]
+    sources = sorted({x for e in edges for x in e})
+    rows = spark.createDataFrame(edges, "node string, nbr string").repartition(3)
+    found = reach.hop_reach(rows, spark.createDataFrame([(s,) for s in sources], "node string"), 4, group=group)
+    assert {(r.node, r.hop): (r.reached, r.edges) for r in found.collect()} == {(s, k): plain_hops(edges, s, k) for s in sources for k in range(1, 5)}
+
+
 def greedy(sizes, loads):
     loads, out = list(loads), []
     for s in sizes:
