@@ -5,8 +5,9 @@ import random
 import pytest
 
 from crossmotif.functions.dialect import DUCK, SPARK
-from crossmotif.operators import baselines, evaluate, gathered, graph, prepare, vectors
+from crossmotif.operators import baselines, evaluate, experiments, gathered, graph, prepare, vectors
 from crossmotif.plans.relational import run
+from crossmotif.sources import graph_tables
 from tests.test_closing import ranked_lists
 from tests.test_operators import tables
 
@@ -58,3 +59,11 @@ def test_vectors_meet_by_blocks(spark, monkeypatch, size):
     assert "{label_pairs}" in graph.vector_pairs(SPARK)
     rows = lambda f: sorted((tuple(r) for r in run(spark, f, rel).collect()), key=repr)
     assert rows(graph.vector_pairs) == rows(lambda d: graph.vector_pairs(PLAIN)) != []
+
+
+def test_parts_bought_together_are_dealt_to_as_many_tasks_as_pairs_need(spark):
+    draw = random.Random(2)
+    rows = [(draw.randrange(30), draw.randrange(20)) for _ in range(200)] + [(None, 1), (None, 2), (1, None)]
+    rel = {"lineitem": spark.createDataFrame(rows, "l_orderkey long, l_partkey long").repartition(3)}
+    same(spark, experiments.co_purchase, rel)
+    assert graph_tables.bought_together(rel["lineitem"], 20).rdd.getNumPartitions() > 4
