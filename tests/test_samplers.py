@@ -4,6 +4,7 @@ import os
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as entry
@@ -64,3 +65,22 @@ def test_instances_are_what_they_are_called(spark):
         assert crossing == sorted(crossing, reverse=True)
         assert len({r.nodes for r in mine}) == n
     assert {"triangle", "star"} <= {r.kind for r in rows}
+
+
+@pytest.mark.parametrize("each", [1 << 18, 7])
+def test_values_are_told_in_arrays(spark, each):
+    """A link is a row only while links are numbered: later rounds shuffle no more rows than there are parts of nodes a batch."""
+    rng = random.Random(5)
+    edges = {tuple(sorted(rng.sample(range(60), 2))) for _ in range(500)} | {(0, i) for i in range(1, 60)}
+    links = {}
+    for a, b in edges:
+        links.setdefault(a, set()).add(b)
+        links.setdefault(b, set()).add(a)
+    told = []
+    plain = samplers._told(3)
+    rows = pa.RecordBatch.from_arrays([pa.array([4, 4, 9]), pa.array([[1, 2, 5], [2, 4], [1, 2]])], names=["core", "items"])
+    for batch in plain([rows]):
+        told += batch.to_pylist()
+    assert [(r["part"], r["node"], r["value"], r["n"]) for r in told] == [(1, [1, 1, 4], [4, 9, 4], [1, 1, 1]), (2, [2, 2, 5], [4, 9, 4], [2, 1, 1])]
+    found = samplers.core_numbers(spark.createDataFrame(sorted(edges), "a long, b long"), each).collect()
+    assert {r.node: r.core for r in found} == plain_cores(links)
