@@ -8,8 +8,12 @@ import pyarrow as pa
 import pytest
 
 import __spark_entry__ as entry
-from crossmotif.operators import samplers
+from crossmotif import runtime
+from crossmotif.functions.dialect import SPARK
+from crossmotif.operators import evaluate, gathered, samplers
 from crossmotif.plans.catalog import relations
+from crossmotif.plans.relational import run
+from tests.test_operators import tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -84,3 +88,22 @@ def test_values_are_told_in_arrays(spark, each):
     assert [(r["part"], r["node"], r["value"], r["n"]) for r in told] == [(1, [1, 1, 4], [4, 9, 4], [1, 1, 1]), (2, [2, 2, 5], [4, 9, 4], [2, 1, 1])]
     found = samplers.core_numbers(spark.createDataFrame(sorted(edges), "a long, b long"), each).collect()
     assert {r.node: r.core for r in found} == plain_cores(links)
+
+
+@pytest.mark.parametrize("long", [2000, 4])
+def test_instances_equal_the_reference_without_its_joins(spark, long):
+    """A dense and a sparse part, a clique, nodes of no known party; with ``long`` 4 nearly every corner counts as a hub."""
+    rng = random.Random(7)
+    edges = [tuple(str(x) for x in rng.sample(range(16), 2)) for _ in range(60)] + [tuple(str(x) for x in rng.sample(range(30, 80), 2)) for _ in range(70)]
+    edges += [(f"9{i}", f"9{j}") for i in range(6) for j in range(i)]
+    rel = tables(spark, [(a, b, 1) for a, b in edges])
+    rel["node_party"] = rel["node_party"].where("node not in ('3', '35', '91')")
+    rel["cores"] = samplers.core_numbers(rel["pair_und"])
+    rel["ground_truth"] = run(spark, evaluate.ground_truth, rel)
+    found = gathered.triangles(gathered.link_ids(rel["links"], ids := runtime.stored(gathered.node_ids(rel["links"]), "ids")), ids, rel["pair_und"])
+    rel["instances"] = samplers.instances(rel["links"], rel["cores"], rel["pair_und"], rel["node_party"], found, long)
+    rows = lambda f: sorted(tuple(r) for r in run(spark, f, rel).collect())
+    plain = type("Plain", (type(SPARK),), {"name": "plain", "hash48": lambda self, x: SPARK.hash48(x)})()
+    got = rows(samplers.sampled_instances)
+    assert got == rows(lambda d: samplers.sampled_instances(plain).replace("VARCHAR", "STRING")) and {r[0] for r in got} == {"triangle", "cycle4", "star", "dense_subgraph"}
+    assert "JOIN" not in samplers.sampled_instances(SPARK)
