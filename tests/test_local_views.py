@@ -6,7 +6,8 @@ import pytest
 
 from crossmotif.functions.dialect import DUCK, SPARK
 from crossmotif.operators import evidence, local_views
-from crossmotif.plans.relational import run
+from crossmotif.plans.catalog import DERIVED
+from crossmotif.plans.relational import BUILDERS, names_in, run
 
 
 def plain(kind):
@@ -63,3 +64,15 @@ def test_joins_by_tag_count_reach_for_the_rows_they_read(spark):
     for kind in (evidence.pair_scores, evidence.mutual, evidence.tag_buckets):
         assert rows(spark, kind, rel) == rows(spark, plain(kind), whole) != []
         assert "{evidence}" not in kind(SPARK) and "{evidence}" in kind(DUCK)
+
+
+@pytest.mark.parametrize("query", [evidence.rerank_evidence, evidence.cycle_pairs, evidence.mutual_topk])
+def test_assembled_candidates_read_no_evidence_of_all_rows(query):
+    seen, todo = set(), names_in(query(SPARK))
+    while todo:
+        name = todo.pop()
+        if name not in seen:
+            seen.add(name)
+            todo += BUILDERS[name][0] if name in BUILDERS else names_in(DERIVED[name](SPARK)) if name in DERIVED else ["mutual"] if name == "chains" else []
+    assert {"top_evidence", "reach_top"} <= seen
+    assert not seen & {"evidence", "views", "reach_local"}
