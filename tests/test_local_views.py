@@ -66,6 +66,19 @@ def test_joins_by_tag_count_reach_for_the_rows_they_read(spark):
         assert "{evidence}" not in kind(SPARK) and "{evidence}" in kind(DUCK)
 
 
+def test_pair_scores_has_every_pair_of_a_tag(spark, monkeypatch):
+    """A tag with more than five rows keeps them all, also where its senders are dealt into parts."""
+    rel = transactions(spark, 6, nodes=40, rows=120, days=2)
+    whole = rel | {"evidence": run(spark, evidence.evidence_features, rel)}
+    inter = rel["tagged"].where("is_inter").select("tag", "edge_id", "src_party", "dst_party").collect()
+    want = sorted((a.tag, a.edge_id, b.edge_id) for a in inter for b in inter if a.tag == b.tag and a.src_party != b.dst_party)
+    for senders in (500, 3):
+        monkeypatch.setattr(evidence, "SENDERS", senders)
+        got = rows(spark, evidence.pair_scores, rel)
+        assert sorted((r[0], r[3], r[4]) for r in got) == want and len(want) > 4 * 25
+        assert got == rows(spark, plain(evidence.pair_scores), whole)
+
+
 @pytest.mark.parametrize("query", [evidence.rerank_evidence, evidence.cycle_pairs, evidence.mutual_topk])
 def test_assembled_candidates_read_no_evidence_of_all_rows(query):
     seen, todo = set(), names_in(query(SPARK))
