@@ -5,6 +5,10 @@ from datetime import datetime, timedelta
 
 import pytest
 
+from crossmotif.functions.dialect import SPARK
+from crossmotif.operators import motifs
+from crossmotif.plans.relational import names_in, run
+from crossmotif.sources.graph_tables import GraphTables
 from crossmotif.streaming.tag_join import stream_tag_pairs
 
 
@@ -22,3 +26,19 @@ def test_stream_pairs_meet_by_slot_of_time(spark, within, seconds):
     assert got.columns == ["tag", "party_s", "tx_s", "ts_s", "party_r", "tx_r", "ts_r"]
     join = next(line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line)
     assert "slot" in join
+
+
+def test_motifs_of_closed_corners_equal_the_plain_joins(spark):
+    """Repeated edges, edges back and loops occur; pairs of neighbours that no edge closes are not joined on Spark."""
+    draw = random.Random(11)
+    edges = [(f"e{i:03}", f"v{draw.randrange(11)}", f"v{draw.randrange(11)}", 1.0, i) for i in range(70)]
+    e = spark.createDataFrame(edges, "edge_id string, src string, dst string, weight double, ord long")
+    p = spark.createDataFrame([(f"v{i}", f"P{i % 2}") for i in range(11)], "node string, party string")
+    rel = {name: rows.cache() for name, rows in GraphTables(e, p, neighbours=6).relations().items()}
+    assert any(s == t for _, s, t, _, _ in edges)
+    kinds = (motifs.triangle, motifs.feed_forward, motifs.cycle, lambda d: motifs.directed_cycle(d, 3))
+    other = type("Plain", (type(SPARK),), {"name": "plain"})()
+    for k in kinds:
+        assert "corners" in names_in(k(SPARK)) and "corners" not in names_in(k(other))
+    found, want = (sorted(map(tuple, run(spark, lambda _, d=d: motifs.pooled(d, kinds), rel).collect())) for d in (SPARK, other))
+    assert found == want and len({r[1] for r in want}) == 4
