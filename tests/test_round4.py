@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
+from crossmotif import runtime
 from crossmotif.functions.dialect import SPARK
 from crossmotif.operators import motifs
 from crossmotif.plans.relational import names_in, run
@@ -42,3 +43,18 @@ def test_motifs_of_closed_corners_equal_the_plain_joins(spark):
         assert "corners" in names_in(k(SPARK)) and "corners" not in names_in(k(other))
     found, want = (sorted(map(tuple, run(spark, lambda _, d=d: motifs.pooled(d, kinds), rel).collect())) for d in (SPARK, other))
     assert found == want and len({r[1] for r in want}) == 4
+
+
+def test_places_over_files_store_no_second_copy(spark, monkeypatch):
+    """Places of places: each order stores its ranges, and what already lies in files is not written again."""
+    draw = random.Random(2)
+    rows = runtime.stored(spark.createDataFrame([(i, draw.randrange(50), f"t{draw.randrange(999)}") for i in range(400)], "id long, score long, text string"), "given")
+    names, store = [], runtime.stored
+    monkeypatch.setattr(runtime, "SMALL_BYTES", 0)
+    monkeypatch.setattr(runtime, "stored", lambda df, name: names.append(name) or store(df, name))
+    twice = lambda d: d.ranked(f"SELECT x.*, CAST(first AS STRING) AS pid FROM ({d.ranked('SELECT * FROM {rows}', 'text, id', 'first')}) x", "score DESC, pid", "place")
+    got = run(spark, twice, {"rows": rows}).collect()
+    given = sorted(map(tuple, rows.collect()), key=lambda r: (r[2], r[0]))
+    want = sorted(((*r, i) for i, r in enumerate(given, 1)), key=lambda r: (-r[1], str(r[3])))
+    assert sorted((r.place, r.id, r.first) for r in got) == [(i, r[0], r[3]) for i, r in enumerate(want, 1)]
+    assert names == ["ranges", "ranges"]
